@@ -215,3 +215,199 @@ def _():
 
 
 _unused = (escalations_cte, labels_cte, lexicon_cte, templates_cte, tokens_expr, words_cte)
+
+
+# ---------------------------------------------------------------- metrics store
+
+L = with_(log_cte())
+
+
+@sql("stats_by_language")
+def _():
+    return L + """SELECT language, count(*) AS total, round(avg(confidence), 4) AS avg_confidence,
+  count(*) FILTER (WHERE needs_review) AS review_count,
+  count(*) FILTER (WHERE was_escalated) AS escalation_count
+FROM clog GROUP BY language"""
+
+
+LANG_RATES = """lr AS (SELECT language, count(*) AS total_classifications,
+  round(avg(confidence), 4) AS avg_confidence,
+  count(*) FILTER (WHERE needs_review) / greatest(count(*), 1) AS review_rate,
+  count(*) FILTER (WHERE was_escalated) / greatest(count(*), 1) AS escalation_rate
+FROM clog GROUP BY language)"""
+
+
+@sql("language_rates")
+def _():
+    return with_(log_cte(), LANG_RATES) + "SELECT * FROM lr"
+
+
+@sql("intent_distribution")
+def _():
+    return L + """SELECT primary_intent AS intent, count(*) AS count,
+  round(avg(confidence), 4) AS avg_confidence FROM clog GROUP BY primary_intent"""
+
+
+LATENCY = """lat AS (
+  SELECT round(avg(v), 2) AS mean_ms, round(min(v), 2) AS min_ms, round(max(v), 2) AS max_ms,
+    round(max(CASE WHEN rn = n // 2 THEN v END), 2) AS p50_ms,
+    round(max(CASE WHEN n > 1 AND rn = CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) THEN v END), 2) AS p95_ms,
+    round(max(CASE WHEN n > 1 AND rn = CAST(floor(n * CAST(0.99 AS DOUBLE)) AS BIGINT) THEN v END), 2) AS p99_ms
+  FROM (SELECT processing_time_ms AS v,
+               row_number() OVER (ORDER BY processing_time_ms) - 1 AS rn,
+               count(*) OVER () AS n FROM clog))"""
+
+
+@sql("latency_stats")
+def _():
+    return with_(log_cte(), LATENCY) + "SELECT * FROM lat"
+
+
+@sql("total_classifications")
+def _():
+    return L + "SELECT count(*) AS total_classifications FROM clog"
+
+
+@sql("recent_escalations")
+def _():
+    return with_(log_cte(), escalations_cte()) + """SELECT e.*, c.language, c.primary_intent, c.confidence
+FROM escal e LEFT JOIN clog c ON e.classification_id = c.id
+ORDER BY e.ts DESC, e.id DESC LIMIT 50"""
+
+
+@sql("metrics_report")
+def _():
+    return with_(log_cte(), LANG_RATES, LATENCY) + """
+SELECT 'per_language' AS section, language AS key, m.metric, m.value FROM lr,
+  (SELECT unnest(['total_classifications','avg_confidence','review_rate','escalation_rate']) AS metric) m0,
+  LATERAL (SELECT m0.metric AS metric, CASE m0.metric WHEN 'total_classifications' THEN CAST(total_classifications AS DOUBLE)
+     WHEN 'avg_confidence' THEN avg_confidence WHEN 'review_rate' THEN review_rate ELSE escalation_rate END AS value) m
+UNION ALL
+SELECT 'per_intent', primary_intent, 'count', CAST(count(*) AS DOUBLE) FROM clog GROUP BY primary_intent
+UNION ALL
+SELECT 'per_intent', primary_intent, 'avg_confidence', round(avg(confidence), 4) FROM clog GROUP BY primary_intent
+UNION ALL
+SELECT 'latency', NULL, metric, value FROM (UNPIVOT lat ON mean_ms, min_ms, max_ms, p50_ms, p95_ms, p99_ms
+  INTO NAME metric VALUE value)
+UNION ALL
+SELECT 'total', NULL, 'total_classifications', CAST(count(*) AS DOUBLE) FROM clog"""
+
+
+# ---------------------------------------------------------------- evaluation
+
+EVAL = """sp AS (SELECT language AS scope, y_true, y_pred FROM preds
+             UNION ALL SELECT '__all__', y_true, y_pred FROM preds),
+labs AS (SELECT DISTINCT scope, y_true AS label FROM sp UNION SELECT DISTINCT scope, y_pred FROM sp),
+pl AS (
+  SELECT l.scope, l.label,
+    count(*) FILTER (WHERE sp.y_true = l.label AND sp.y_pred = l.label) AS tp,
+    count(*) FILTER (WHERE sp.y_true = l.label) AS support,
+    count(*) FILTER (WHERE sp.y_pred = l.label) AS predicted
+  FROM labs l JOIN sp ON sp.scope = l.scope GROUP BY l.scope, l.label),
+pm AS (
+  SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+    CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+    CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1
+  FROM pl),
+sm AS (
+  SELECT scope, sum(tp) / sum(support) AS accuracy,
+    list_reduce(list(f1 ORDER BY label), lambda a, b: a + b) / count(*) AS f1_macro,
+    list_reduce(list(f1 * support ORDER BY label), lambda a, b: a + b) / sum(support) AS f1_weighted,
+    list_reduce(list(precision ORDER BY label), lambda a, b: a + b) / count(*) AS precision_macro,
+    list_reduce(list(recall ORDER BY label), lambda a, b: a + b) / count(*) AS recall_macro,
+    list_reduce(list(precision * support ORDER BY label), lambda a, b: a + b) / sum(support) AS precision_weighted,
+    list_reduce(list(recall * support ORDER BY label), lambda a, b: a + b) / sum(support) AS recall_weighted,
+    CAST(sum(support) AS BIGINT) AS sample_count
+  FROM pm GROUP BY scope)"""
+
+E = with_(predictions_cte(), EVAL)
+
+
+@sql("eval_overall")
+def _():
+    return E + "SELECT accuracy, f1_macro, f1_weighted, precision_macro, recall_macro FROM sm WHERE scope = '__all__'"
+
+
+@sql("eval_per_language")
+def _():
+    return E + """SELECT scope AS language, accuracy, f1_macro, f1_weighted, precision_macro, recall_macro,
+  sample_count FROM sm WHERE scope <> '__all__'"""
+
+
+@sql("eval_report")
+def _():
+    return E + """SELECT label, precision, recall, f1 AS f1_score, support FROM pm WHERE scope = '__all__'
+UNION ALL SELECT 'accuracy', NULL, NULL, accuracy, sample_count FROM sm WHERE scope = '__all__'
+UNION ALL SELECT 'macro avg', precision_macro, recall_macro, f1_macro, sample_count FROM sm WHERE scope = '__all__'
+UNION ALL SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, sample_count FROM sm
+  WHERE scope = '__all__'"""
+
+
+@sql("confusion_matrix")
+def _():
+    return with_(predictions_cte()) + """, lab AS (SELECT y_true AS l FROM preds UNION SELECT y_pred FROM preds)
+SELECT a.l AS y_true, b.l AS y_pred,
+  (SELECT count(*) FROM preds p WHERE p.y_true = a.l AND p.y_pred = b.l) AS n
+FROM lab a, lab b"""
+
+
+@sql("transfer_gaps")
+def _():
+    return E + """SELECT s.scope AS language, round(s.accuracy - o.accuracy, 4) AS accuracy_gap,
+  round(o.accuracy, 4) AS overall_accuracy
+FROM sm s JOIN sm o ON o.scope = '__all__' WHERE s.scope <> '__all__'"""
+
+
+@sql("low_confidence_analysis")
+def _():
+    return with_(predictions_cte()) + """SELECT count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)) AS count,
+  CASE WHEN count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)) > 0 THEN
+    count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE) AND y_true = y_pred)
+    / count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)) END AS accuracy
+FROM preds"""
+
+
+@sql("evaluate")
+def _():
+    return E + """, cmx AS (
+  SELECT a.label AS t, b.label AS p,
+    (SELECT count(*) FROM preds x WHERE x.y_true = a.label AND x.y_pred = b.label) AS n
+  FROM (SELECT label FROM labs WHERE scope = '__all__') a, (SELECT label FROM labs WHERE scope = '__all__') b),
+gaps AS (SELECT s.scope, round(s.accuracy - o.accuracy, 4) AS gap FROM sm s JOIN sm o ON o.scope = '__all__'
+         WHERE s.scope <> '__all__'),
+low AS (SELECT count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE)) AS c,
+          count(*) FILTER (WHERE confidence < CAST(0.7 AS DOUBLE) AND y_true = y_pred) AS ok FROM preds)
+SELECT CASE WHEN scope = '__all__' THEN 'overall' ELSE 'per_language' END AS section, scope,
+  CAST(NULL AS VARCHAR) AS label, metric, value
+FROM (UNPIVOT (SELECT scope, accuracy, f1_macro, f1_weighted, precision_macro, recall_macro,
+                      CAST(sample_count AS DOUBLE) AS sample_count FROM sm)
+      ON accuracy, f1_macro, f1_weighted, precision_macro, recall_macro, sample_count
+      INTO NAME metric VALUE value)
+UNION ALL
+SELECT 'classification_report', scope, label, metric, value
+FROM (UNPIVOT (SELECT scope, label, precision, recall, f1 AS f1_score, CAST(support AS DOUBLE) AS support
+               FROM pm WHERE scope = '__all__')
+      ON precision, recall, f1_score, support INTO NAME metric VALUE value)
+UNION ALL SELECT 'confusion_matrix', '__all__', t || '->' || p, 'n', CAST(n AS DOUBLE) FROM cmx
+UNION ALL SELECT 'cross_lingual_transfer', scope, NULL, 'accuracy_gap', gap FROM gaps
+UNION ALL SELECT 'low_confidence_analysis', '__all__', NULL, 'count', CAST(c AS DOUBLE) FROM low
+UNION ALL SELECT 'low_confidence_analysis', '__all__', NULL, 'accuracy',
+  CASE WHEN c > 0 THEN ok / c END FROM low"""
+
+
+@sql("accuracy_heatmap")
+def _():
+    return with_(predictions_cte()) + """SELECT * FROM (PIVOT (SELECT language, y_true,
+    CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS ok FROM preds)
+  ON y_true USING avg(ok) GROUP BY language)"""
+
+
+@sql("label_union")
+def _():
+    return with_(predictions_cte()) + "SELECT y_true AS label FROM preds UNION SELECT y_pred FROM preds"
+
+
+@sql("class_counts")
+def _():
+    return with_(phrases_cte(), tickets_cte()) + \
+        "SELECT true_intent AS intent, count(*) AS n FROM tickets GROUP BY true_intent"

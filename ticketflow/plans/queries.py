@@ -184,3 +184,117 @@ def q_needs_review(spark, sf):
 def q_low_confidence_filter(spark, sf):
     from ticketflow.operators.evaluation import low_confidence_filter
     return low_confidence_filter(FX.predictions(spark, sf)).select("id", "y_true", "y_pred", "confidence")
+
+
+# ---------------------------------------------------------------- 2.4 metrics store
+
+def _log(spark, sf):
+    return FX.classification_log(spark, sf)
+
+
+@register("stats_by_language")
+def q_stats_by_language(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.stats_by_language(_log(spark, sf))
+
+
+@register("language_rates")
+def q_language_rates(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.language_rates(M.stats_by_language(_log(spark, sf)))
+
+
+@register("intent_distribution")
+def q_intent_distribution(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.intent_distribution(_log(spark, sf))
+
+
+@register("latency_stats")
+def q_latency_stats(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.latency_stats(_log(spark, sf))
+
+
+@register("total_classifications")
+def q_total_classifications(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.total_classifications(_log(spark, sf))
+
+
+@register("recent_escalations")
+def q_recent_escalations(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.recent_escalations(FX.escalations(spark, sf), _log(spark, sf), 50)
+
+
+@register("metrics_report")
+def q_metrics_report(spark, sf):
+    from ticketflow.operators import metrics as M
+    return M.metrics_report_long(_log(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.4 evaluation
+
+def _preds(spark, sf):
+    return FX.predictions(spark, sf)
+
+
+@register("eval_overall")
+def q_eval_overall(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.eval_overall(_preds(spark, sf))
+
+
+@register("eval_report")
+def q_eval_report(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.eval_report(_preds(spark, sf))
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.confusion_matrix(_preds(spark, sf))
+
+
+@register("eval_per_language")
+def q_eval_per_language(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.eval_per_language(_preds(spark, sf))
+
+
+@register("transfer_gaps")
+def q_transfer_gaps(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.transfer_gaps(_preds(spark, sf))
+
+
+@register("low_confidence_analysis")
+def q_low_confidence_analysis(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.low_confidence_analysis(_preds(spark, sf))
+
+
+@register("evaluate")
+def q_evaluate(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.evaluate(_preds(spark, sf))
+
+
+@register("accuracy_heatmap")
+def q_accuracy_heatmap(spark, sf):
+    from ticketflow.operators import evaluation as EV
+    return EV.accuracy_heatmap(_preds(spark, sf))
+
+
+@register("label_union")
+def q_label_union(spark, sf):
+    p = _preds(spark, sf)
+    return p.select(F.col("y_true").alias("label")).union(p.select("y_pred")).distinct()
+
+
+@register("class_counts")
+def q_class_counts(spark, sf):
+    t = FX.tickets(spark, sf)
+    return t.groupBy(F.col("true_intent").alias("intent")).agg(F.count(F.lit(1)).alias("n"))
