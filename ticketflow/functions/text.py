@@ -98,6 +98,29 @@ def tokens(text) -> Column:
     return F.filter(parts, lambda x: x != F.lit(""))
 
 
+def _java_literal(word: str) -> str:
+    """Escape a word for a Java regex (backslash before every non-alphanumeric)."""
+    return "".join(ch if ch.isalnum() else "\\" + ch for ch in word)
+
+
+def word_alternation(words) -> str:
+    """Regex matching a whole token (``[^\\p{L}\\p{N}]`` bounded) equal to any
+    of ``words``; counting its matches in lower-cased text equals counting
+    the tokens produced by ``tokens`` that are in ``words``."""
+    ws = [w for w in set(words) if w and all(ch.isalnum() for ch in w)]  # others never form a token
+    if not ws:
+        return r"(?!)"
+    alts = "|".join(_java_literal(w) for w in sorted(ws, key=lambda w: (-len(w), w)))
+    return r"(?<![\p{L}\p{N}])(?:" + alts + r")(?![\p{L}\p{N}])"
+
+
+def count_words(lowered, words) -> Column:
+    """Number of tokens of an already lower-cased text that are in ``words``."""
+    if not words:
+        return F.lit(0)
+    return F.regexp_count(_col(lowered), F.lit(word_alternation(words)))
+
+
 def validate_tickets(df, text_col: str = "text", min_chars: int = 1,
                      max_chars: int = MAX_REQUEST_CHARS):
     """Flag rows by the request rule (length 1..5000 code points; blank passes).

@@ -35,24 +35,28 @@ def rules_array(rules: list[tuple] | None = None) -> Column:
     ])
 
 
-def urgency_rules(text, language, rules: list[tuple] | None = None) -> Column:
+def urgency_rules(text, language, rules: list[tuple] | None = None,
+                  lowered: bool = False) -> Column:
     """Ordered array of triggered rule ids ``level:kw`` / ``level:kw:lang``.
 
     Lower-case substring match; a rule with a language applies only when it
-    equals the ticket language.
+    equals the ticket language.  Pass an already lower-cased column with
+    ``lowered=True`` to avoid lower-casing once per rule.
     """
-    low = F.lower(_col(text))
+    low = _col(text) if lowered else F.lower(_col(text))
     lang = _col(language)
-    hits = F.filter(
-        rules_array(rules),
-        lambda r: low.contains(r["keyword"])
-        & (r["language"].isNull() | (r["language"] == lang)),
-    )
-    return F.transform(
-        hits,
-        lambda r: F.when(r["language"].isNull(), F.concat_ws(":", r["level"], r["keyword"]))
-        .otherwise(F.concat_ws(":", r["level"], r["keyword"], r["language"])),
-    )
+    rows = rules if rules is not None else C.keyword_rules()
+    items = []
+    for _, level, kw, rlang in rows:
+        cond = low.contains(F.lit(kw))
+        if rlang is not None:
+            cond = cond & (lang == F.lit(rlang))
+            rid = f"{level}:{kw}:{rlang}"
+        else:
+            rid = f"{level}:{kw}"
+        items.append(F.when(cond, F.lit(rid)))
+    # one CASE per rule inside an array: code-generated, no lambda per rule
+    return F.array_compact(F.array(*items))
 
 
 def urgency_rule_score(triggered) -> Column:

@@ -25,7 +25,8 @@ def score_urgency(df: DataFrame, text_col: str = "text", language_col: str = "la
                   escalation_threshold: float = C.ESCALATION_THRESHOLD) -> DataFrame:
     """Adds urgency, urgency_score, rules_triggered, should_escalate, urgency_reason."""
     conf = F.col(confidence_col) if confidence_col else F.lit(0.0)
-    out = df.withColumn("rules_triggered", U.urgency_rules(text_col, language_col, rules))
+    out = df.withColumn("_low", F.lower(F.col(text_col)))
+    out = out.withColumn("rules_triggered", U.urgency_rules("_low", language_col, rules, lowered=True))
     out = out.withColumn("_rule", U.urgency_rule_score("rules_triggered"))
     out = out.withColumn("_raw", U.combined_score(
         "_rule", U.urgency_ml_score(text_col, ml_score),
@@ -36,7 +37,7 @@ def score_urgency(df: DataFrame, text_col: str = "text", language_col: str = "la
         .withColumn("urgency_score", F.round("_raw", 4))
         .withColumn("should_escalate", esc)
         .withColumn("urgency_reason", U.urgency_reason(F.size("rules_triggered"), esc))
-        .drop("_rule", "_raw")
+        .drop("_rule", "_raw", "_low")
     )
 
 

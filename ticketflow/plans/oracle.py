@@ -411,3 +411,238 @@ def _():
 def _():
     return with_(phrases_cte(), tickets_cte()) + \
         "SELECT true_intent AS intent, count(*) AS n FROM tickets GROUP BY true_intent"
+
+
+# ---------------------------------------------------------------- language
+
+def vote_ctes(src: str, id_col: str, text: str) -> str:
+    """fwords must be defined; yields CTE ``vote`` (id, vlang, vconf)."""
+    return f"""ftok AS (SELECT {id_col} AS vid, unnest({tokens_expr(text)}) AS word FROM {src}),
+fvotes AS (SELECT t.vid, w.language, w.lang_pos, count(*) AS v FROM ftok t JOIN fwords w ON t.word = w.word
+           GROUP BY t.vid, w.language, w.lang_pos),
+franked AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY v DESC, lang_pos) AS rn,
+                   sum(v) OVER (PARTITION BY vid) AS tot FROM fvotes),
+vote AS (SELECT vid, language AS vlang, v / tot AS vconf FROM franked WHERE rn = 1)"""
+
+
+def detect_select(src: str, id_col: str, text: str, blank_expr: str) -> str:
+    return f"""SELECT s.{id_col},
+  CASE WHEN {blank_expr} THEN 'en' ELSE coalesce(v.vlang, 'en') END AS language,
+  CASE WHEN {blank_expr} THEN CAST(0.0 AS DOUBLE) ELSE coalesce(v.vconf, CAST(0.0 AS DOUBLE)) END
+    AS language_confidence
+FROM {src} s LEFT JOIN vote v ON s.{id_col} = v.vid"""
+
+
+BLANK_DOC = "(s.text IS NULL OR regexp_matches(s.text, '^[\\t\\n\\x0b\\f\\r \\x1c-\\x1f\\x{85}\\p{Z}]*$'))"
+
+
+@sql("detect_language")
+def _():
+    return with_(words_cte(), vote_ctes("documents", "doc_id", "text")) + \
+        detect_select("documents", "doc_id", "text", BLANK_DOC)
+
+
+@sql("detect_batch_with_confidence")
+def _():
+    return with_(phrases_cte(), tickets_cte(), cleaned(), words_cte(),
+                 vote_ctes("cleaned", "ticket_id", "cleaned_text")) + \
+        detect_select("cleaned", "ticket_id", "cleaned_text", "s.cleaned_text = ''")
+
+
+@sql("detect_batch")
+def _():
+    return "SELECT ticket_id, language FROM (" + SQL["detect_batch_with_confidence"] + ")"
+
+
+@sql("function_word_vote")
+def _():
+    return with_(words_cte(), vote_ctes("documents", "doc_id", "text")) + \
+        "SELECT d.doc_id, v.vlang AS language, v.vconf AS confidence FROM documents d LEFT JOIN vote v ON d.doc_id = v.vid"
+
+
+@sql("function_word_vote_join")
+def _():
+    return with_(words_cte(), vote_ctes("documents", "doc_id", "text")) + \
+        "SELECT vid AS doc_id, vlang AS language, vconf AS confidence FROM vote"
+
+
+@sql("language_eval")
+def _():
+    return with_(words_cte(), vote_ctes("documents", "doc_id", "text"),
+                 "det AS (" + detect_select("documents", "doc_id", "text", BLANK_DOC) + ")",
+                 """preds AS (SELECT d.lang AS y_true, det.language AS y_pred, d.lang AS language
+                    FROM documents d JOIN det ON d.doc_id = det.doc_id)""",
+                 EVAL) + """SELECT scope AS language, accuracy, f1_macro, f1_weighted, precision_macro,
+  recall_macro, sample_count FROM sm WHERE scope <> '__all__'"""
+
+
+@sql("token_overlap_language")
+def _():
+    from ticketflow.plans.oracle_base import WS, q
+    from ticketflow.sources.fixture_data import OVERLAP_SAMPLES
+    toks = f"list_distinct(list_filter(string_split_regex(lower(text), '{WS}+'), lambda x: x <> ''))"
+    cases = []
+    for lang, sample in OVERLAP_SAMPLES.items():
+        if lang == "en":
+            continue
+        arr = "[" + ", ".join(q(w) for w in sorted(set(sample.lower().split()))) + "]"
+        cases.append(f"WHEN len(list_filter(tk, lambda x: list_contains({arr}, x))) > 3 THEN {q(lang)}")
+    return with_(phrases_cte(), tickets_cte()) + \
+        f"SELECT ticket_id, CASE {' '.join(cases)} ELSE 'en' END AS language FROM (SELECT ticket_id, {toks} AS tk FROM tickets)"
+
+
+@sql("language_names")
+def _():
+    from ticketflow.config import LANGUAGE_NAMES
+    from ticketflow.plans.oracle_base import values
+    return "WITH names AS (SELECT * FROM " + values(list(LANGUAGE_NAMES.items()), ["code", "name"]) + """)
+SELECT d.doc_id, d.lang AS language, coalesce(n.name, d.lang) AS language_name
+FROM documents d LEFT JOIN names n ON d.lang = n.code"""
+
+
+# ---------------------------------------------------------------- intents
+
+def intent_ctes(src: str = "cleaned", id_col: str = "ticket_id", text: str = "cleaned_text",
+                single: bool = False) -> str:
+    """lexicon + intent_labels defined; yields ``isc`` (iid, label, label_pos, h, score, rk)."""
+    score = ("CASE WHEN sum(h) OVER (PARTITION BY iid) = 0 THEN CAST(1.0 AS DOUBLE) / 6 "
+             "ELSE h / sum(h) OVER (PARTITION BY iid) END") if single else "h / (h + 1)"
+    return f"""itok AS (SELECT {id_col} AS iid, unnest({tokens_expr(text)}) AS token FROM {src}),
+ih AS (SELECT i.iid, l.label, sum(l.weight) AS h FROM itok i JOIN lexicon l ON i.token = l.token
+       GROUP BY i.iid, l.label),
+igrid AS (SELECT s.{id_col} AS iid, il.label, il.label_pos, coalesce(ih.h, 0) AS h
+          FROM {src} s CROSS JOIN intent_labels il LEFT JOIN ih ON ih.iid = s.{id_col} AND ih.label = il.label),
+isc0 AS (SELECT *, {score} AS score FROM igrid),
+isc AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, label_pos) AS rk FROM isc0),
+irank AS (
+  SELECT iid, max(label) FILTER (WHERE rk = 1) AS primary_intent,
+    max(score) FILTER (WHERE rk = 1) AS s1,
+    max(label) FILTER (WHERE rk = 2) AS secondary_intent,
+    max(score) FILTER (WHERE rk = 2) AS s2
+  FROM isc GROUP BY iid)"""
+
+
+def I(single: bool = False) -> str:
+    return with_(phrases_cte(), tickets_cte(), cleaned(), lexicon_cte(), labels_cte(),
+                 intent_ctes(single=single))
+
+
+RANK_SELECT = """SELECT iid AS ticket_id, primary_intent, round(s1, 4) AS primary_confidence, secondary_intent,
+  CASE WHEN s2 <> 0 THEN round(s2, 4) END AS secondary_confidence,
+  s1 < CAST(0.7 AS DOUBLE) AS needs_human_review
+FROM irank"""
+
+
+@sql("score_intents")
+def _():
+    return I() + "SELECT iid AS ticket_id, CAST(rk AS INTEGER) AS rank, label, score FROM isc"
+
+
+@sql("score_intents_single_label")
+def _():
+    return I(single=True) + "SELECT iid AS ticket_id, CAST(rk AS INTEGER) AS rank, label, score FROM isc"
+
+
+@sql("score_intents_join")
+def _():
+    return SQL["score_intents"]
+
+
+@sql("rank_intents")
+def _():
+    return I() + RANK_SELECT
+
+
+@sql("intent_scorer")
+def _():
+    return I() + RANK_SELECT
+
+
+@sql("sort_scores")
+def _():
+    return I() + "SELECT iid AS ticket_id, CAST(rk AS INTEGER) AS rank, label, round(score, 4) AS score FROM isc"
+
+
+# ---------------------------------------------------------------- replies
+
+def template_ctes(src: str, lang: str, intent: str, urgency: str) -> str:
+    """templates defined; yields ``tpick`` (tid_, subject, body, prio)."""
+    return f"""tv AS (SELECT ticket_id AS tid_, {lang} AS lang_, {intent} AS intent_,
+         CASE WHEN {urgency} IN ('high', 'critical') THEN 'high_urgency' ELSE 'default' END AS variant_
+       FROM {src}),
+tcand AS (
+  SELECT t.tid_, tp.subject, tp.body,
+    CASE WHEN tp.language = t.lang_ AND tp.variant = t.variant_ THEN 1
+         WHEN tp.language = t.lang_ AND tp.variant = 'default' THEN 2
+         WHEN tp.language = 'en' AND tp.variant = t.variant_ THEN 3
+         ELSE 4 END AS prio
+  FROM tv t JOIN templates tp ON tp.intent = t.intent_ AND tp.language IN (t.lang_, 'en')
+    AND tp.variant IN (t.variant_, 'default')
+  UNION ALL
+  SELECT t.tid_, b.subject, b.body, CASE WHEN b.variant = t.variant_ THEN 5 ELSE 6 END
+  FROM tv t JOIN templates b ON b.language = '*' AND b.variant IN (t.variant_, 'default')),
+tpick AS (SELECT tid_, arg_min(subject, prio) AS subject, arg_min(body, prio) AS body, min(prio) AS prio
+          FROM tcand GROUP BY tid_)"""
+
+
+def render_sql(x: str, name: str, tid: str) -> str:
+    n = f"coalesce(nullif({name}, ''), 'Valued Customer')"
+    t = f"coalesce(nullif({tid}, ''), 'N/A')"
+    stripped = f"replace(replace({x}, '{{customer_name}}', ''), '{{ticket_id}}', '')"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN regexp_matches({stripped}, '\\{{[^{{}}]*\\}}') THEN {x} "
+            f"ELSE replace(replace({x}, '{{customer_name}}', {n}), '{{ticket_id}}', {t}) END")
+
+
+TSRC = "CASE WHEN prio <= 2 THEN 'language' WHEN prio <= 4 THEN 'fallback' WHEN prio <= 6 THEN 'base' END"
+
+
+def TPL() -> str:
+    return with_(phrases_cte(), tickets_cte(), cleaned(), templates_cte(),
+                 template_ctes("cleaned", "true_language", "true_intent", "true_urgency"))
+
+
+@sql("select_template")
+def _():
+    return TPL() + f"SELECT c.ticket_id, {TSRC} AS template_source, subject, body FROM cleaned c LEFT JOIN tpick p ON c.ticket_id = p.tid_"
+
+
+@sql("render_reply")
+def _():
+    return TPL() + (f"SELECT c.ticket_id, {render_sql('subject', 'c.customer_name', 'c.ticket_id')} AS reply_subject, "
+                    f"{render_sql('body', 'c.customer_name', 'c.ticket_id')} AS reply_body "
+                    "FROM cleaned c LEFT JOIN tpick p ON c.ticket_id = p.tid_")
+
+
+@sql("list_templates")
+def _():
+    return with_(phrases_cte(), tickets_cte(), templates_cte()) + """SELECT l.language,
+  CAST(count(DISTINCT t.intent) AS INTEGER) AS n_intents,
+  coalesce(string_agg(DISTINCT t.intent, ',' ORDER BY t.intent), '') AS intents
+FROM (SELECT DISTINCT true_language AS language FROM tickets) l
+LEFT JOIN templates t ON t.language = l.language GROUP BY l.language"""
+
+
+# ---------------------------------------------------------------- flagship
+
+@sql("enrich_tickets")
+def _():
+    det = "det AS (" + detect_select("cleaned", "ticket_id", "cleaned_text", "s.cleaned_text = ''") + ")"
+    ri = """ri AS (
+  SELECT c.*, d.language, d.language_confidence,
+    CASE WHEN c.cleaned_text <> '' THEN r.primary_intent END AS primary_intent,
+    CASE WHEN c.cleaned_text <> '' THEN round(r.s1, 4) END AS primary_confidence,
+    CASE WHEN c.cleaned_text <> '' THEN r.secondary_intent END AS secondary_intent,
+    CASE WHEN c.cleaned_text <> '' AND r.s2 <> 0 THEN round(r.s2, 4) END AS secondary_confidence,
+    c.cleaned_text = '' OR r.s1 < CAST(0.7 AS DOUBLE) AS needs_human_review
+  FROM cleaned c JOIN det d ON c.ticket_id = d.ticket_id JOIN irank r ON c.ticket_id = r.iid)"""
+    head = with_(phrases_cte(), tickets_cte(), cleaned(), words_cte(),
+                 vote_ctes("cleaned", "ticket_id", "cleaned_text"), det, lexicon_cte(), labels_cte(),
+                 intent_ctes(), ri, rules_cte()).rstrip()
+    head += urgency_ctes(src="ri", lang="language", conf="primary_confidence")
+    head += ", " + templates_cte() + ",\n" + template_ctes("urg", "language", "primary_intent", "urgency") + "\n"
+    return head + f"""SELECT u.ticket_id, u.language, round(u.language_confidence, 4) AS language_confidence,
+  u.primary_intent, u.primary_confidence, u.secondary_intent, u.secondary_confidence, u.needs_human_review,
+  u.urgency, u.urgency_score, u.should_escalate, u.urgency_reason, u.rules_triggered,
+  {render_sql('p.subject', 'u.customer_name', 'u.ticket_id')} AS reply_subject,
+  {render_sql('p.body', 'u.customer_name', 'u.ticket_id')} AS reply_body
+FROM urg u LEFT JOIN tpick p ON u.ticket_id = p.tid_"""

@@ -298,3 +298,192 @@ def q_label_union(spark, sf):
 def q_class_counts(spark, sf):
     t = FX.tickets(spark, sf)
     return t.groupBy(F.col("true_intent").alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- 2.9 language
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents", "doc_id", "text", "lang")
+
+
+@register("detect_language")
+def q_detect_language(spark, sf):
+    from ticketflow.operators.language import detect_language
+    d = detect_language(_docs(spark, sf), "text")
+    return d.select("doc_id", "language", "language_confidence")
+
+
+@register("detect_batch")
+def q_detect_batch(spark, sf):
+    from ticketflow.operators.language import detect_batch
+    return detect_batch(cleaned_tickets(spark, sf), "cleaned_text").select("ticket_id", "language")
+
+
+@register("detect_batch_with_confidence")
+def q_detect_batch_with_confidence(spark, sf):
+    from ticketflow.operators.language import detect_batch_with_confidence
+    d = detect_batch_with_confidence(cleaned_tickets(spark, sf), "cleaned_text")
+    return d.select("ticket_id", "language", "language_confidence")
+
+
+@register("function_word_vote")
+def q_function_word_vote(spark, sf):
+    from ticketflow.operators.language import add_function_word_vote
+    v = add_function_word_vote(_docs(spark, sf), "text", "vote")
+    return v.select("doc_id", F.col("vote.language").alias("language"),
+                    F.col("vote.confidence").alias("confidence"))
+
+
+@register("function_word_vote_join")
+def q_function_word_vote_join(spark, sf):
+    from ticketflow.operators.language import function_word_vote_join
+    words = FX.function_words(spark)
+    v = function_word_vote_join(_docs(spark, sf), words.withColumn(
+        "lang_pos", F.when(F.col("language") == "en", 0).when(F.col("language") == "es", 1)
+        .when(F.col("language") == "fr", 2).when(F.col("language") == "de", 3).otherwise(4)),
+        "doc_id", "text")
+    return v.select("doc_id", F.col("vote.language").alias("language"),
+                    F.col("vote.confidence").alias("confidence"))
+
+
+@register("language_eval")
+def q_language_eval(spark, sf):
+    """detect_language evaluated against the documents' labelled language."""
+    from ticketflow.operators.evaluation import eval_per_language
+    from ticketflow.operators.language import detect_language
+    d = detect_language(_docs(spark, sf), "text")
+    preds = d.select(F.col("lang").alias("y_true"), F.col("language").alias("y_pred"),
+                     F.col("lang").alias("language"))
+    return eval_per_language(preds)
+
+
+@register("ngram_profile")
+def q_ngram_profile(spark, sf):
+    from ticketflow.operators.language import fit_ngram_profile, score_ngram_profile
+    docs = _docs(spark, sf)
+    prof = fit_ngram_profile(docs, "text", "lang")
+    s = score_ngram_profile(docs, prof, "doc_id", "text")
+    return s.select("doc_id", F.col("ngram.language").alias("language"),
+                    F.round("ngram.confidence", 4).alias("confidence"))
+
+
+@register("best_language")
+def q_best_language(spark, sf):
+    """Ensemble of both backends (vote first, n-gram profile second)."""
+    from ticketflow.operators.language import detect_language, fit_ngram_profile
+    docs = _docs(spark, sf)
+    prof = fit_ngram_profile(docs, "text", "lang")
+    d = detect_language(docs, "text", "doc_id", profile=prof)
+    return d.select("doc_id", "language", F.round("language_confidence", 4).alias("language_confidence"))
+
+
+@register("token_overlap_language")
+def q_token_overlap_language(spark, sf):
+    from ticketflow.operators.language import token_overlap_language
+    t = FX.tickets(spark, sf)
+    return t.select("ticket_id", token_overlap_language("text").alias("language"))
+
+
+@register("language_names")
+def q_language_names(spark, sf):
+    from ticketflow.operators.language import language_names
+    d = _docs(spark, sf).select("doc_id", F.col("lang").alias("language"))
+    return language_names(d, "language").select("doc_id", "language", "language_name")
+
+
+# ---------------------------------------------------------------- 2.5/2.9 intents
+
+def ranked_tickets(spark, sf) -> DataFrame:
+    from ticketflow.operators.intents import rank_intents, score_intents
+    return rank_intents(score_intents(cleaned_tickets(spark, sf), "cleaned_text"))
+
+
+_RANK_COLS = ["ticket_id", "primary_intent", "primary_confidence", "secondary_intent",
+              "secondary_confidence", "needs_human_review"]
+
+
+@register("score_intents")
+def q_score_intents(spark, sf):
+    from ticketflow.operators.intents import score_intents, sort_scores
+    s = score_intents(cleaned_tickets(spark, sf), "cleaned_text")
+    return sort_scores(s, "ticket_id")
+
+
+@register("score_intents_single_label")
+def q_score_intents_single_label(spark, sf):
+    from ticketflow.operators.intents import score_intents, sort_scores
+    s = score_intents(cleaned_tickets(spark, sf), "cleaned_text", multi_label=False)
+    return sort_scores(s, "ticket_id")
+
+
+@register("score_intents_join")
+def q_score_intents_join(spark, sf):
+    from ticketflow.operators.intents import score_intents_join, sort_scores
+    s = score_intents_join(cleaned_tickets(spark, sf), FX.intent_lexicon(spark), "ticket_id", "cleaned_text")
+    return sort_scores(s, "ticket_id")
+
+
+@register("rank_intents")
+def q_rank_intents(spark, sf):
+    return ranked_tickets(spark, sf).select(*_RANK_COLS)
+
+
+@register("sort_scores")
+def q_sort_scores(spark, sf):
+    from ticketflow.operators.intents import sort_scores
+    r = ranked_tickets(spark, sf)
+    return sort_scores(r, "ticket_id", "all_scores")
+
+
+@register("intent_scorer")
+def q_intent_scorer(spark, sf):
+    """The plug-in path (mapInPandas + model factory) with a lexicon model."""
+    from ticketflow.operators.intents import lexicon_model_factory, model_intent_scores, rank_intents
+    c = cleaned_tickets(spark, sf)
+    s = model_intent_scores(c, lexicon_model_factory(), "ticket_id", "cleaned_text")
+    return rank_intents(s).select(*_RANK_COLS)
+
+
+# ---------------------------------------------------------------- replies
+
+def _ticket_variants(spark, sf):
+    # true labels drive selection so the check isolates the template logic
+    return cleaned_tickets(spark, sf).select(
+        "ticket_id", "customer_name", F.col("true_language").alias("language"),
+        F.col("true_intent").alias("primary_intent"), F.col("true_urgency").alias("urgency"))
+
+
+@register("select_template")
+def q_select_template(spark, sf):
+    from ticketflow.operators.templates import load_templates, select_template
+    s = select_template(_ticket_variants(spark, sf), load_templates(spark))
+    return s.select("ticket_id", "template_source", F.col("template.subject").alias("subject"),
+                    F.col("template.body").alias("body"))
+
+
+@register("render_reply")
+def q_render_reply(spark, sf):
+    from ticketflow.operators.templates import load_templates, render_reply, select_template
+    s = select_template(_ticket_variants(spark, sf), load_templates(spark))
+    r = s.withColumn("reply", render_reply("template", "customer_name", "ticket_id"))
+    return r.select("ticket_id", F.col("reply.subject").alias("reply_subject"),
+                    F.col("reply.body").alias("reply_body"))
+
+
+@register("list_templates")
+def q_list_templates(spark, sf):
+    """Template coverage for the languages seen in the tickets."""
+    from ticketflow.operators.templates import list_templates, load_templates
+    langs = FX.tickets(spark, sf).select(F.col("true_language").alias("language")).distinct()
+    lt = list_templates(load_templates(spark))
+    j = langs.join(F.broadcast(lt), "language", "left")
+    return j.select("language", F.coalesce(F.size("intents"), F.lit(0)).alias("n_intents"),
+                    F.coalesce(F.array_join("intents", ","), F.lit("")).alias("intents"))
+
+
+# ---------------------------------------------------------------- flagship
+
+@register("enrich_tickets")
+def q_enrich_tickets(spark, sf):
+    from ticketflow.plans.enrich import enrich_flat, enrich_tickets
+    return enrich_flat(enrich_tickets(FX.tickets(spark, sf)))

@@ -1,4 +1,11 @@
-"""Readers for the driver's Parquet tables (explicit column pruning)."""
+"""Readers for the driver's Parquet tables (explicit column pruning).
+
+Fact-like tables are "spread" when their scan has fewer partitions than the
+session's default parallelism (for example one Parquet row group read by a
+single task): a one-off round-robin repartition so row-level work uses every
+core.  On a cluster reading many files the scan already has more partitions
+than cores and nothing is added.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +19,23 @@ TABLES = [
     "conversations",
 ]
 
+FACT_TABLES = {"events", "documents", "conversations", "pages", "lineitem", "orders"}
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only if the plan has fewer partitions than cores."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Read one table; when columns are named only those reach the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df) if name in FACT_TABLES else df
