@@ -54,11 +54,16 @@ def with_bucket_offsets(df: DataFrame, key: str, weight: str | None = None,
 
 
 def global_rank(df: DataFrame, order_key: str, group_cols: list[str] | None = None,
-                n_buckets: int = DEFAULT_BUCKETS, out: str = "rank0") -> DataFrame:
-    """0-based rank by ``order_key`` (unique within a group) inside each group."""
+                n_buckets: int = DEFAULT_BUCKETS, out: str = "rank0",
+                tie_breakers: list[str] | None = None) -> DataFrame:
+    """0-based rank by (``order_key``, *tie_breakers) inside each group.
+
+    ``order_key`` must be numeric (bucket edges are its quantiles); rows with
+    equal keys fall in the same bucket and are ordered by the tie breakers.
+    """
     group_cols = list(group_cols or [])
     b = with_bucket_offsets(df, order_key, None, group_cols, n_buckets)
-    w = Window.partitionBy(*group_cols, "_bucket").orderBy(order_key)
+    w = Window.partitionBy(*group_cols, "_bucket").orderBy(order_key, *(tie_breakers or []))
     return b.withColumn(out, F.col("_offset") + F.row_number().over(w) - 1).drop("_bucket", "_offset")
 
 

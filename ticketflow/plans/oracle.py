@@ -646,3 +646,175 @@ def _():
   {render_sql('p.subject', 'u.customer_name', 'u.ticket_id')} AS reply_subject,
   {render_sql('p.body', 'u.customer_name', 'u.ticket_id')} AS reply_body
 FROM urg u LEFT JOIN tpick p ON u.ticket_id = p.tid_"""
+
+
+# ---------------------------------------------------------------- splits, corpora
+
+def split_sql(src: str, id_col: str, strat: str, train: float, val: float, test: float, seed: int,
+              key_cols: str) -> str:
+    rest = val + test
+    rel = test / rest
+    return f"""SELECT {key_cols}, CASE WHEN r < n - n_rest THEN 'train'
+    WHEN r - (n - n_rest) < n_rest - ceil(n_rest * CAST({rel!r} AS DOUBLE)) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, ceil(n * CAST({rest!r} AS DOUBLE)) AS n_rest FROM (
+  SELECT *, row_number() OVER (PARTITION BY {strat} ORDER BY hk, {id_col}) - 1 AS r,
+         count(*) OVER (PARTITION BY {strat}) AS n
+  FROM (SELECT *, CAST('0x' || left(md5(CAST({id_col} AS VARCHAR) || '|' || '{seed}'), 15) AS BIGINT) AS hk
+        FROM {src})))"""
+
+
+@sql("stratified_split")
+def _():
+    return with_(phrases_cte(), tickets_cte()) + split_sql("tickets", "event_id", "true_intent",
+                                                           0.7, 0.15, 0.15, 42, "ticket_id")
+
+
+@sql("save_splits")
+def _():
+    return SQL["stratified_split"]
+
+
+@sql("split_by_language")
+def _():
+    return split_sql("documents", "doc_id", "lang", 0.8, 0.1, 0.1, 7, "doc_id")
+
+
+@sql("head_per_language")
+def _():
+    return """SELECT doc_id, lang FROM (SELECT doc_id, lang,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 100"""
+
+
+CORPORA = """corp AS (SELECT doc_id, text, lang AS language, 'documents' AS source FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents
+  WHERE lang IN ('en', 'es', 'fr', 'de', 'pt')) WHERE rn <= 500)"""
+
+COMBINED = CORPORA + """,
+comb AS (SELECT doc_id, language, row_number() OVER (ORDER BY
+    CASE language WHEN 'en' THEN 0 WHEN 'es' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END, doc_id) - 1
+    AS row_index FROM corp)"""
+
+
+@sql("load_language_corpora")
+def _():
+    return with_(CORPORA) + f"SELECT doc_id, language, source, {hash16('text')} AS text_hash FROM corp"
+
+
+@sql("prepare_combined_dataset")
+def _():
+    return with_(COMBINED) + """SELECT doc_id, row_index,
+  ['billing','technical_support','account','general_inquiry','complaint','feedback'][(row_index % 6) + 1] AS intent,
+  ['low','medium','high','critical'][(row_index % 4) + 1] AS urgency, language FROM comb"""
+
+
+@sql("save_dataset")
+def _():
+    return SQL["prepare_combined_dataset"]
+
+
+@sql("round_robin_label")
+def _():
+    return with_(phrases_cte(), tickets_cte()) + """SELECT ticket_id, row_index,
+  ['billing','technical_support','account','general_inquiry','complaint','feedback'][(row_index % 6) + 1] AS label
+FROM (SELECT ticket_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM tickets)"""
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@sql("read_tickets")
+def _():
+    return with_(phrases_cte(), tickets_cte()) + \
+        "SELECT text, true_intent AS intent, true_urgency AS urgency, true_language AS language FROM tickets"
+
+
+def enriched_log_sql() -> str:
+    return (with_(phrases_cte(), tickets_cte()) +
+            f"""SELECT t.event_id AS id, {hash16('t.text')} AS text_hash, e.language, e.primary_intent,
+  e.primary_confidence AS confidence, e.urgency, e.should_escalate AS was_escalated,
+  e.needs_human_review AS needs_review, CAST(t.ts AS DATE) AS date
+FROM tickets t JOIN ({SQL['enrich_tickets']}) e ON t.ticket_id = e.ticket_id""")
+
+
+@sql("log_classifications")
+def _():
+    return enriched_log_sql()
+
+
+@sql("log_escalations")
+def _():
+    return f"""SELECT id AS classification_id, 'auto-escalated due to high urgency' AS reason, FALSE AS resolved
+FROM ({enriched_log_sql()}) WHERE was_escalated"""
+
+
+@sql("log_accuracy_metrics")
+def _():
+    return E + """SELECT scope AS language, CAST(NULL AS VARCHAR) AS intent, accuracy, f1_macro AS f1_score,
+  sample_count FROM sm WHERE scope <> '__all__'"""
+
+
+@sql("save_evaluation")
+def _():
+    return SQL["evaluate"]
+
+
+@sql("create_tables")
+def _():
+    return """SELECT 'classifications' AS table_name, (SELECT count(*) FROM events) AS n_rows
+UNION ALL SELECT 'escalations', 0 UNION ALL SELECT 'accuracy_metrics', 0"""
+
+
+# ---------------------------------------------------------------- augmentation
+
+def _translations_cte() -> str:
+    from ticketflow.plans.oracle_base import values
+    from ticketflow.sources.fixture_data import translation_rows
+    return "tr AS (SELECT * FROM " + values(translation_rows(), ["source_text", "target_language", "ttext"]) + ")"
+
+
+HEAD = """head AS (SELECT event_id, text, true_intent AS intent, true_urgency AS urgency FROM tickets
+  WHERE true_language = 'en' ORDER BY event_id LIMIT 200),
+aug AS (SELECT h.*, l.language FROM head h, (SELECT unnest(['es', 'fr', 'de', 'pt']) AS language) l)"""
+
+
+@sql("english_head")
+def _():
+    return with_(phrases_cte(), tickets_cte(), HEAD) + "SELECT event_id, text FROM head"
+
+
+@sql("augment_languages")
+def _():
+    return with_(phrases_cte(), tickets_cte(), HEAD, _translations_cte()) + """SELECT a.event_id, a.language,
+  coalesce(t.ttext, a.text) AS text, a.intent, a.urgency, t.ttext IS NOT NULL AS translated
+FROM aug a LEFT JOIN tr t ON a.text = t.source_text AND a.language = t.target_language"""
+
+
+@sql("translator")
+def _():
+    return "SELECT event_id, language, text, intent, urgency FROM (" + SQL["augment_languages"] + ")"
+
+
+# ---------------------------------------------------------------- configuration, streaming
+
+@sql("urgency_config")
+def _():
+    from ticketflow import config as CFG
+    from ticketflow.plans.oracle_base import values
+    from ticketflow.plans.queries import CUSTOM_URGENCY_CONFIG
+    rules = "rules AS (SELECT * FROM " + values(CFG.keyword_rules(CUSTOM_URGENCY_CONFIG),
+                                               ["rule_order", "level", "keyword", "language"]) + ")"
+    return with_(phrases_cte(), tickets_cte(), cleaned(), rules).rstrip() + urgency_ctes() + \
+        "SELECT ticket_id, urgency, urgency_score, rules_triggered FROM urg"
+
+
+@sql("stream_enrich")
+def _():
+    return SQL["enrich_tickets"]
+
+
+@sql("stream_metrics")
+def _():
+    return with_(log_cte()) + """SELECT date_trunc('hour', ts) AS window_start, language, count(*) AS total,
+  round(sum(CAST(confidence AS DECIMAL(18,10))) / count(*), 4) AS avg_confidence,
+  count(*) FILTER (WHERE needs_review) AS review_count,
+  count(*) FILTER (WHERE was_escalated) AS escalation_count
+FROM clog GROUP BY 1, 2"""

@@ -7,6 +7,7 @@ oracle SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -487,3 +488,226 @@ def q_list_templates(spark, sf):
 def q_enrich_tickets(spark, sf):
     from ticketflow.plans.enrich import enrich_flat, enrich_tickets
     return enrich_flat(enrich_tickets(FX.tickets(spark, sf)))
+
+
+# ---------------------------------------------------------------- 2.5 splits, corpora
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    from ticketflow.operators.splits import stratified_split
+    t = FX.tickets(spark, sf).select("ticket_id", "event_id", "true_intent")
+    return stratified_split(t, "event_id", stratify_col="true_intent").select("ticket_id", "split")
+
+
+@register("split_by_language")
+def q_split_by_language(spark, sf):
+    from ticketflow.operators.splits import stratified_split
+    d = _docs(spark, sf).select("doc_id", "lang")
+    return stratified_split(d, "doc_id", 0.8, 0.1, 0.1, stratify_col="lang", random_state=7) \
+        .select("doc_id", "split")
+
+
+@register("head_per_language")
+def q_head_per_language(spark, sf):
+    from ticketflow.operators.splits import head_per_group
+    return head_per_group(_docs(spark, sf).select("doc_id", "lang"), "lang", ["doc_id"], 100)
+
+
+@register("load_language_corpora")
+def q_load_language_corpora(spark, sf):
+    from ticketflow.sources.corpora import load_language_corpora
+    c = load_language_corpora(_docs(spark, sf))
+    return c.select("doc_id", "language", "source", TX.text_hash("text").alias("text_hash"))
+
+
+@register("prepare_combined_dataset")
+def q_prepare_combined_dataset(spark, sf):
+    from ticketflow.sources.corpora import prepare_combined_dataset
+    return prepare_combined_dataset(_docs(spark, sf)).select(
+        "doc_id", "row_index", "intent", "urgency", "language")
+
+
+@register("round_robin_label")
+def q_round_robin_label(spark, sf):
+    from ticketflow.config import INTENT_CATEGORIES
+    from ticketflow.sources.corpora import round_robin_label
+    t = FX.tickets(spark, sf).select("ticket_id", "event_id")
+    return round_robin_label(t, "event_id", INTENT_CATEGORIES, "label").select("ticket_id", "row_index", "label")
+
+
+# ---------------------------------------------------------------- 2.1 sources and sinks
+
+def _scratch(spark, name):
+    from ticketflow.session import scratch_dir
+    return scratch_dir(spark, name)
+
+
+@register("read_tickets")
+def q_read_tickets(spark, sf):
+    from ticketflow.sources.tickets import read_tickets
+    path = _scratch(spark, "tickets-json")
+    FX.tickets(spark, sf).select(
+        "text", F.col("true_intent").alias("intent"), F.col("true_urgency").alias("urgency"),
+        F.col("true_language").alias("language")).write.json(path)
+    return read_tickets(spark, path, multi_line=False)
+
+
+@register("save_dataset")
+def q_save_dataset(spark, sf):
+    from ticketflow.sources.corpora import prepare_combined_dataset
+    from ticketflow.sources.sinks import save_dataset
+    ds = prepare_combined_dataset(_docs(spark, sf))
+    path = save_dataset(ds, _scratch(spark, "data"), "combined_dataset")
+    return spark.read.parquet(path).select("doc_id", "row_index", "intent", "urgency", "language")
+
+
+@register("save_splits")
+def q_save_splits(spark, sf):
+    from ticketflow.operators.splits import stratified_split
+    from ticketflow.sources.sinks import save_splits
+    t = FX.tickets(spark, sf).select("ticket_id", "event_id", "true_intent")
+    out = _scratch(spark, "splits")
+    save_splits(stratified_split(t, "event_id", stratify_col="true_intent"), out)
+    return spark.read.parquet(out).select("ticket_id", "split")
+
+
+def _enriched_log(spark, sf):
+    from ticketflow.plans.enrich import enrich_tickets
+    from ticketflow.sources.sinks import classification_rows
+    e = enrich_tickets(FX.tickets(spark, sf))
+    return classification_rows(e, id_col="event_id", text_col="text", ts_col="ts")
+
+
+@register("log_classifications")
+def q_log_classifications(spark, sf):
+    from ticketflow.sources.sinks import create_tables, log_classifications, read_store
+    base = _scratch(spark, "store")
+    create_tables(spark, base)
+    log_classifications(_enriched_log(spark, sf), base)
+    return read_store(spark, base, "classifications").select(
+        "id", "text_hash", "language", "primary_intent", "confidence", "urgency", "was_escalated",
+        "needs_review", "date")
+
+
+@register("log_escalations")
+def q_log_escalations(spark, sf):
+    from ticketflow.sources.sinks import create_tables, escalation_rows, log_escalations, read_store
+    base = _scratch(spark, "store")
+    create_tables(spark, base)
+    log_escalations(escalation_rows(_enriched_log(spark, sf)), base)
+    return read_store(spark, base, "escalations").select("classification_id", "reason", "resolved")
+
+
+@register("log_accuracy_metrics")
+def q_log_accuracy_metrics(spark, sf):
+    from ticketflow.operators.evaluation import eval_per_language
+    from ticketflow.sources.sinks import accuracy_rows, create_tables, log_accuracy_metrics, read_store
+    base = _scratch(spark, "store")
+    create_tables(spark, base)
+    log_accuracy_metrics(accuracy_rows(eval_per_language(_preds(spark, sf))), base)
+    return read_store(spark, base, "accuracy_metrics").select(
+        "language", "intent", "accuracy", "f1_score", "sample_count")
+
+
+@register("save_evaluation")
+def q_save_evaluation(spark, sf):
+    from ticketflow.operators.evaluation import evaluate
+    from ticketflow.sources.sinks import read_evaluations, save_evaluation
+    path = _scratch(spark, "evaluations")
+    save_evaluation(evaluate(_preds(spark, sf)), path)
+    return read_evaluations(spark, path).drop("run_ts")
+
+
+@register("create_tables")
+def q_create_tables(spark, sf):
+    from ticketflow.sources.sinks import STORE, create_tables, read_store
+    base = _scratch(spark, "store")
+    create_tables(spark, base)
+    create_tables(spark, base)  # idempotent
+    log = _log(spark, sf).withColumn("date", F.to_date("ts"))
+    log.write.mode("append").partitionBy("date").parquet(f"{base}/classifications")
+    parts = [read_store(spark, base, n).select(F.lit(n).alias("table_name")) for n in STORE]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = spark.createDataFrame([(n,) for n in STORE], "table_name string")
+    counts = u.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return names.join(counts, "table_name", "left").select(
+        "table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- 2.3 augmentation
+
+def _english_tickets(spark, sf):
+    return FX.tickets(spark, sf).select(
+        "event_id", "text", F.col("true_intent").alias("intent"), F.col("true_urgency").alias("urgency"),
+        F.col("true_language").alias("language"))
+
+
+@register("english_head")
+def q_english_head(spark, sf):
+    from ticketflow.operators.augment import english_head
+    return english_head(_english_tickets(spark, sf), 200, "event_id").select("event_id", "text")
+
+
+@register("augment_languages")
+def q_augment_languages(spark, sf):
+    from ticketflow.operators.augment import augment_languages
+    a = augment_languages(_english_tickets(spark, sf), FX.translations(spark), "event_id", 200)
+    return a.select("event_id", "language", "text", "intent", "urgency", "translated")
+
+
+@register("translator")
+def q_translator(spark, sf):
+    from ticketflow.operators.augment import augment_with_model, dictionary_translator_factory
+    from ticketflow.sources import fixture_data as D
+    f = dictionary_translator_factory(D.translation_rows())
+    a = augment_with_model(_english_tickets(spark, sf), f, "event_id", 200)
+    return a.select("event_id", "language", "text", "intent", "urgency")
+
+
+# ---------------------------------------------------------------- 2.11 configuration
+
+CUSTOM_URGENCY_CONFIG = {"critical": ["outage", "down", "urgent"], "high": ["refund", "error"]}
+
+
+@register("urgency_config")
+def q_urgency_config(spark, sf):
+    from ticketflow.config import keyword_rules
+    t = cleaned_tickets(spark, sf).withColumn("conf", _ticket_conf())
+    s = UO.score_urgency(t, "cleaned_text", "true_language", "conf",
+                         rules=keyword_rules(CUSTOM_URGENCY_CONFIG))
+    return s.select("ticket_id", "urgency", "urgency_score",
+                    F.array_join("rules_triggered", ",").alias("rules_triggered"))
+
+
+# ---------------------------------------------------------------- 2.10 streaming
+
+@register("stream_enrich")
+def q_stream_enrich(spark, sf):
+    from ticketflow.streaming.enrich import read_enriched, stream_enrich
+    src, sink, ck = _scratch(spark, "stream-src"), _scratch(spark, "stream-out"), _scratch(spark, "stream-ck")
+    t = FX.tickets(spark, sf)
+    t.repartition(4).write.parquet(src)
+    stream_enrich(spark, src, t.schema, sink, ck, max_files_per_trigger=2)
+    return read_enriched(spark, sink)
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf):
+    from ticketflow.streaming.metrics import latest_windows, stream_metrics
+    src, sink, ck = _scratch(spark, "metrics-src"), _scratch(spark, "metrics-out"), _scratch(spark, "metrics-ck")
+    log = _log(spark, sf)
+    # files arrive in event-time order: one write per time slice
+    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    cuts = log.agg(F.percentile_approx(secs, [0.25, 0.5, 0.75], 1000)).first()[0]
+    bounds = [None] + sorted(set(cuts)) + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (secs >= lo)
+        if hi is not None:
+            cond = cond & (secs < hi)
+        log.filter(cond).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # distinct modification times keep the arrival order
+    stream_metrics(spark, src, log.schema, sink, ck, max_files_per_trigger=1)
+    return latest_windows(spark, sink).select(
+        "window_start", "language", "total", "avg_confidence", "review_count", "escalation_count")
