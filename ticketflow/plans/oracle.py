@@ -818,3 +818,24 @@ def _():
   count(*) FILTER (WHERE needs_review) AS review_count,
   count(*) FILTER (WHERE was_escalated) AS escalation_count
 FROM clog GROUP BY 1, 2"""
+
+
+# ---------------------------------------------------------------- remaining inventory keys
+
+@sql("urgency_ml_score")
+def _():
+    return U() + "SELECT ticket_id, ml_score, round(uscore, 4) AS blended FROM urg"
+
+
+@sql("round4")
+def _():
+    return L + """SELECT primary_intent AS intent, round(avg(confidence), 4) AS avg_confidence,
+  round(avg(processing_time_ms), 2) AS avg_ms, round(max(processing_time_ms) / CAST(3.0 AS DOUBLE), 2) AS max_third_ms
+FROM clog GROUP BY primary_intent"""
+
+
+@sql("load_templates")
+def _():
+    return with_(phrases_cte(), tickets_cte(), templates_cte()) + """SELECT p.language, p.intent, t.variant, t.subject
+FROM (SELECT DISTINCT true_language AS language, true_intent AS intent FROM tickets) p
+LEFT JOIN templates t ON t.language = p.language AND t.intent = p.intent"""

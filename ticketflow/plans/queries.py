@@ -711,3 +711,37 @@ def q_stream_metrics(spark, sf):
     stream_metrics(spark, src, log.schema, sink, ck, max_files_per_trigger=1)
     return latest_windows(spark, sink).select(
         "window_start", "language", "total", "avg_confidence", "review_count", "escalation_count")
+
+
+# ---------------------------------------------------------------- remaining inventory keys
+
+@register("urgency_ml_score")
+def q_urgency_ml_score(spark, sf):
+    """Default ML signal (constant 0.5) and the blended score it yields."""
+    from ticketflow.functions import urgency as U
+    t = cleaned_tickets(spark, sf).withColumn("conf", _ticket_conf())
+    ml = U.urgency_ml_score("cleaned_text")
+    rule = U.urgency_rule_score(U.urgency_rules("cleaned_text", "true_language"))
+    return t.select("ticket_id", ml.alias("ml_score"),
+                    F.round(U.combined_score(rule, ml, F.col("conf")), 4).alias("blended"))
+
+
+@register("round4")
+def q_round4(spark, sf):
+    """Display rounding (4 dp confidences, 2 dp latencies) per intent."""
+    log = _log(spark, sf)
+    return log.groupBy(F.col("primary_intent").alias("intent")).agg(
+        F.round(F.avg("confidence"), 4).alias("avg_confidence"),
+        F.round(F.avg("processing_time_ms"), 2).alias("avg_ms"),
+        F.round(F.max("processing_time_ms") / F.lit(3.0), 2).alias("max_third_ms"))
+
+
+@register("load_templates")
+def q_load_templates(spark, sf):
+    """Template rows available for the (language, intent) pairs of the tickets."""
+    from ticketflow.operators.templates import load_templates
+    pairs = FX.tickets(spark, sf).select(F.col("true_language").alias("language"),
+                                         F.col("true_intent").alias("intent")).distinct()
+    tpl = load_templates(spark)
+    return pairs.join(F.broadcast(tpl), ["language", "intent"], "left").select(
+        "language", "intent", "variant", "subject")
