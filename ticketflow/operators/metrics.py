@@ -106,13 +106,12 @@ def metrics_report(log: DataFrame, as_of=None, model_name: str = C.MODEL_NAME,
     lat = latency_stats(log).select(F.struct("*").alias("latency"))
     total = total_classifications(log)
     ts = F.current_timestamp() if as_of is None else F.lit(as_of)
-    # four single-row frames: joined on a constant key (1 x 1 rows each)
-    one = F.lit(1).alias("_k")
-    out = (total.select("*", one)
-           .join(per_lang.select("*", one), "_k")
-           .join(per_intent.select("*", one), "_k")
-           .join(lat.select("*", one), "_k")
-           .drop("_k"))
+    # four single-row aggregates stacked as rows, then folded into one row
+    # (no join): each column is non-null in exactly one of them
+    stacked = total.unionByName(per_lang, allowMissingColumns=True) \
+        .unionByName(per_intent, allowMissingColumns=True).unionByName(lat, allowMissingColumns=True)
+    out = stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in
+                        ["total_classifications", "per_language", "per_intent", "latency"]])
     return out.select(
         ts.alias("timestamp"), "total_classifications", "per_language", "per_intent", "latency",
         F.struct(F.lit(model_name).alias("model_name"),
