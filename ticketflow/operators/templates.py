@@ -116,11 +116,16 @@ def resolve_template_rows(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def resolved_templates(templates: DataFrame) -> DataFrame:
+def template_rows(templates) -> list[tuple]:
+    """Rows of a template set given as parsed rows or as the small DataFrame."""
+    if isinstance(templates, DataFrame):
+        return [tuple(r) for r in templates.collect()]
+    return [tuple(r) for r in templates]
+
+
+def resolved_templates(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """(language, intent, variant, tmpl) with variant -> default already applied."""
-    rows = resolve_template_rows([tuple(r) for r in templates.collect()])
-    spark = templates.sparkSession
-    df = spark.createDataFrame(rows, TEMPLATE_SCHEMA)
+    df = spark.createDataFrame(resolve_template_rows(rows), TEMPLATE_SCHEMA)
     return df.select("language", "intent", "variant", _tmpl_struct().alias("tmpl"))
 
 
@@ -135,16 +140,18 @@ def select_template(df: DataFrame, templates: DataFrame, intent_col: str = "prim
     """Adds ``template`` struct(subject, body, subject_fmt, body_fmt) and
     ``template_source`` (language / fallback / base); null when nothing fits.
 
-    ``templates`` is the small dimension from ``load_templates`` (bounded by
-    the template files); it is collected once on the driver.
+    ``templates`` is the parsed template rows (``read_template_files``) or
+    the small DataFrame from ``load_templates``; either way it is bounded by
+    the template files.
     """
-    res = resolved_templates(templates)
+    rows = template_rows(templates)
+    res = resolved_templates(df.sparkSession, rows)
     own = F.broadcast(res.select(
         F.col("language").alias("_l1"), F.col("intent").alias("_i1"),
         F.col("variant").alias("_v1"), F.col("tmpl").alias("_t1")))
     en = F.broadcast(res.filter(F.col("language") == fallback_language).select(
         F.col("intent").alias("_i2"), F.col("variant").alias("_v2"), F.col("tmpl").alias("_t2")))
-    base_rows = {r[2]: r for r in templates.filter(F.col("language") == BASE).collect()}
+    base_rows = {r[2]: {"subject": r[3], "body": r[4]} for r in rows if r[0] == BASE}
     base_default = base_rows.get(C.DEFAULT_VARIANT)
 
     def base_lit(row):

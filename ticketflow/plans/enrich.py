@@ -20,7 +20,7 @@ from ticketflow.config import Settings
 from ticketflow.functions.text import clean_text
 from ticketflow.operators.intents import model_intent_scores, rank_intents, score_intents
 from ticketflow.operators.language import detect_language
-from ticketflow.operators.templates import load_templates, render_reply, select_template
+from ticketflow.operators.templates import read_template_files, render_reply, select_template
 from ticketflow.operators.urgency import score_urgency
 
 INTENT_COLS = ["primary_intent", "primary_confidence", "secondary_intent", "secondary_confidence",
@@ -39,8 +39,7 @@ def enrich_tickets(df: DataFrame, text_col: str = "text", id_col: str = "ticket_
                    profile: DataFrame | None = None, settings: Settings = Settings(),
                    lexicon: list | None = None, rules: list | None = None, ml_score=None,
                    intent_model=None, keep_cols: list[str] | None = None) -> DataFrame:
-    spark = df.sparkSession
-    templates = templates if templates is not None else load_templates(spark)
+    templates = templates if templates is not None else read_template_files()
     keep = list(keep_cols) if keep_cols is not None else [c for c in df.columns]
     x = df.withColumn("cleaned_text", clean_text(text_col, settings.max_length))
     x = x.withColumn("_low", F.lower(F.col("cleaned_text")))
