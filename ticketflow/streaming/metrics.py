@@ -28,7 +28,9 @@ def windowed_metrics(log: DataFrame, window: str = "1 hour", watermark: str = "2
                  F.count_if(F.col("needs_review")).alias("review_count"),
                  F.count_if(F.col("was_escalated")).alias("escalation_count"),
                  F.percentile_approx("processing_time_ms", 0.95, 1000).alias("p95_ms_approx"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+            # back to wall-clock (NTZ) bounds: independent of the session time zone
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
                     "language", "total", "sum_confidence", "review_count", "escalation_count",
                     "p95_ms_approx"))
 
