@@ -5,7 +5,6 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from ticketflow.operators.metrics import latency_stats
 from ticketflow.operators.ranking import global_rank, kth_smallest

@@ -74,7 +74,7 @@ def is_blank(text) -> Column:
 
 
 def clean_text(text, max_length: int = MAX_LENGTH, normalize: bool = True) -> Column:
-    """The full cleaning pipeline as one column expression."""
+    """All cleaning steps as one column expression."""
     t = _col(text)
     x = normalize_unicode(t) if normalize else t
     x = truncate(collapse_whitespace(mask_emails(mask_urls(x))), max_length)

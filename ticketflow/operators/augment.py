@@ -61,7 +61,6 @@ def augment_with_model(df: DataFrame, factory: TranslatorFactory, order_col: str
     targets = list(targets or DEFAULT_TARGETS)
     head = english_head(df, samples_per_lang, order_col, language_col)
     x = _expand(head, targets, language_col)
-    cols = x.columns
     schema = x.drop("_src_lang").schema.add("translated", "boolean")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +87,6 @@ def augment_with_model(df: DataFrame, factory: TranslatorFactory, order_col: str
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 
-    _ = cols
     return x.mapInPandas(run, schema)
 
 

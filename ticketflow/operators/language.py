@@ -19,11 +19,11 @@ no backend has evidence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
-from ticketflow.functions.text import TOKEN_SPLIT, WS_CLASS, count_words, is_blank, tokens
+from ticketflow.functions.text import WS_CLASS, count_words, is_blank, tokens
 from ticketflow.sources import fixture_data as D
 
 PROFILE_BROADCAST_LIMIT = 2_000_000
@@ -243,5 +243,3 @@ def language_names(df: DataFrame, code_col: str = "language", names: dict | None
     out = df.join(F.broadcast(dim), F.col(code_col) == F.col("_code"), "left")
     return out.withColumn("language_name", F.coalesce(F.col("_name"), F.col(code_col))).drop("_code", "_name")
 
-
-_ = TOKEN_SPLIT

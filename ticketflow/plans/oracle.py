@@ -214,8 +214,6 @@ def _():
         "SELECT id, y_true, y_pred, confidence FROM preds WHERE confidence < CAST(0.7 AS DOUBLE)"
 
 
-_unused = (escalations_cte, labels_cte, lexicon_cte, templates_cte, tokens_expr, words_cte)
-
 
 # ---------------------------------------------------------------- metrics store
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ticketflow.plans.enrich import enrich_flat, enrich_tickets
 
@@ -40,5 +39,3 @@ def stream_enrich(spark: SparkSession, source_dir: str, schema, sink_dir: str, c
 def read_enriched(spark: SparkSession, sink_dir: str) -> DataFrame:
     return spark.read.parquet(sink_dir).drop("batch_id")
 
-
-_ = F
