@@ -20,9 +20,20 @@ DEFAULT_TARGETS = ["es", "fr", "de", "pt"]
 TABLE_BROADCAST_LIMIT = 1_000_000
 
 
+TOP_K_LIMIT = 100_000
+
+
 def english_head(df: DataFrame, n: int, order_col: str, language_col: str = "language",
                  source_language: str = "en") -> DataFrame:
-    return df.filter(F.col(language_col) == source_language).orderBy(order_col).limit(n)
+    """First n source-language rows by ``order_col``.  Up to ``TOP_K_LIMIT``
+    rows this is a top-k (each task keeps n, one task merges n x tasks);
+    beyond it the exact bucketed rank is used so n rows never meet in one
+    task."""
+    src = df.filter(F.col(language_col) == source_language)
+    if n <= TOP_K_LIMIT:
+        return src.orderBy(order_col).limit(n)
+    from ticketflow.operators.ranking import global_rank
+    return global_rank(src, order_col, None, out="_r").filter(F.col("_r") < n).drop("_r")
 
 
 def _expand(head: DataFrame, targets: list[str], language_col: str) -> DataFrame:

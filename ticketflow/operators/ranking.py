@@ -64,7 +64,8 @@ def global_rank(df: DataFrame, order_key: str, group_cols: list[str] | None = No
     group_cols = list(group_cols or [])
     b = with_bucket_offsets(df, order_key, None, group_cols, n_buckets)
     w = Window.partitionBy(*group_cols, "_bucket").orderBy(order_key, *(tie_breakers or []))
-    return b.withColumn(out, F.col("_offset") + F.row_number().over(w) - 1).drop("_bucket", "_offset")
+    ranked = b.withColumn(out, F.col("_offset") + F.row_number().over(w) - 1)
+    return ranked.select(*df.columns, out)
 
 
 def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None],

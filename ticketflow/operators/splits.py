@@ -99,12 +99,23 @@ def split_frames(split_df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(split_df.filter(F.col("split") == s).drop("split") for s in SPLITS)  # type: ignore[return-value]
 
 
-def head_per_group(df: DataFrame, group_col: str, order_cols: list[str], n: int) -> DataFrame:
+GROUP_LIMIT_THRESHOLD = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
+
+
+def head_per_group(df: DataFrame, group_col: str, order_cols: list[str], n: int,
+                   n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """First ``n`` rows per group by an explicit order.
 
-    ``row_number() <= n`` is planned as a WindowGroupLimit: each map task
-    keeps at most n rows per group before the shuffle, so a hot group ships
-    n rows per task, not all of its rows.
+    For n up to the group-limit threshold, ``row_number() <= n`` is planned as
+    a WindowGroupLimit: each map task keeps at most n rows per group before
+    the shuffle, so a hot group ships n rows per task, not all of its rows.
+    Above it (where that rewrite does not apply) the rank comes from the
+    bucketed ``global_rank`` (numeric leading order key), so no group is
+    sorted in one task.
     """
+    numeric = dict(df.dtypes).get(order_cols[0], "") in ("bigint", "int", "smallint", "double", "float")
+    if n > GROUP_LIMIT_THRESHOLD and numeric:
+        r = global_rank(df, order_cols[0], [group_col], n_buckets, "_rn0", tie_breakers=list(order_cols[1:]))
+        return r.filter(F.col("_rn0") < n).drop("_rn0")
     w = Window.partitionBy(group_col).orderBy(*order_cols)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

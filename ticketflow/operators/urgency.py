@@ -10,7 +10,7 @@ one is joined by the planner's choice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
@@ -47,18 +47,30 @@ def urgency_rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id"
     """Long form: one row per (ticket, rule) hit.
 
     ``rules`` has columns (rule_order, level, keyword, language); a null rule
-    language applies to every ticket.  Rule tables are user configuration;
-    the count check bounds what is broadcast.
+    language applies to every ticket.  The match is a substring test, so the
+    join is a broadcast nested-loop join against the rule table.  Rule tables
+    larger than ``broadcast_rule_limit`` rows are cut into chunks of that
+    size by rule order and each chunk is broadcast on its own (results
+    unioned): never a shuffled cartesian product, and the ticket side is
+    streamed once per chunk.
     """
     r = rules.select(
         F.col("rule_order"), F.col("level"), F.col("keyword"),
         F.col("language").alias("rule_language"))
-    if r.count() <= broadcast_rule_limit:
-        r = F.broadcast(r)
+    n_rules = r.count()
+    n_chunks = max(1, -(-n_rules // broadcast_rule_limit))
     t = df.select(id_col, F.lower(F.col(text_col)).alias("_low"), F.col(language_col).alias("_lang"))
     cond = F.col("_low").contains(F.col("keyword")) & (
         F.col("rule_language").isNull() | (F.col("rule_language") == F.col("_lang")))
-    hit = t.join(r, cond, "inner")
+    if n_chunks == 1:
+        hit = t.join(F.broadcast(r), cond, "inner")
+    else:
+        ranked = r.withColumn("_chunk", F.ntile(n_chunks).over(Window.orderBy("rule_order")))
+        ranked = ranked.checkpoint()  # rule table materialized once for all chunks
+        hit = None
+        for c in range(1, n_chunks + 1):
+            part = t.join(F.broadcast(ranked.filter(F.col("_chunk") == c).drop("_chunk")), cond, "inner")
+            hit = part if hit is None else hit.unionByName(part)
     rule_id = F.when(F.col("rule_language").isNull(), F.concat_ws(":", "level", "keyword")) \
         .otherwise(F.concat_ws(":", "level", "keyword", "rule_language"))
     return hit.select(id_col, "rule_order", "level", "keyword", "rule_language",
