@@ -65,6 +65,9 @@ def urgency_rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id"
     if n_chunks == 1:
         hit = t.join(F.broadcast(r), cond, "inner")
     else:
+        from ticketflow.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
         ranked = r.withColumn("_chunk", F.ntile(n_chunks).over(Window.orderBy("rule_order")))
         ranked = ranked.checkpoint()  # rule table materialized once for all chunks
         hit = None
