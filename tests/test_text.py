@@ -90,3 +90,14 @@ def test_word_count_equals_token_count(spark):
 def test_display_label(spark):
     r = spark.createDataFrame([("technical_support",)], "l string").select(TX.display_label("l").alias("d")).first()
     assert r.d == "Technical Support"
+
+
+def test_nfkc_engines_agree_on_assigned_code_points(spark):
+    import unicodedata as ud
+    cps = [cp for cp in range(0xA0, 0x30000, 7)
+           if not (0xD800 <= cp <= 0xDFFF) and ud.category(chr(cp)) != "Cn"]
+    df = spark.createDataFrame([(cp, "x" + chr(cp) + "ﬁ") for cp in cps], "cp int, s string")
+    rows = df.select("cp", "s", TX.normalize_unicode("s", "jvm").alias("j"),
+                     TX.normalize_unicode("s", "python").alias("p")).collect()
+    for r in rows:
+        assert r.j == r.p == ud.normalize("NFKC", r.s), hex(r.cp)
