@@ -26,6 +26,26 @@ def low_confidence_filter(preds: DataFrame, confidence_col: str = "confidence",
     return preds.filter(F.col(confidence_col) < F.lit(float(cutoff)))
 
 
+def base_counts(preds: DataFrame, cutoff: float = C.LOW_CONFIDENCE_CUTOFF) -> DataFrame:
+    """The one pass over predictions: (language, y_true, y_pred, low, n).
+
+    At most languages x labels^2 x 2 rows; every section of ``evaluate`` is
+    derived from it, so the predictions are scanned once.
+    """
+    low = F.coalesce(F.col("confidence") < F.lit(float(cutoff)), F.lit(False)) \
+        if "confidence" in preds.columns else F.lit(False)
+    return preds.groupBy("language", "y_true", "y_pred", low.alias("low")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def counts_from_base(base: DataFrame) -> DataFrame:
+    """(scope, y_true, y_pred, n) for every language and ALL_SCOPE."""
+    per = base.groupBy(F.col("language").alias("scope"), "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    overall = base.groupBy("y_true", "y_pred").agg(F.sum("n").alias("n")).select(
+        F.lit(ALL_SCOPE).alias("scope"), "y_true", "y_pred", "n")
+    return per.unionByName(overall)
+
+
 def confusion_counts(preds: DataFrame, by_language: bool = True) -> DataFrame:
     """(scope, y_true, y_pred, n); scope = language or ALL_SCOPE."""
     if by_language:
@@ -136,7 +156,10 @@ def confusion_matrix(preds: DataFrame) -> DataFrame:
     Labels = sorted union of true and predicted labels.  The grid is built by
     exploding the (bounded) label array twice, then left-joined to the counts.
     """
-    counts = confusion_counts(preds, by_language=False).drop("scope")
+    return _matrix_from_counts(confusion_counts(preds, by_language=False).drop("scope"))
+
+
+def _matrix_from_counts(counts: DataFrame) -> DataFrame:
     labels = counts.agg(F.array_sort(F.array_union(
         F.collect_set("y_true"), F.collect_set("y_pred"))).alias("labels"))
     grid = labels.select(F.explode("labels").alias("y_true"), "labels") \
@@ -154,7 +177,11 @@ def confusion_matrix_wide(preds: DataFrame) -> DataFrame:
 
 def transfer_gaps(preds: DataFrame) -> DataFrame:
     """(language, accuracy_gap, overall_accuracy), both 4 dp; empty -> empty."""
-    m = scope_metrics(per_label(confusion_counts(preds)))
+    return _gaps_from_metrics(scope_metrics(per_label(confusion_counts(preds))))
+
+
+def _gaps_from_metrics(m: DataFrame) -> DataFrame:
+    # window over one row per scope (languages + 1): a tiny table
     overall = F.max(F.when(F.col("scope") == ALL_SCOPE, F.col("accuracy"))).over(Window.partitionBy())
     return m.withColumn("_overall", overall).filter(F.col("scope") != ALL_SCOPE).select(
         F.col("scope").alias("language"),
@@ -171,6 +198,13 @@ def low_confidence_analysis(preds: DataFrame, cutoff: float = C.LOW_CONFIDENCE_C
                     .alias("accuracy"))
 
 
+def _low_from_base(base: DataFrame) -> DataFrame:
+    low = base.filter(F.col("low"))
+    g = low.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+                F.coalesce(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))), F.lit(0)).alias("_ok"))
+    return g.select("count", F.when(F.col("count") > 0, F.col("_ok") / F.col("count")).alias("accuracy"))
+
+
 def accuracy_heatmap(preds: DataFrame, labels: list | None = None) -> DataFrame:
     """language x true-label accuracy matrix (pivot on the bounded label set)."""
     correct = F.when(F.col("y_true") == F.col("y_pred"), 1).otherwise(0)
@@ -181,8 +215,16 @@ def accuracy_heatmap(preds: DataFrame, labels: list | None = None) -> DataFrame:
 
 
 def evaluate(preds: DataFrame) -> DataFrame:
-    """All sections as (section, scope, label, metric, value)."""
-    counts = confusion_counts(preds)
+    """All sections as (section, scope, label, metric, value).
+
+    One scan: ``base_counts`` is the only aggregate over the predictions and
+    is checkpointed (it is tiny); the confusion matrix, metrics, gaps and
+    low-confidence section are all computed from that table.
+    """
+    from ticketflow.session import materialize
+
+    base = materialize(base_counts(preds))  # tiny: languages x labels^2 x 2 rows
+    counts = counts_from_base(base)
     lab = per_label(counts)
     m = scope_metrics(lab)
     metric_map = F.create_map(*[x for c in METRIC_COLS + ["sample_count"]
@@ -197,15 +239,16 @@ def evaluate(preds: DataFrame) -> DataFrame:
             F.lit("precision"), F.col("precision"), F.lit("recall"), F.col("recall"),
             F.lit("f1_score"), F.col("f1"), F.lit("support"), F.col("support").cast("double")))
         .alias("metric", "value"))
-    cm = confusion_matrix(preds).select(
+    overall = counts.filter(F.col("scope") == ALL_SCOPE).drop("scope")
+    cm = _matrix_from_counts(overall).select(
         F.lit("confusion_matrix").alias("section"), F.lit(ALL_SCOPE).alias("scope"),
         F.concat_ws("->", "y_true", "y_pred").alias("label"), F.lit("n").alias("metric"),
         F.col("n").cast("double").alias("value"))
-    gaps = transfer_gaps(preds).select(
+    gaps = _gaps_from_metrics(m).select(
         F.lit("cross_lingual_transfer").alias("section"), F.col("language").alias("scope"),
         F.lit(None).cast("string").alias("label"), F.lit("accuracy_gap").alias("metric"),
         F.col("accuracy_gap").alias("value"))
-    low = low_confidence_analysis(preds).select(
+    low = _low_from_base(base).select(
         F.lit("low_confidence_analysis").alias("section"), F.lit(ALL_SCOPE).alias("scope"),
         F.lit(None).cast("string").alias("label"),
         F.explode(F.create_map(F.lit("count"), F.col("count").cast("double"),

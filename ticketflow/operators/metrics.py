@@ -119,29 +119,55 @@ def metrics_report(log: DataFrame, as_of=None, model_name: str = C.MODEL_NAME,
     )
 
 
+def log_summary(log: DataFrame) -> DataFrame:
+    """One pass over the log: GROUPING SETS ((language), (primary_intent), ()).
+
+    Columns: kind (language / intent / total), key, total, sum_confidence is
+    kept as avg, review_count, escalation_count.  Per-language stats, the
+    intent distribution and the total all come from this one aggregate.
+    """
+    g = log.groupingSets([[F.col("language")], [F.col("primary_intent")], []],
+                         "language", "primary_intent").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.avg("confidence").alias("_avg"),
+        F.count_if(F.col("needs_review")).alias("review_count"),
+        F.count_if(F.col("was_escalated")).alias("escalation_count"),
+        F.grouping_id().alias("_gid"))
+    kind = F.when(F.col("_gid") == 1, F.lit("language")).when(F.col("_gid") == 2, F.lit("intent")) \
+        .otherwise(F.lit("total"))
+    key = F.when(F.col("_gid") == 1, F.col("language")).when(F.col("_gid") == 2, F.col("primary_intent"))
+    return g.select(kind.alias("kind"), key.alias("key"), "total",
+                    F.round("_avg", 4).alias("avg_confidence"), "review_count", "escalation_count")
+
+
 def metrics_report_long(log: DataFrame) -> DataFrame:
-    """The report as (section, key, metric, value) rows, for comparison/export."""
-    rates = language_rates(stats_by_language(log))
-    lang_long = rates.select(
-        F.lit("per_language").alias("section"), F.col("language").alias("key"),
+    """The report as (section, key, metric, value) rows, for comparison/export.
+
+    Counts and averages come from the single ``log_summary`` pass (a tiny,
+    checkpointed table); latency from the histogram path.
+    """
+    from ticketflow.session import materialize
+
+    summ = materialize(log_summary(log))  # one row per language / intent + total
+    denom = F.greatest(F.col("total"), F.lit(1))
+    lang_long = summ.filter(F.col("kind") == "language").select(
+        F.lit("per_language").alias("section"), "key",
         F.explode(F.create_map(
-            F.lit("total_classifications"), F.col("total_classifications").cast("double"),
+            F.lit("total_classifications"), F.col("total").cast("double"),
             F.lit("avg_confidence"), F.col("avg_confidence"),
-            F.lit("review_rate"), F.col("review_rate"),
-            F.lit("escalation_rate"), F.col("escalation_rate"))).alias("metric", "value"))
-    intents = intent_distribution(log)
-    intent_long = intents.select(
-        F.lit("per_intent").alias("section"), F.col("intent").alias("key"),
+            F.lit("review_rate"), F.col("review_count") / denom,
+            F.lit("escalation_rate"), F.col("escalation_count") / denom)).alias("metric", "value"))
+    intent_long = summ.filter(F.col("kind") == "intent").select(
+        F.lit("per_intent").alias("section"), "key",
         F.explode(F.create_map(
-            F.lit("count"), F.col("count").cast("double"),
+            F.lit("count"), F.col("total").cast("double"),
             F.lit("avg_confidence"), F.col("avg_confidence"))).alias("metric", "value"))
     lat = latency_stats(log)
     lat_long = lat.select(
         F.lit("latency").alias("section"), F.lit(None).cast("string").alias("key"),
         F.explode(F.create_map(*[x for c in lat.columns for x in (F.lit(c), F.col(c))]))
         .alias("metric", "value"))
-    tot = total_classifications(log).select(
+    tot = summ.filter(F.col("kind") == "total").select(
         F.lit("total").alias("section"), F.lit(None).cast("string").alias("key"),
-        F.lit("total_classifications").alias("metric"),
-        F.col("total_classifications").cast("double").alias("value"))
+        F.lit("total_classifications").alias("metric"), F.col("total").cast("double").alias("value"))
     return lang_long.unionByName(intent_long).unionByName(lat_long).unionByName(tot)

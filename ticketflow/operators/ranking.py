@@ -73,7 +73,11 @@ def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None],
     """One row: for each name, the value at 0-based position ``rank`` of the
     sorted key (None rank -> null).  Works on the value histogram, so a hot
     value is one row, not a hot partition."""
-    hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    from ticketflow.session import materialize
+
+    # distinct values with counts, materialized once: the bucket edges, the
+    # offsets and the final pass all read it instead of re-aggregating
+    hist = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")))
     b = with_bucket_offsets(hist, key, "_c", None, n_buckets)
     run = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     cum = b.withColumn("_cum", F.col("_offset") + F.sum("_c").over(run))

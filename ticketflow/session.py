@@ -59,6 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize(df):
+    """Eager reliable checkpoint (shared checkpoint dir) of a small derived
+    table that several branches read: the large input is scanned once and
+    the lineage is cut, so a lost executor does not re-run the scan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
