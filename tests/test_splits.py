@@ -44,3 +44,11 @@ def test_small_class_disables_stratification(spark):
 def test_missing_column_is_unstratified(data):
     s = stratified_split(data.drop("intent"), "id", stratify_col="intent")
     assert s.filter(F.col("split") == "train").count() == 6000 - 1800
+
+
+def test_second_stage_falls_back_to_unstratified(spark):
+    rows = [(i, "a") for i in range(50)] + [(100, "b"), (101, "b")]
+    s = stratified_split(spark.createDataFrame(rows, "id long, intent string"), "id")
+    got = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+    # train per class: 50 - ceil(15.0) and 2 - ceil(0.6); rest of 16 split globally 8 / 8
+    assert got == {"train": 36, "val": 8, "test": 8}
