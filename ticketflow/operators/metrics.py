@@ -51,16 +51,19 @@ LATENCY_SCHEMA = "mean_ms double, min_ms double, max_ms double, p50_ms double, p
 
 
 def latency_stats(log: DataFrame, col: str = "processing_time_ms",
-                  n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  n_buckets: int = DEFAULT_BUCKETS, stats: tuple | None = None) -> DataFrame:
     """mean/min/max and p50/p95/p99, 2 dp.
 
     Percentile p is the value at 0-based position int(n*p) of the sorted
     values (p50 at n//2).  Empty input: zeros and null percentiles; one row:
     p50 only.  Positions are found on the value histogram with bucket
     offsets (``ranking.kth_smallest``), never by sorting all rows in one task.
+    ``stats`` = (count, mean, min, max) when the caller already has them.
     """
     spark = log.sparkSession
-    n, mean, mn, mx = log.agg(F.count(col), F.avg(col), F.min(col), F.max(col)).first()
+    if stats is None:
+        stats = tuple(log.agg(F.count(col), F.avg(col), F.min(col), F.max(col)).first())
+    n, mean, mn, mx = stats
     if not n:
         return spark.createDataFrame([(0.0, 0.0, 0.0, None, None, None)], LATENCY_SCHEMA)
     ranks = {
@@ -132,12 +135,15 @@ def log_summary(log: DataFrame) -> DataFrame:
         F.avg("confidence").alias("_avg"),
         F.count_if(F.col("needs_review")).alias("review_count"),
         F.count_if(F.col("was_escalated")).alias("escalation_count"),
+        F.count("processing_time_ms").alias("lat_n"), F.avg("processing_time_ms").alias("lat_mean"),
+        F.min("processing_time_ms").alias("lat_min"), F.max("processing_time_ms").alias("lat_max"),
         F.grouping_id().alias("_gid"))
     kind = F.when(F.col("_gid") == 1, F.lit("language")).when(F.col("_gid") == 2, F.lit("intent")) \
         .otherwise(F.lit("total"))
     key = F.when(F.col("_gid") == 1, F.col("language")).when(F.col("_gid") == 2, F.col("primary_intent"))
     return g.select(kind.alias("kind"), key.alias("key"), "total",
-                    F.round("_avg", 4).alias("avg_confidence"), "review_count", "escalation_count")
+                    F.round("_avg", 4).alias("avg_confidence"), "review_count", "escalation_count",
+                    "lat_n", "lat_mean", "lat_min", "lat_max")
 
 
 def metrics_report_long(log: DataFrame) -> DataFrame:
@@ -162,7 +168,8 @@ def metrics_report_long(log: DataFrame) -> DataFrame:
         F.explode(F.create_map(
             F.lit("count"), F.col("total").cast("double"),
             F.lit("avg_confidence"), F.col("avg_confidence"))).alias("metric", "value"))
-    lat = latency_stats(log)
+    t = summ.filter(F.col("kind") == "total").select("lat_n", "lat_mean", "lat_min", "lat_max").first()
+    lat = latency_stats(log, stats=tuple(t) if t is not None else (0, None, None, None))
     lat_long = lat.select(
         F.lit("latency").alias("section"), F.lit(None).cast("string").alias("key"),
         F.explode(F.create_map(*[x for c in lat.columns for x in (F.lit(c), F.col(c))]))
