@@ -837,3 +837,29 @@ def _():
     return with_(phrases_cte(), tickets_cte(), templates_cte()) + """SELECT p.language, p.intent, t.variant, t.subject
 FROM (SELECT DISTINCT true_language AS language, true_intent AS intent FROM tickets) p
 LEFT JOIN templates t ON t.language = p.language AND t.intent = p.intent"""
+
+
+# ---------------------------------------------------------------- quality of the enrichment
+
+def _enriched_preds(y_true: str, y_pred: str) -> str:
+    return (with_(phrases_cte(), tickets_cte()) +
+            f"""SELECT t.{y_true} AS y_true, {y_pred} AS y_pred, t.true_language AS language
+FROM tickets t JOIN ({SQL['enrich_tickets']}) e ON t.ticket_id = e.ticket_id""")
+
+
+@sql("intent_eval")
+def _():
+    return ("WITH preds AS (" + _enriched_preds("true_intent", "coalesce(e.primary_intent, 'none')") + "),\n"
+            + EVAL + """
+SELECT scope AS language, accuracy, f1_macro, f1_weighted, precision_macro, recall_macro, sample_count
+FROM sm WHERE scope <> '__all__'""")
+
+
+@sql("urgency_eval")
+def _():
+    return ("WITH preds AS (" + _enriched_preds("true_urgency", "e.urgency") + "),\n" + EVAL + """
+SELECT label, precision, recall, f1 AS f1_score, support FROM pm WHERE scope = '__all__'
+UNION ALL SELECT 'accuracy', NULL, NULL, accuracy, sample_count FROM sm WHERE scope = '__all__'
+UNION ALL SELECT 'macro avg', precision_macro, recall_macro, f1_macro, sample_count FROM sm WHERE scope = '__all__'
+UNION ALL SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, sample_count FROM sm
+  WHERE scope = '__all__'""")

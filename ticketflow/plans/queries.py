@@ -745,3 +745,31 @@ def q_load_templates(spark, sf):
     tpl = load_templates(spark)
     return pairs.join(F.broadcast(tpl), ["language", "intent"], "left").select(
         "language", "intent", "variant", "subject")
+
+
+# ---------------------------------------------------------------- quality of the enrichment
+
+def _enriched_vs_labels(spark, sf):
+    from ticketflow.plans.enrich import enrich_tickets
+    return enrich_tickets(FX.tickets(spark, sf))
+
+
+@register("intent_eval")
+def q_intent_eval(spark, sf):
+    """Per-language intent accuracy / F1 of the enrichment vs the ticket labels."""
+    from ticketflow.operators.evaluation import eval_per_language
+    e = _enriched_vs_labels(spark, sf)
+    preds = e.select(F.col("true_intent").alias("y_true"),
+                     F.coalesce("primary_intent", F.lit("none")).alias("y_pred"),
+                     F.col("true_language").alias("language"))
+    return eval_per_language(preds)
+
+
+@register("urgency_eval")
+def q_urgency_eval(spark, sf):
+    """Per-level urgency precision / recall / F1 of the enrichment vs the labels."""
+    from ticketflow.operators.evaluation import eval_report
+    e = _enriched_vs_labels(spark, sf)
+    preds = e.select(F.col("true_urgency").alias("y_true"), F.col("urgency").alias("y_pred"),
+                     F.col("true_language").alias("language"))
+    return eval_report(preds)
