@@ -50,3 +50,11 @@ def test_kth_smallest_property(spark, values):
     s = sorted(values)
     for name, r in ranks.items():
         assert got[name] == pytest.approx(float(s[r]))
+
+
+def test_adaptive_bucket_count():
+    from ticketflow.operators.ranking import MAX_BUCKETS, adaptive_buckets
+    assert adaptive_buckets(0) == 64
+    assert adaptive_buckets(10_000) == 64
+    assert adaptive_buckets(1_000_000_000) == 1000
+    assert adaptive_buckets(10 ** 13) == MAX_BUCKETS

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
-from ticketflow.operators.ranking import DEFAULT_BUCKETS, kth_smallest
+from ticketflow.operators.ranking import kth_smallest
 
 
 def stats_by_language(log: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ LATENCY_SCHEMA = "mean_ms double, min_ms double, max_ms double, p50_ms double, p
 
 
 def latency_stats(log: DataFrame, col: str = "processing_time_ms",
-                  n_buckets: int = DEFAULT_BUCKETS, stats: tuple | None = None) -> DataFrame:
+                  n_buckets: int | None = None, stats: tuple | None = None) -> DataFrame:
     """mean/min/max and p50/p95/p99, 2 dp.
 
     Percentile p is the value at 0-based position int(n*p) of the sorted

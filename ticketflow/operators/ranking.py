@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
 BUCKET_ACCURACY = 10_000
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 1 << 16
+
+
+def adaptive_buckets(n_rows: int, minimum: int = DEFAULT_BUCKETS) -> int:
+    """Buckets so that one bucket holds about ROWS_PER_BUCKET rows (bounded)."""
+    return int(max(minimum, min(MAX_BUCKETS, -(-n_rows // ROWS_PER_BUCKET))))
 
 
 def _bucket_edges(df: DataFrame, key: str, n_buckets: int) -> list:
@@ -24,7 +31,8 @@ def _bucket_edges(df: DataFrame, key: str, n_buckets: int) -> list:
     if n_buckets <= 1:
         return []
     qs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(key), qs, BUCKET_ACCURACY).alias("q")).first()
+    accuracy = max(BUCKET_ACCURACY, 10 * n_buckets)
+    row = df.agg(F.percentile_approx(F.col(key), qs, accuracy).alias("q")).first()
     edges = row["q"] if row is not None and row["q"] is not None else []
     return sorted({e for e in edges if e is not None})
 
@@ -54,14 +62,18 @@ def with_bucket_offsets(df: DataFrame, key: str, weight: str | None = None,
 
 
 def global_rank(df: DataFrame, order_key: str, group_cols: list[str] | None = None,
-                n_buckets: int = DEFAULT_BUCKETS, out: str = "rank0",
+                n_buckets: int | None = None, out: str = "rank0",
                 tie_breakers: list[str] | None = None) -> DataFrame:
     """0-based rank by (``order_key``, *tie_breakers) inside each group.
 
     ``order_key`` must be numeric (bucket edges are its quantiles); rows with
     equal keys fall in the same bucket and are ordered by the tie breakers.
+    ``n_buckets=None`` sizes the buckets from a row count (about
+    ``ROWS_PER_BUCKET`` rows each).
     """
     group_cols = list(group_cols or [])
+    if n_buckets is None:
+        n_buckets = adaptive_buckets(df.count())
     b = with_bucket_offsets(df, order_key, None, group_cols, n_buckets)
     w = Window.partitionBy(*group_cols, "_bucket").orderBy(order_key, *(tie_breakers or []))
     ranked = b.withColumn(out, F.col("_offset") + F.row_number().over(w) - 1)
@@ -69,7 +81,7 @@ def global_rank(df: DataFrame, order_key: str, group_cols: list[str] | None = No
 
 
 def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None],
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """One row: for each name, the value at 0-based position ``rank`` of the
     sorted key (None rank -> null).  Works on the value histogram, so a hot
     value is one row, not a hot partition."""
@@ -78,6 +90,8 @@ def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None],
     # distinct values with counts, materialized once: the bucket edges, the
     # offsets and the final pass all read it instead of re-aggregating
     hist = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")))
+    if n_buckets is None:
+        n_buckets = adaptive_buckets(hist.count())  # distinct values, read from the checkpoint
     b = with_bucket_offsets(hist, key, "_c", None, n_buckets)
     run = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     cum = b.withColumn("_cum", F.col("_offset") + F.sum("_c").over(run))

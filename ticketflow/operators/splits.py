@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketflow.operators.ranking import DEFAULT_BUCKETS, global_rank
+from ticketflow.operators.ranking import adaptive_buckets, global_rank
 
 SPLITS = ("train", "val", "test")
 
@@ -89,7 +89,7 @@ def _hash_ranked(keyed: DataFrame, id_col: str, strat: str | None, totals: list,
 
 def stratified_split(df: DataFrame, id_col: str, train_ratio: float = 0.7, val_ratio: float = 0.15,
                      test_ratio: float = 0.15, stratify_col: str | None = "intent",
-                     random_state: int = 42, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     random_state: int = 42, n_buckets: int | None = None) -> DataFrame:
     """Adds ``split`` in (train, val, test).
 
     Two passes over the input in the common case: one small aggregate of
@@ -106,6 +106,9 @@ def stratified_split(df: DataFrame, id_col: str, train_ratio: float = 0.7, val_r
     rest_ratio = val_ratio + test_ratio
     rel_test = test_ratio / rest_ratio
     strat = stratify_col if stratify_col and stratify_col in df.columns else None
+    if n_buckets is None:
+        # about ROWS_PER_BUCKET rows per hash bucket (a count is a cheap pass)
+        n_buckets = adaptive_buckets(df.count())
     bits = _bucket_bits(n_buckets)
     keyed = df.withColumn("_key", hash_key(id_col, random_state))
     gcol = F.col(strat).cast("string") if strat else F.lit(None).cast("string")
@@ -149,7 +152,7 @@ GROUP_LIMIT_THRESHOLD = 1000  # spark.sql.optimizer.windowGroupLimitThreshold de
 
 
 def head_per_group(df: DataFrame, group_col: str, order_cols: list[str], n: int,
-                   n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """First ``n`` rows per group by an explicit order.
 
     For n up to the group-limit threshold, ``row_number() <= n`` is planned as
