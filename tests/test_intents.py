@@ -33,3 +33,12 @@ def test_plugin_equals_builtin(spark):
     b = {r.id: [(x.label, x.score) for x in r.intent_scores]
          for r in model_intent_scores(df, lexicon_model_factory(), "id", "t").collect()}
     assert a == b
+
+
+def test_enrich_with_plugin_model_equals_builtin(spark):
+    from ticketflow.plans.enrich import enrich_flat, enrich_tickets
+    from ticketflow.sources.fixtures import tickets
+    t = tickets(spark, "/root/testdata/sf0.001")
+    a = enrich_flat(enrich_tickets(t))
+    b = enrich_flat(enrich_tickets(t, intent_model=lexicon_model_factory()))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0

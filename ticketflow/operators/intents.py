@@ -156,8 +156,11 @@ ModelFactory = Callable[[list], Callable[[list], list]]
 
 
 def model_intent_scores(df: DataFrame, factory: ModelFactory, id_col: str, text_col: str,
-                        labels: list[str] | None = None, batch_size: int = 8) -> DataFrame:
-    """(id, intent_scores) from a user's model.
+                        labels: list[str] | None = None, batch_size: int = 8,
+                        keep_columns: bool = False) -> DataFrame:
+    """(id, intent_scores) from a user's model; with ``keep_columns`` every
+    input column passes through and ``intent_scores`` is appended (no join
+    back to the input is needed).
 
     ``factory(labels)`` returns ``predict(texts) -> list[list[float]]`` (one
     score per label).  It is built once per Python worker; texts are fed in
@@ -177,8 +180,15 @@ def model_intent_scores(df: DataFrame, factory: ModelFactory, id_col: str, text_
             for sc in out:
                 pairs = sorted(zip(labels, (float(x) for x in sc)), key=lambda p: (-p[1], order[p[0]]))
                 rows.append([{"label": lab, "score": v} for lab, v in pairs])
-            yield pd.DataFrame({id_col: pdf[id_col].values, "intent_scores": rows})
-
+            if keep_columns:
+                yield pdf.assign(intent_scores=rows)
+            else:
+                yield pd.DataFrame({id_col: pdf[id_col].values, "intent_scores": rows})
+
+    if keep_columns:
+        from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+        schema = StructType(df.schema.fields + [StructField("intent_scores", _parse_datatype_string(SCORES_TYPE))])
+        return df.mapInPandas(run, schema)
     id_type = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, intent_scores {SCORES_TYPE}")
 

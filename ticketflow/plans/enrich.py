@@ -49,8 +49,9 @@ def enrich_tickets(df: DataFrame, text_col: str = "text", id_col: str = "ticket_
         x = score_intents(x, "cleaned_text", "intent_scores", lexicon, settings.intent_categories,
                           lowered_col="_low")
     else:
-        scored = model_intent_scores(x, intent_model, id_col, "cleaned_text", settings.intent_categories)
-        x = x.join(scored, id_col, "left")
+        # all columns pass through the model's mapInPandas: no join back
+        x = model_intent_scores(x, intent_model, id_col, "cleaned_text", settings.intent_categories,
+                                keep_columns=True)
     x = rank_intents(x, "intent_scores", settings.confidence_threshold)
     blank = F.col("cleaned_text") == ""
     for c in INTENT_COLS:
