@@ -126,12 +126,11 @@ def fit_ngram_profile(labelled: DataFrame, text_col: str = "text", lang_col: str
     shared checkpoint dir once, so the vocabulary size, the size check and
     the scoring all read the same materialized table.
     """
-    from ticketflow.session import ensure_checkpoint_dir
+    from ticketflow.session import materialize
 
-    ensure_checkpoint_dir(labelled.sparkSession)
     grams = labelled.select(F.col(lang_col).alias("language"),
                             F.explode(trigrams(F.col(text_col))).alias("gram"))
-    counts = grams.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+    counts = materialize(grams.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("cnt")))
     totals = counts.groupBy("language").agg(F.sum("cnt").alias("n_lang"))
     vocab = counts.select("gram").distinct().count()  # one scalar
     # totals has one row per language: bounded by the label set

@@ -65,11 +65,10 @@ def urgency_rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id"
     if n_chunks == 1:
         hit = t.join(F.broadcast(r), cond, "inner")
     else:
-        from ticketflow.session import ensure_checkpoint_dir
+        from ticketflow.session import materialize
 
-        ensure_checkpoint_dir(df.sparkSession)
         ranked = r.withColumn("_chunk", F.ntile(n_chunks).over(Window.orderBy("rule_order")))
-        ranked = ranked.checkpoint()  # rule table materialized once for all chunks
+        ranked = materialize(ranked)  # rule table materialized once for all chunks
         hit = None
         for c in range(1, n_chunks + 1):
             part = t.join(F.broadcast(ranked.filter(F.col("_chunk") == c).drop("_chunk")), cond, "inner")

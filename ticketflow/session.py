@@ -63,8 +63,15 @@ def materialize(df):
     """Eager reliable checkpoint (shared checkpoint dir) of a small derived
     table that several branches read: the large input is scanned once and
     the lineage is cut, so a lost executor does not re-run the scan."""
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first: the checkpoint write then reads the cached blocks
+    # instead of recomputing (rescanning) the input a second time
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
