@@ -1,8 +1,9 @@
 """Streaming metrics: hourly windows per language over the classification log.
 
-Event time ``ts`` with a watermark (default 2 hours): a row older than the
-watermark is late and dropped; a window's state is released once the
-watermark passes its end.  Output mode ``update`` through ``foreachBatch``:
+Event time ``ts`` with a watermark (default 2 hours, = max event time seen
+minus the delay).  A row older than the watermark of the previous
+micro-batch is late and dropped (Spark's late-event rule); a window's state
+is released once the watermark passes its end.  Output mode ``update`` through ``foreachBatch``:
 every batch appends the windows it changed, tagged with the batch id, and
 ``latest_windows`` keeps the last version of each (window, language).  The
 latency percentile is ``percentile_approx`` (streams hold no sorted data);
