@@ -50,3 +50,36 @@ def test_missing_template_dir_gives_no_rows(tmp_path):
 def test_top_level_key_optional():
     rows = read_template_files()
     assert any(r[0] == "en" and r[1] == "account" for r in rows)   # file without top key
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+NAME_CHARS = st.sampled_from(list("ab Zé%$\\{}#1_-") + ["%s", "%1$s", "{ticket_id}", "\\1", "$1"])
+values = st.one_of(st.none(), st.lists(NAME_CHARS, max_size=6).map("".join))
+
+
+def py_render(template, name, tid):
+    ctx = {"customer_name": name or "Valued Customer", "ticket_id": tid or "N/A"}
+    out = {}
+    for key in ("subject", "body"):
+        v = template[key]
+        try:
+            out[key] = v.format(**ctx)
+        except (KeyError, AttributeError):
+            out[key] = v
+    return out
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(values, values), min_size=1, max_size=20))
+def test_render_matches_python_format(spark, pairs):
+    rows = [(str(i), "fr" if i % 2 else "en", "billing", "low", n, t) for i, (n, t) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "k string, language string, primary_intent string, urgency string, "
+                                     "customer_name string, ticket_id string")
+    out = select_template(df, load_templates(spark)).withColumn(
+        "reply", render_reply("template", "customer_name", "ticket_id")).collect()
+    for r in out:
+        tpl = {"subject": r.template.subject, "body": r.template.body}
+        exp = py_render(tpl, r.customer_name, r.ticket_id)
+        assert (r.reply.subject, r.reply.body) == (exp["subject"], exp["body"]), (r.customer_name, r.ticket_id)
