@@ -103,3 +103,33 @@ def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None],
             hit = (F.col("_cum") - F.col("_c") <= F.lit(r)) & (F.col("_cum") > F.lit(r))
             aggs.append(F.min(F.when(hit, F.col(key))).alias(name))
     return cum.agg(*aggs)
+
+
+def range_rank(df: DataFrame, order: list, group_cols: list[str] | None = None, out: str = "rank0") -> DataFrame:
+    """0-based exact rank by ``order`` inside each group, for any orderable keys.
+
+    The rows are range-partitioned and sorted by (groups, order) and written
+    to the shared checkpoint folder with their partition number and position;
+    a small aggregate of counts per (group, partition) gives each partition's
+    offset.  No window ever sees more than the partitions of one group, no key
+    reaches the driver, null groups and null keys rank like any other (nulls
+    first).  Rows whose ``order`` values are all equal share a range; give
+    enough tie breakers to tell rows apart.
+    """
+    from ticketflow.session import materialize
+
+    groups = [F.col(f"`{g}`") for g in group_cols or []]
+    keys = [*groups, *(F.col(f"`{o}`") if isinstance(o, str) else o for o in order)]
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # checkpointed: a recomputed range partitioning could place rows elsewhere
+    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                         .withColumns({"__part": F.spark_partition_id(), "__pos": position}))
+    runs = placed.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first"))
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[g.alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"),
+                       F.col("__first"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & g.eqNullSafe(F.col(f"__g{i}"))
+    rank = F.col("__offset") + F.col("__pos") - F.col("__first")
+    return placed.join(runs, same).select(*[F.col(f"`{c}`") for c in df.columns], rank.alias(out))

@@ -45,7 +45,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint dir; create a temporary one only if unset."""
+    """Return the shared checkpoint dir; a temporary one only for a local master.
+
+    On any other master executors could not read the driver's own folder, so
+    an unset ``spark.checkpoint.dir`` is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -54,7 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
     else:
-        # Only reached when the cluster names no shared folder (tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return sc.getCheckpointDir()
 
