@@ -49,6 +49,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class SpanHash:
+    """64-bit hashes of arbitrary byte spans of one array (polynomial, then mixed)."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.prefix = np.zeros(n + 1, U64)
+        np.cumsum((data.astype(U64) + U64(1)) * _power_table(_BASE, n + 1)[:n], out=self.prefix[1:])
+        self.inverse = _power_table(_INVERSE, n + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        h = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+        return mix(h + ((end - start).astype(U64) + U64(salt)) * U64(0xD6E8FEB86659FD93))
+
+
 @dataclass
 class Block:
     """Whole texts ``lo``..``hi`` of a column; word arrays cover all of them."""
@@ -69,13 +83,8 @@ class Block:
         return np.repeat(np.arange(self.hi - self.lo), self.n_words)
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word's bytes (polynomial, then mixed)."""
-        data = LOWER[self.data] if lower else self.data
-        n = len(data)
-        prefix = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * _power_table(_BASE, n + 1)[:n], out=prefix[1:])
-        h = (prefix[self.end] - prefix[self.start]) * _power_table(_INVERSE, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        """64-bit hash of each word's bytes."""
+        return SpanHash(LOWER[self.data] if lower else self.data)(self.start, self.end)
 
 
 def _view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +99,11 @@ def _view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Split a string column into blocks of whole texts with word positions."""
+def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES, between: np.ndarray = WHITE) -> Iterator[Block]:
+    """Split a string column into blocks of whole texts with word positions.
+
+    ``between`` marks the bytes that separate words (white space by default).
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     raw, off = _view(column)
@@ -102,7 +114,7 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Bl
         data = raw[off[lo]:off[hi]]
         edges = off[lo:hi + 1] - off[lo]
         white = np.ones(len(data) + 2, bool)
-        white[1:-1] = WHITE[data]
+        white[1:-1] = between[data]
         word = ~white
         begins, ends = word[1:-1] & white[:-2], word[1:-1] & white[2:]
         # a text edge also ends a word

@@ -192,14 +192,12 @@ def quality_rules(df: DataFrame, text: str = "text", rules: RepeatRules = Repeat
     A struct keeps the new names apart from any column of the input; an input
     column named ``quality`` is replaced.
     """
-    fields = [*(T.StructField(m, T.LongType(), False) for m in MEASURES)]
-    schema = T.StructType(fields)
+    schema = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
-    @F.pandas_udf(schema)
-    def measured(texts):
-        import pandas as pd
-
-        return pd.DataFrame(measure(pa.Array.from_pandas(texts, type=pa.string()), rules))
+    @F.arrow_udf(schema)
+    def measured(texts: pa.Array) -> pa.Array:
+        found = measure(texts, rules)
+        return pa.StructArray.from_arrays([pa.array(found[m]) for m in MEASURES], names=MEASURES)
 
     q = F.col("__quality")
     failed = (q.n_words < MIN_WORDS) | (100 * q.n_repeat_words > MAX_REPEAT_PERCENT * q.n_words)

@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketflow.llm.blocks import text_blocks
 
@@ -154,27 +153,22 @@ def secret_spans(df: DataFrame, text: str = "text", rules: RandomRules = RandomR
     input column named ``secrets`` is replaced.
     """
     path = ranks or default_ranks()
-    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
-                         T.StructField("end", T.LongType())])
-    fields = [T.StructField("spans", T.ArrayType(span)), T.StructField("span_list", T.StringType()),
-              T.StructField("base_list", T.StringType())]
-    if redact is not None:
-        fields.append(T.StructField("text", T.StringType()))
-    schema = T.StructType(fields)
-
-    @F.pandas_udf(schema)
-    def scanned(texts):
-        import pandas as pd
-
-        found = scan(pa.Array.from_pandas(texts, type=pa.string()), rules, path)
+    schema = ("spans array<struct<kind:string,start:long,end:long>>, span_list string, base_list string"
+              + (", text string" if redact is not None else ""))
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf(schema)
+    def scanned(texts: pa.Array) -> pa.Array:
+        found = scan(texts, rules, path)
         out = {
-            "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found],
-            "span_list": [span_text(x) for x in found],
-            "base_list": [span_text([y for y in x if y[1] < 3]) for x in found],
+            "spans": pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found], span),
+            "span_list": pa.array([span_text(x) for x in found], pa.string()),
+            "base_list": pa.array([span_text([y for y in x if y[1] < 3]) for x in found], pa.string()),
         }
         if redact is not None:
-            out["text"] = [t if t is None or not x else _redacted(t, x, redact) for t, x in zip(texts, found)]
-        return pd.DataFrame(out)
+            out["text"] = pa.array([t if t is None or not x else _redacted(t, x, redact)
+                                    for t, x in zip(texts.to_pylist(), found)], pa.string())
+        return pa.StructArray.from_arrays(list(out.values()), names=list(out))
 
     columns = [F.col(f"`{c}`") for c in df.columns if c != "secrets"]
     return df.select(*columns, scanned(F.col(text)).alias("secrets"))
