@@ -79,7 +79,7 @@ class Node:
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
-        self.keeps = tag in ("article", "main", "h1")
+        self.keeps = False
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -140,7 +140,7 @@ def _imply(stack: list[Node], ended: set, boundary) -> None:
 
 
 def _named_away(node: Node) -> bool:
-    if not node.attrs or node.keeps:
+    if not node.attrs:
         return False
     for name, a, b, c in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), a or b or c
@@ -160,7 +160,7 @@ def _dropped(node: Node) -> bool:
         return True
     if node.tag == "header":    # a page header; an article's own header holds its title
         return not node.keeps and not any(a.tag in ("article", "main") for a in _ancestors(node))
-    return node.tag not in ("#root", "html", "body", "main") and _named_away(node)
+    return node.tag not in ("#root", "html", "body", "main") and not node.keeps and _named_away(node)
 
 
 def _ancestors(node: Node):
@@ -183,10 +183,16 @@ def _density(node: Node, body: Node) -> float:
 
 
 def main_nodes(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
-    """(top nodes of the main text in page order, density threshold); drops what is not text."""
-    for node in reversed(nodes):
-        if node.parent is not None and node.keeps:
-            node.parent.keeps = True
+    """(top nodes of the main text in page order, density threshold); drops what is not text.
+
+    A node is not dropped for its name if it holds the page's article (or, in
+    pages without one, a first-level heading).
+    """
+    held = [x for x in nodes if x.tag == "main" or (x.tag == "article" and not _named_away(x))]
+    for node in held or [x for x in nodes if x.tag == "h1"]:
+        while node is not None and not node.keeps:
+            node.keeps = True
+            node = node.parent
     kept = {id(root)}
     alive = [root]
     for node in nodes[1:]:

@@ -36,10 +36,10 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class RepeatRules:
-    min_repeat: int = 10        # words a repeat needs to count as covered text
-    max_covered: float = 0.5    # share of words inside united repeats
+    min_repeat: int = 20        # words a repeat needs to count as covered text (a repeated line is fine)
+    max_covered: float = 0.3    # share of words inside united repeats
     max_longest: int = 100      # words of the longest repeat ...
-    longest_share: float = 0.3  # ... that must also exceed this share of the text
+    longest_share: float = 0.2  # ... that must also exceed this share of the text
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -2,14 +2,15 @@
 
 Tokens are runs of letters and digits, A-Z lower-cased.  Each has two states
 (clean, toxic); a token's emission score is the sum of the weights of its
-features (the word, its first three to six bytes, its last three and four), and neighbours are
+features (the word, its first three to eight bytes, its last three and four), and neighbours are
 tied by transition scores.  The document labels become labelled tokens first:
-inside documents labelled toxic, a token is toxic if one of its features
-occurs in at least ``MIN_SHARE`` of the toxic and hardly any of the clean
-training documents.  The field is fitted to these sequences by gradient steps
+inside documents labelled toxic, a token is toxic if one of its features is
+found in at least ``MIN_SHARE`` of the toxic training documents and makes up
+``MIN_ODDS`` times as many of their words as of the clean documents' words.  The field is fitted to these sequences by gradient steps
 on the conditional likelihood; forward-backward marginals of every whole text
-then give the document score (the largest marginal of the toxic state) and the
-offending offsets (runs of tokens above ``SPAN_MARGINAL``).
+then give the offending offsets (runs of tokens above ``SPAN_MARGINAL``) and, summed
+to the number and density of toxic words and the surest one, the document
+score (logistic regression on these sums).
 
 Fitting uses a bounded sample of the labelled rows: at most ``SAMPLE_TOXIC``
 toxic and ``SAMPLE_CLEAN`` clean documents of at most ``SAMPLE_CHARS``
@@ -40,11 +41,11 @@ SAMPLE_TOXIC = 1000
 SAMPLE_CLEAN = 2000
 SAMPLE_CHARS = 50_000
 HASH_BITS = 18
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 SUFFIXES = (3, 4)
 MIN_SHARE = 0.01        # of the toxic training documents that must hold a feature ...
 MIN_DOCUMENTS = 3       # ... and at least so many of them
-MIN_ODDS = 15.0         # how much likelier in toxic than in clean documents
+MIN_ODDS = 15.0         # how much more frequent among the words of toxic documents
 TRAIN_TOKENS = 256      # longer documents are cut into training sequences
 STEPS = 25
 RATE = 0.3
@@ -64,6 +65,7 @@ class Field:
     weights: np.ndarray     # 2^HASH_BITS, score of toxic against clean
     bias: float
     transition: np.ndarray  # [from, to]
+    document: np.ndarray | None = None  # weights of document_features
 
 
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -167,23 +169,51 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, s
 # ---- fitting --------------------------------------------------------------
 
 def token_labels(types: np.ndarray, token: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Labels of tokens from labels of texts, by document frequencies of features."""
+    """Labels of tokens from labels of texts: which features toxic texts use far more often."""
     size = 1 << HASH_BITS
-    counts = np.zeros((2, size), np.int64)
-    pair = np.unique(text * len(types) + token)
-    for column in range(types.shape[1]):
-        held = np.unique(pair // len(types) * size + types[pair % len(types), column])
-        which = toxic[held // size]
-        for y in (0, 1):
-            # a word that repeats its own prefix counts once per document
-            counts[y] = np.maximum(counts[y], np.bincount(held[which == y] % size, minlength=size))
     n = np.bincount(toxic, minlength=2)
-    least = max(MIN_DOCUMENTS, MIN_SHARE * n[1])
-    odds = ((counts[1] + 0.5) / (n[1] + 1)) / ((counts[0] + 0.5) / (n[0] + 1))
-    marked = ((counts[1] >= least) & (odds >= MIN_ODDS))[types].any(axis=1)
+    words = np.bincount(toxic[text], minlength=2)
+    pair, times = np.unique(text * len(types) + token, return_counts=True)
+    owner, kind = pair // len(types), pair % len(types)
+    is_toxic = toxic[owner] == 1
+    marked = np.zeros(len(types), bool)
+    for column in range(types.shape[1]):
+        f = types[kind, column]
+        uses = [np.bincount(f[side], times[side], minlength=size) for side in (~is_toxic, is_toxic)]
+        texts = np.bincount(np.unique(owner[is_toxic] * size + f[is_toxic]) % size, minlength=size)
+        odds = ((uses[1] + 0.5) / (words[1] + 1)) / ((uses[0] + 0.5) / (words[0] + 1))
+        marked |= ((texts >= max(MIN_DOCUMENTS, MIN_SHARE * n[1])) & (odds >= MIN_ODDS))[types[:, column]]
     return marked[token] & (toxic[text] == 1)
 
 
+def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What a text's marginals come to: how many toxic words, how dense, the surest, how long a text."""
+    n = np.diff(first)
+    have = np.flatnonzero(n)
+    out = np.zeros((len(n), 5))
+    out[:, 0] = 1.0
+    if len(have):
+        starts = first[:-1][have]
+        total = np.add.reduceat(p, starts)
+        out[have, 1] = np.log1p(total)
+        out[have, 2] = np.log1p(100.0 * total / n[have])
+        out[have, 3] = np.maximum.reduceat(p, starts)
+        out[have, 4] = np.log1p(n[have]) / 10
+    return out
+
+
+def fit_documents(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Logistic regression of the text labels (Newton steps, ridge on all but the constant)."""
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(w))
+    penalty[0, 0] = 1e-6
+    for _ in range(30):
+        q = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -40, 40)))
+        hessian = (x * (q * (1 - q))[:, None]).T @ x + penalty
+        w += np.clip(np.linalg.solve(hessian, x.T @ (y - q) - penalty @ w), -2, 2)
+    return w
+
+
 def fit(types: np.ndarray, token: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> Field:
     """Gradient steps (Adam) on the conditional log-likelihood of the labels."""
     size = 1 << HASH_BITS
@@ -251,7 +281,9 @@ def _train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels = token_labels(types, token, block.text_of_word(), toxic)
             if labels.any():
                 f = fit(types, token, block.first, labels)
-                weights = np.concatenate([f.weights, [f.bias], f.transition.ravel()])
+                p = marginals((f.weights[types].sum(axis=1) + f.bias)[token], block.first, f.transition)
+                document = fit_documents(document_features(p, block.first), toxic.astype(float))
+                weights = np.concatenate([f.weights, [f.bias], f.transition.ravel(), document])
     found = [] if weights is None else [weights.astype(np.float64).tobytes()]
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["field"])
 
@@ -271,7 +303,8 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text") -> Field
     if found is None:
         return None
     values = np.frombuffer(found["field"], np.float64)
-    return Field(values[:-5], float(values[-5]), values[-4:].reshape(2, 2))
+    n = 1 << HASH_BITS
+    return Field(values[:n], float(values[n]), values[n + 1:n + 5].reshape(2, 2), values[n + 5:])
 
 
 # ---- scoring --------------------------------------------------------------
@@ -303,8 +336,9 @@ def toxicity(df: DataFrame, field: Field | None, text: str = "text") -> DataFram
                 if not len(block.start):
                     continue
                 p = score_block(block, shared.value)
+                x = document_features(p, block.first)
                 have = np.flatnonzero(block.n_words)
-                score[block.lo + have] = np.maximum.reduceat(p, block.first[:-1][have])
+                score[block.lo + have] = 1.0 / (1.0 + np.exp(-np.clip(x[have] @ shared.value.document, -40, 40)))
                 hot = np.flatnonzero(p >= SPAN_MARGINAL)
                 if len(hot):
                     points = _code_points(block)
