@@ -12,16 +12,16 @@
    share a whole signature and still exceed ``REGION`` are dealt into blocks
    that all hold the region's smallest class.
 3. Inside a region, classes whose signatures agree on enough minima are tied
-   together; only a spanning star leaves the task.  Connected components of
-   these ties over all orders are supersets of the final groups.
-4. Each component (or, beyond ``REGION`` classes, each of its regions) gets
-   the full shingle sets, once per class and group, and links are confirmed on
-   them: a breadth-first walk compares every class it reaches with all classes
-   not yet reached, so no confirmed link between two reached parts is lost.
-   Connected components of the confirmed stars are the groups.
-
-Everything that moves between tasks is linear in the classes; no task holds
-more than ``REGION`` classes (plus one) at a time.  Two texts at the
+   together; only spanning stars leave the task, centred on the smallest class.
+4. All classes tied to one centre (by any order) form a group to confirm: the
+   full shingle sets of its members meet once, and a breadth-first walk
+   compares every class it reaches with all classes not yet reached, so no
+   link inside the group is lost.  Connected components of the confirmed stars
+   are the result.
+
+Everything that moves between tasks is linear in the classes.  A region holds
+at most ``REGION`` classes (plus one), a centre has one region per order, so a
+group to confirm has at most ``TREES * REGION`` members.  Two texts at the
 threshold fail to meet in a region with a probability below 1e-6 at depth 3
 and 16 orders; the signature test of step 3 allows four standard deviations.
 Dense regions trade some of that for depth, where they have many paths.
@@ -52,7 +52,8 @@ SIGNATURE = 128
 TREES = 16
 DEPTHS = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, SIGNATURE)
 REGION = 512
-BROADCAST_ROWS = 200_000    # involved classes (about 50 bytes each) that may be broadcast
+BROADCAST_ROWS = 200_000    # involved classes (about 60 bytes each) that may be broadcast
+LOWEST = -(1 << 63)
 
 _SEEDS = np.random.default_rng(20240607)
 _FACTORS = _SEEDS.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * U64(2) + U64(1)
@@ -121,7 +122,7 @@ def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, cls) -> (cls, shingles): the full set, where the text is of that class."""
+    """(text, node) -> (node, shingles): the full set, where the text is of that class."""
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         for block in text_blocks(batch.column(0)):
@@ -129,13 +130,13 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(np.diff(edges))
             if not len(full):
                 continue
-            cls, sets = [], []
+            nodes, sets = [], []
             for i, c in zip(full, _binary(_digests(h, edges[:-1][full]))):
-                if c == wanted[block.lo + i]:
-                    cls.append(c)
+                if wanted[block.lo + i].endswith(c):
+                    nodes.append(wanted[block.lo + i])
                     sets.append(h[edges[i]:edges[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())],
-                                             names=["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())],
+                                             names=["node", "shingles"])
 
 
 # ---- the forest -----------------------------------------------------------
@@ -164,7 +165,7 @@ def _all_trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = np.full(len(sig), t)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tree, pa.int32()),
-                 pa.array(_prefix_keys(sig, tree, DEPTHS[0]), pa.int64())], names=["cls", "tree", "key"])
+                 pa.array(_prefix_keys(sig, tree, DEPTHS[0]), pa.int64())], names=["node", "tree", "key"])
 
 
 def _deeper(depth: int):
@@ -175,35 +176,34 @@ def _deeper(depth: int):
             tree = batch.column(1).to_numpy(zero_copy_only=False)
             keys = _prefix_keys(_matrix(batch.column(2)), tree, depth)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())],
-                                             names=["cls", "tree", "key"])
+                                             names=["node", "tree", "key"])
     return run
 
 
-KEYED = "cls binary, tree int, key long"
+KEYED = "node binary, tree int, key long"
 
 
 def forest_regions(classes: DataFrame) -> DataFrame:
-    """(key, cls): the regions of all orders, none of more than REGION + 1 classes."""
-    rows = classes.select("cls", "sig").mapInArrow(_all_trees, KEYED)
+    """(key, node): the regions of all orders, none of more than REGION + 1 classes."""
+    rows = classes.select("node", "sig").mapInArrow(_all_trees, KEYED)
     regions = []
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         rows = materialize(rows)
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("least")).where("n > 1")
-        sized = rows.join(sizes, "key")
-        regions.append(sized.where(F.col("n") <= REGION).select("key", "cls"))
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+        sized = materialize(rows.join(sizes, "key"))
+        regions.append(sized.where(F.col("n") <= REGION).select("key", "node"))
         large = sized.where(F.col("n") > REGION)
         if deeper is None:
             # equal signatures: blocks that share the region's smallest class
             blocks = F.ceil(F.col("n") / REGION)
-            dealt = large.select(F.xxhash64("key", F.pmod(F.xxhash64("cls"), blocks)).alias("key"), "cls", "least")
-            regions += [dealt.select("key", "cls"), dealt.select("key", F.col("least").alias("cls"))]
+            dealt = large.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), blocks)).alias("key"), "node", "least")
+            regions += [dealt.select("key", "node"), dealt.select("key", F.col("least").alias("node")).distinct()]
             break
-        large = materialize(large.select("cls", "tree"))
         if large.isEmpty():
             break
-        rows = large.join(classes.select("cls", "sig"), "cls").select("cls", "tree", "sig").mapInArrow(
-            _deeper(deeper), KEYED)
-    return materialize(reduce(DataFrame.unionAll, regions).distinct())
+        rows = large.select("node", "tree").join(classes.select("node", "sig"), "node").select(
+            "node", "tree", "sig").mapInArrow(_deeper(deeper), KEYED)
+    return reduce(DataFrame.unionAll, regions)
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -254,22 +254,23 @@ def _edges(pairs: Iterable[tuple[bytes, bytes]], size: int = 20_000) -> Iterator
 
 
 def _tie(least: int):
-    """(key, cls, sig) sorted by key -> spanning stars of the classes whose
+    """(key, node, sig) sorted by key -> spanning stars of the classes whose
     signatures agree on at least ``least`` minima."""
     def pairs(batches):
         for run in _runs(batches):
             if run.num_rows < 2:
                 continue
-            cls = run.column(1).to_pylist()
-            sig = _matrix(run.column(2).combine_chunks())
-            for i, j in _stars(len(cls), lambda x: (sig == sig[x]).sum(axis=1) >= least):
-                yield cls[i], cls[j]
+            nodes = run.column(1).to_pylist()
+            order = sorted(range(len(nodes)), key=nodes.__getitem__)     # the smallest is the centre
+            sig = _matrix(run.column(2))[order]
+            for i, j in _stars(len(nodes), lambda x: (sig == sig[x]).sum(axis=1) >= least):
+                yield nodes[order[i]], nodes[order[j]]
 
     return lambda batches: _edges(pairs(batches))
 
 
 def _confirm(percent: int):
-    """(key, cls, shingles) sorted by key -> spanning stars of the exact links."""
+    """(key, node, shingles) sorted by key -> spanning stars of the exact links."""
     def pairs(batches):
         for run in _runs(batches):
             if run.num_rows < 2:
@@ -304,23 +305,25 @@ def _confirm(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, root): every node's smallest connected node.
 
-    Alternates large-star and small-star steps; each is one map-side combined
-    minimum and one equi-join, written to the shared folder, until the edges
-    no longer change (a logarithmic number of rounds).
+    Alternates large-star and small-star steps (map-side combined minima and
+    equi-joins, written to the shared folder) until the edges are stars around
+    roots, after a logarithmic number of rounds.
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
     while True:
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-                cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = now
+        # stars: no node hangs on two others, or on one that itself hangs
+        uses = cur.select(F.col("a").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(
+            cur.select(F.col("b").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if uses.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where(
+                "hangs + holds > 1").isEmpty():
+            roots = cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
         both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least, "a").select(
+            F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
         cur = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
 
 
@@ -330,38 +333,55 @@ def _sorted_runs(df: DataFrame) -> DataFrame:
     return df.repartition("key").sortWithinPartitions("key")
 
 
+def _bytes8(column):
+    return F.unhex(F.lpad(F.hex(column), 16, "0"))
+
+
+def _from_bytes8(column):
+    """The long of eight bytes, by its two halves (hexadecimal text has no sign)."""
+    half = lambda at: F.conv(F.hex(F.substring(column, at, 4)), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(5))
+
+
+def row_key(doc_id, text_hash):
+    """17 bytes that order rows by doc_id (nulls last), then by the hash of the text."""
+    flag = F.when(doc_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
+    return F.concat(flag, _bytes8(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(LOWEST))), _bytes8(text_hash))
+
+
+def _key_id(node):
+    """doc_id of a row key (null if it had none)."""
+    value = _from_bytes8(F.substring(node, 2, 8)).bitwiseXOR(F.lit(LOWEST))
+    return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), value)
+
+
 def duplicate_classes(marks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(cls, component_id) of every class in ``marks``."""
-    classes = materialize(marks.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
-        F.first("sig").alias("sig")))
-    regions = forest_regions(classes)
+    """(cls, group_id) of every class in ``marks``."""
+    # a class is known by its first row and its digest, so the smallest node is the smallest doc_id
+    classes = materialize(marks.where("cls is not null")
+                          .groupBy("cls").agg(F.min(row_key(F.col("doc_id"), F.col("text_hash"))).alias("at"),
+                                              F.first("sig").alias("sig"))
+                          .select(F.concat("at", "cls").alias("node"), "sig"))
     p = percent / 100
     least = int((p - 4 * (p * (1 - p) / SIGNATURE) ** 0.5) * SIGNATURE)
-    ties = (_sorted_runs(regions.join(classes.select("cls", "sig"), "cls").select("key", "cls", "sig"))
-            .mapInArrow(_tie(least), "a binary, b binary"))
-    tied = materialize(components(ties))
-
-    # groups to confirm: a component, or its regions where it is too large for one task
-    sizes = tied.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    sized = tied.join(sizes, "root")
-    whole = sized.where(F.col("n") <= REGION).select(F.xxhash64("root").alias("key"), F.col("node").alias("cls"))
-    split = regions.join(sized.where(F.col("n") > REGION).select(F.col("node").alias("cls")), "cls").select("key", "cls")
-
-    involved = materialize(classes.join(tied.select(F.col("node").alias("cls")), "cls").select(
-        "cls", F.col("at.doc_id").alias("__id"), F.col("at.text_hash").alias("__hash")))
+    ties = materialize(_sorted_runs(forest_regions(classes).join(classes, "node").select("key", "node", "sig"))
+                       .mapInArrow(_tie(least), "a binary, b binary").distinct())
+    # a is the centre of its star
+    members = ties.unionAll(ties.select("a", F.col("a").alias("b")).distinct()).select(
+        F.xxhash64("a").alias("key"), F.col("b").alias("node"))
+    involved = materialize(ties.select(F.col("a").alias("node")).unionAll(ties.select("b")).distinct().select(
+        "node", _key_id(F.col("node")).alias("__id"), _from_bytes8(F.substring("node", 10, 8)).alias("__hash")))
     if involved.count() <= BROADCAST_ROWS:
         involved = F.broadcast(involved)
-    sets = materialize(texts.join(involved, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-                       .select("text", "cls").mapInArrow(_sets, "cls binary, shingles binary"))
-    links = (_sorted_runs(whole.unionAll(split).join(sets, "cls").select("key", "cls", "shingles"))
+    sets = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
+        "text", "node").mapInArrow(_sets, "node binary, shingles binary")
+    links = (_sorted_runs(members.join(sets, "node").select("key", "node", "shingles"))
              .mapInArrow(_confirm(percent), "a binary, b binary"))
-    groups = materialize(components(links))
-    ids = groups.join(classes.select(F.col("cls").alias("node"), "least_id"), "node")
-    group_id = ids.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    linked = ids.join(group_id, "root").select(F.col("node").alias("cls"), "group_id")
-    return classes.select("cls", "least_id").join(linked, "cls", "left").select(
-        "cls", F.coalesce("group_id", "least_id").alias("group_id"))
+    digest = lambda node: F.substring(node, 18, 16)
+    own = classes.select(digest("node").alias("cls"), _key_id(F.col("node")).alias("id"))
+    linked = components(links).select(digest("node").alias("cls"), _key_id(F.col("root")).alias("id"))
+    # a linked class appears twice; its group's id is the smaller one
+    return own.unionAll(linked).groupBy("cls").agg(F.min("id").alias("group_id"))
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, carry: bool = True) -> DataFrame:
