@@ -26,8 +26,8 @@ def test_fallback_steps(spark):
     assert got["c"].reply.subject == "[URGENT] Re: Your account request"
     assert got["c"].template_source == "fallback"
     assert got["d"].reply.subject == "Thanks for your feedback"
-    assert got["e"].reply.subject.startswith("[PRIORITY]") and got["e"].template_source == "base"
-    assert got["f"].reply.subject == "Re: We received your message"
+    assert got["e"].reply.subject == "Your note e goes first" and got["e"].template_source == "base"
+    assert got["f"].reply.subject == "Your note f has arrived"
 
 
 def test_rendering_defaults_unknown_slot_and_percent(spark):

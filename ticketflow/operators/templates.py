@@ -22,6 +22,7 @@ verbatim.
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,33 +39,19 @@ SLOT_NAMES = ["customer_name", "ticket_id"]
 def read_template_files(template_dir: str = DEFAULT_TEMPLATE_DIR) -> list[tuple]:
     """(language, intent, variant, subject, body); base rows use language = intent = '*'.
 
-    A missing directory gives no rows.  The top-level intent key in a file is
-    optional.
+    One pass over ``base.yaml`` and ``*/*.yaml``.  A file maps variants to
+    letters, under its own name or at the top; anything that is not a letter
+    is passed over, and a missing directory gives no rows.
     """
-    rows: list[tuple] = []
-    if not os.path.isdir(template_dir):
-        return rows
-    base_path = os.path.join(template_dir, "base.yaml")
-    if os.path.exists(base_path):
-        with open(base_path) as f:
-            base = (yaml.safe_load(f) or {}).get("fallback", {}) or {}
-        for variant, t in base.items():
-            if isinstance(t, dict):
-                rows.append((BASE, BASE, variant, t.get("subject"), t.get("body")))
-    for lang in sorted(os.listdir(template_dir)):
-        d = os.path.join(template_dir, lang)
-        if not os.path.isdir(d):
-            continue
-        for fn in sorted(os.listdir(d)):
-            if not fn.endswith(".yaml"):
-                continue
-            intent = fn[: -len(".yaml")]
-            with open(os.path.join(d, fn)) as f:
-                data = yaml.safe_load(f) or {}
-            data = data.get(intent, data)
-            for variant, t in data.items():
-                if isinstance(t, dict):
-                    rows.append((lang, intent, variant, t.get("subject"), t.get("body")))
+    root = Path(template_dir)
+    found = [(BASE, BASE, "fallback", root / "base.yaml")] if (root / "base.yaml").is_file() else []
+    found += [(f.parent.name, f.stem, f.stem, f) for f in sorted(root.glob("*/*.yaml"))]
+    rows = []
+    for language, intent, name, file in found:
+        content = yaml.safe_load(file.read_text(encoding="utf-8")) or {}
+        letters = content.get(name, {} if language == BASE else content) or {}
+        rows += [(language, intent, variant, letter.get("subject"), letter.get("body"))
+                 for variant, letter in letters.items() if isinstance(letter, dict)]
     return rows
 
 

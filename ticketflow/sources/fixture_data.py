@@ -42,11 +42,11 @@ CONCEPTS = [
         "pt": "Como reinicio o roteador quando a conexão cai?",
     }),
     (5, "account", "medium", {
-        "en": "I need to update the email address on my account",
-        "es": "Tengo que cambiar el correo de mi cuenta",
-        "fr": "Je dois changer l'adresse mail de mon compte",
-        "de": "Ich muss die Mailadresse in meinem Konto ändern",
-        "pt": "Preciso mudar o email da minha conta",
+        "en": "Two profiles carry my name and I would like to merge them into one account",
+        "es": "Hay dos perfiles con mi nombre y quiero unirlos en una sola cuenta",
+        "fr": "Deux profils portent mon nom et je veux les réunir dans un seul compte",
+        "de": "Zwei Profile tragen meinen Namen und sollen ein gemeinsames Konto werden",
+        "pt": "Há dois perfis com o meu nome e quero juntá-los em uma só conta",
     }),
     (6, "account", "low", {
         "en": "Please change the password for my profile",
@@ -205,11 +205,11 @@ INTENT_LEXICON = [
     ]
 ]
 
-# Per-language sample sentences for the token-overlap detector (own text).
+# Per-language sample sentences for the token-overlap detector.
 OVERLAP_SAMPLES = {
-    "en": "my invoice has a wrong charge from last month please help me",
-    "es": "mi factura tiene un cargo incorrecto del mes pasado necesito ayuda por favor",
-    "fr": "ma facture a un montant incorrect du mois dernier merci de m'aider s'il vous plaît",
-    "de": "meine rechnung hat eine falsche abbuchung vom letzten monat bitte helfen sie mir",
-    "pt": "minha fatura tem uma cobrança errada do mês passado preciso de ajuda por favor",
+    "en": "the library behind the old harbour opens at nine and its garden closes at dusk",
+    "es": "el panel de la aplicación muestra un error en rojo durante la tormenta",
+    "fr": "le tableau de bord de l'application affiche une erreur pendant l'orage",
+    "de": "der kleine bildschirm der app zeigt einen fehler und das gerät bleibt stumm",
+    "pt": "o painel do aplicativo mostra um erro e o sino da igreja toca tarde",
 }
