@@ -109,7 +109,6 @@ MULTILINGUAL_KEYWORDS = {
 RULE_LEVEL_ORDER = ["critical", "high", "medium"]
 LANGUAGE_RULE_LEVEL_ORDER = ["critical", "high"]
 
-REASON_KEYWORDS = "keywords matched: {n}"
 REASON_ESCALATED = "auto-escalated due to high urgency"
 REASON_STANDARD = "standard priority"
 

@@ -22,19 +22,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def rules_array(rules: list[tuple] | None = None) -> Column:
-    """Literal array<struct<level, keyword, language>> in rule order."""
-    rows = rules if rules is not None else C.keyword_rules()
-    return F.array(*[
-        F.struct(
-            F.lit(level).alias("level"),
-            F.lit(kw).alias("keyword"),
-            F.lit(lang).cast("string").alias("language"),
-        )
-        for _, level, kw, lang in rows
-    ])
-
-
 def urgency_rules(text, language, rules: list[tuple] | None = None,
                   lowered: bool = False) -> Column:
     """Ordered array of triggered rule ids ``level:kw`` / ``level:kw:lang``.

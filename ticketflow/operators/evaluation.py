@@ -205,11 +205,12 @@ def _low_from_base(base: DataFrame) -> DataFrame:
     return g.select("count", F.when(F.col("count") > 0, F.col("_ok") / F.col("count")).alias("accuracy"))
 
 
-def accuracy_heatmap(preds: DataFrame, labels: list | None = None) -> DataFrame:
-    """language x true-label accuracy matrix (pivot on the bounded label set)."""
+def accuracy_heatmap(preds: DataFrame, labels: list[str]) -> DataFrame:
+    """language x true-label accuracy matrix, one column per label given.
+
+    Null where a language has no row of a class.
+    """
     correct = F.when(F.col("y_true") == F.col("y_pred"), 1).otherwise(0)
-    if labels is None:
-        labels = [r[0] for r in preds.select("y_true").distinct().orderBy("y_true").collect()]
     return preds.withColumn("_ok", correct).groupBy("language").pivot("y_true", labels) \
         .agg(F.sum("_ok") / F.count(F.lit(1)))
 
@@ -217,6 +218,8 @@ def accuracy_heatmap(preds: DataFrame, labels: list | None = None) -> DataFrame:
 def evaluate(preds: DataFrame) -> DataFrame:
     """All sections as (section, scope, label, metric, value).
 
+    Predictions without a ``confidence`` column have no low-confidence section.
+
     One scan: ``base_counts`` is the only aggregate over the predictions and
     is checkpointed (it is tiny); the confusion matrix, metrics, gaps and
     low-confidence section are all computed from that table.
@@ -253,4 +256,5 @@ def evaluate(preds: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("label"),
         F.explode(F.create_map(F.lit("count"), F.col("count").cast("double"),
                                F.lit("accuracy"), F.col("accuracy"))).alias("metric", "value"))
-    return scopes.unionByName(rep).unionByName(cm).unionByName(gaps).unionByName(low)
+    report = scopes.unionByName(rep).unionByName(cm).unionByName(gaps)
+    return report.unionByName(low) if "confidence" in preds.columns else report

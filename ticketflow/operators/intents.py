@@ -10,23 +10,24 @@ order.
 For the small built-in lexicon the sums are computed in-row from literal
 maps (no join, no shuffle).  ``score_intents_join`` is the long form for
 lexicons of any size.  ``model_intent_scores`` plugs in a user's model
-through ``mapInPandas``: the factory is called once per Python worker and the
-model sees Arrow batches.
+through ``mapInPandas``; the model sees Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
 from ticketflow.functions.text import count_words, tokens
+from ticketflow.session import ship_package
 from ticketflow.sources import fixture_data as D
 
-LEXICON_BROADCAST_LIMIT = 1_000_000
 SCORES_TYPE = "array<struct<label:string,score:double>>"
 
 
@@ -101,18 +102,15 @@ def score_intents(df: DataFrame, text_col: str = "cleaned_text", out_col: str =
 
 
 def score_intents_join(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str,
-                       labels: list[str] | None = None, multi_label: bool = True,
-                       broadcast_limit: int = LEXICON_BROADCAST_LIMIT) -> DataFrame:
+                       labels: list[str] | None = None, multi_label: bool = True) -> DataFrame:
     """Long form for big lexicons: (id, intent_scores).
 
-    Tokens are exploded and joined to the lexicon (broadcast when its checked
-    row count allows), then reduced by a partial aggregate per (id, label);
-    the shuffle carries at most (texts x labels) rows.
+    Tokens are exploded and joined to the lexicon (its size decides the join),
+    then reduced by a partial aggregate per (id, label); the shuffle carries
+    at most (texts x labels) rows.
     """
     labels = labels or C.INTENT_CATEGORIES
     lex = lexicon.select(F.col("label"), F.col("token"), F.col("weight"))
-    if lex.count() <= broadcast_limit:
-        lex = F.broadcast(lex)
     tok = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
     sums = tok.join(lex, "token").groupBy(id_col).pivot("label", labels).agg(F.sum("weight"))
     base = df.select(id_col).join(sums, id_col, "left")
@@ -163,14 +161,17 @@ def model_intent_scores(df: DataFrame, factory: ModelFactory, id_col: str, text_
     back to the input is needed).
 
     ``factory(labels)`` returns ``predict(texts) -> list[list[float]]`` (one
-    score per label).  It is built once per Python worker; texts are fed in
-    batches of ``batch_size`` rows taken from Arrow batches.
+    score per label).  A Python worker keeps the last model it built, known by
+    a digest of the pickled factory and labels, so its later tasks do not load
+    it again; texts are fed in batches of ``batch_size`` rows.
     """
     labels = list(labels or C.INTENT_CATEGORIES)
     order = {lab: i for i, lab in enumerate(labels)}
+    ship_package(df.sparkSession)
+    key = hashlib.sha256(cloudpickle.dumps((factory, labels))).hexdigest()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = _worker_model(factory, tuple(labels))
+        predict = _worker_model(key, factory, labels)
         for pdf in it:
             texts = pdf[text_col].fillna("").tolist()
             out = []
@@ -196,9 +197,9 @@ def model_intent_scores(df: DataFrame, factory: ModelFactory, id_col: str, text_
 _MODELS: dict = {}
 
 
-def _worker_model(factory, labels):
-    key = (id(factory), labels)
+def _worker_model(key: str, factory, labels: list):
     if key not in _MODELS:
+        _MODELS.clear()
         _MODELS[key] = factory(list(labels))
     return _MODELS[key]
 

@@ -51,13 +51,13 @@ LATENCY_SCHEMA = "mean_ms double, min_ms double, max_ms double, p50_ms double, p
 
 
 def latency_stats(log: DataFrame, col: str = "processing_time_ms",
-                  n_buckets: int | None = None, stats: tuple | None = None) -> DataFrame:
-    """mean/min/max and p50/p95/p99, 2 dp.
+                  stats: tuple | None = None) -> DataFrame:
+    """mean/min/max and p50/p95/p99, 2 dp, of the non-null values.
 
-    Percentile p is the value at 0-based position int(n*p) of the sorted
-    values (p50 at n//2).  Empty input: zeros and null percentiles; one row:
-    p50 only.  Positions are found on the value histogram with bucket
-    offsets (``ranking.kth_smallest``), never by sorting all rows in one task.
+    Percentile p is the value at 0-based position int(n*p) of the n sorted
+    non-null values (p50 at n//2).  No value: zeros and null percentiles; one
+    value: p50 only.  Positions are found by ``ranking.kth_smallest``, never
+    by sorting all rows in one task.
     ``stats`` = (count, mean, min, max) when the caller already has them.
     """
     spark = log.sparkSession
@@ -71,7 +71,7 @@ def latency_stats(log: DataFrame, col: str = "processing_time_ms",
         "p95": int(n * 0.95) if n > 1 else None,
         "p99": int(n * 0.99) if n > 1 else None,
     }
-    pct = kth_smallest(log.select(col), col, ranks, n_buckets)
+    pct = kth_smallest(log.select(col), col, ranks)
     return pct.select(
         F.round(F.lit(float(mean)), 2).alias("mean_ms"),
         F.round(F.lit(float(mn)), 2).alias("min_ms"),
@@ -89,33 +89,44 @@ def recent_escalations(escalations: DataFrame, log: DataFrame, limit: int = 50)
     keeps escalation rows one to one, so this is the same result, and the
     large log is only streamed once against a broadcast of ``limit`` keys.
     """
-    top = escalations.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
+    from ticketflow.session import materialize
+
+    # ``limit`` rows, read three times below
+    top = materialize(escalations.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit))
     details = log.select(F.col("id").alias("_cid"), "language", "primary_intent", "confidence")
-    keys = top.select(F.col("classification_id").alias("_cid"))
+    keys = top.select(F.col("classification_id").alias("_cid")).distinct()
     matched = details.join(F.broadcast(keys), "_cid", "left_semi")
     return top.join(matched, top["classification_id"] == matched["_cid"], "left").drop("_cid")
 
 
 def metrics_report(log: DataFrame, as_of=None, model_name: str = C.MODEL_NAME,
                    intent_categories: list | None = None) -> DataFrame:
-    """One nested row: timestamp, total, per_language[], per_intent[], latency{}, model_info{}."""
+    """One nested row: timestamp, total, per_language[], per_intent[], latency{}, model_info{}.
+
+    Everything but the percentiles comes from one pass (``log_summary``); the
+    summary's few rows are folded into one.
+    """
+    from ticketflow.session import materialize
+
     cats = intent_categories or C.INTENT_CATEGORIES
-    per_lang = language_rates(stats_by_language(log)).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "language", "total_classifications", "avg_confidence", "review_rate",
-            "escalation_rate"))).alias("per_language"))
-    per_intent = intent_distribution(log).agg(
-        F.array_sort(F.collect_list(F.struct("intent", "count", "avg_confidence"))).alias("per_intent"))
-    lat = latency_stats(log).select(F.struct("*").alias("latency"))
-    total = total_classifications(log)
+    summ = materialize(log_summary(log))
+    kind = lambda k: F.col("kind") == k
+    denom = F.greatest(F.col("total"), F.lit(1))
+    lang = F.struct(F.col("key").alias("language"), F.col("total").alias("total_classifications"), "avg_confidence",
+                    (F.col("review_count") / denom).alias("review_rate"),
+                    (F.col("escalation_count") / denom).alias("escalation_rate"))
+    intent = F.struct(F.col("key").alias("intent"), F.col("total").alias("count"), "avg_confidence")
+    t = summ.filter(kind("total")).select("lat_n", "lat_mean", "lat_min", "lat_max").first()
+    lat = latency_stats(log, stats=tuple(t) if t is not None else (0, None, None, None))
+    folded = summ.agg(
+        F.coalesce(F.max(F.when(kind("total"), F.col("total"))), F.lit(0)).alias("total_classifications"),
+        F.array_sort(F.collect_list(F.when(kind("language"), lang))).alias("per_language"),
+        F.array_sort(F.collect_list(F.when(kind("intent"), intent))).alias("per_intent"))
     ts = F.current_timestamp() if as_of is None else F.lit(as_of)
-    # four single-row aggregates stacked as rows, then folded into one row
-    # (no join): each column is non-null in exactly one of them
-    stacked = total.unionByName(per_lang, allowMissingColumns=True) \
-        .unionByName(per_intent, allowMissingColumns=True).unionByName(lat, allowMissingColumns=True)
-    out = stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in
-                        ["total_classifications", "per_language", "per_intent", "latency"]])
-    return out.select(
+    both = folded.unionByName(lat.select(F.struct("*").alias("latency")), allowMissingColumns=True).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in
+          ["total_classifications", "per_language", "per_intent", "latency"]])
+    return both.select(
         ts.alias("timestamp"), "total_classifications", "per_language", "per_intent", "latency",
         F.struct(F.lit(model_name).alias("model_name"),
                  F.array(*[F.lit(c) for c in cats]).alias("intent_categories")).alias("model_info"),

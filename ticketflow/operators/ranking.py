@@ -1,108 +1,19 @@
-"""Exact global ranks without a single-task window.
+"""Exact ranks and order statistics without a single-task window.
 
 A window with no partition key, or one keyed by a handful of classes, puts
-everything into one or a few tasks.  The helpers here split the order key
-into value buckets first: per-bucket totals are a table of at most
-``n_buckets`` rows per group, their running offsets are computed on that
-small table and broadcast back, and the final window is partitioned by
-(group, bucket), so each task ranks one bucket.  Bucket edges come from
-approximate quantiles of the key, so buckets stay balanced; the result is
-the exact global rank either way, the quantiles only affect balance.
+everything into one or a few tasks.  ``range_rank`` range-partitions instead
+and adds offsets; ``kth_smallest`` narrows the value range that holds a rank
+until few rows are left in it.  Neither has a cap on rows, groups or keys, and
+neither brings more than a few numbers to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-BUCKET_ACCURACY = 10_000
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1 << 16
-
-
-def adaptive_buckets(n_rows: int, minimum: int = DEFAULT_BUCKETS) -> int:
-    """Buckets so that one bucket holds about ROWS_PER_BUCKET rows (bounded)."""
-    return int(max(minimum, min(MAX_BUCKETS, -(-n_rows // ROWS_PER_BUCKET))))
-
-
-def _bucket_edges(df: DataFrame, key: str, n_buckets: int) -> list:
-    """At most n_buckets-1 distinct, sorted edges from approximate quantiles."""
-    if n_buckets <= 1:
-        return []
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(BUCKET_ACCURACY, 10 * n_buckets)
-    row = df.agg(F.percentile_approx(F.col(key), qs, accuracy).alias("q")).first()
-    edges = row["q"] if row is not None and row["q"] is not None else []
-    return sorted({e for e in edges if e is not None})
-
-
-def value_bucket(key: str, edges: list) -> Column:
-    """Bucket index = number of edges strictly below the key (monotone in key)."""
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(key)))
-
-
-def with_bucket_offsets(df: DataFrame, key: str, weight: str | None = None,
-                        group_cols: list[str] | None = None,
-                        n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``_bucket`` and ``_offset`` = total weight of lower buckets in the group."""
-    group_cols = list(group_cols or [])
-    edges = _bucket_edges(df, key, n_buckets)
-    b = df.withColumn("_bucket", value_bucket(key, edges))
-    w = F.col(weight) if weight else F.lit(1)
-    totals = b.groupBy(*group_cols, "_bucket").agg(F.sum(w).alias("_btotal"))
-    prev = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.select(*group_cols, "_bucket",
-                            F.coalesce(F.sum("_btotal").over(prev), F.lit(0)).alias("_offset"))
-    # offsets has at most (groups x n_buckets) rows: bounded by construction
-    return b.join(F.broadcast(offsets), [*group_cols, "_bucket"])
-
-
-def global_rank(df: DataFrame, order_key: str, group_cols: list[str] | None = None,
-                n_buckets: int | None = None, out: str = "rank0",
-                tie_breakers: list[str] | None = None) -> DataFrame:
-    """0-based rank by (``order_key``, *tie_breakers) inside each group.
-
-    ``order_key`` must be numeric (bucket edges are its quantiles); rows with
-    equal keys fall in the same bucket and are ordered by the tie breakers.
-    ``n_buckets=None`` sizes the buckets from a row count (about
-    ``ROWS_PER_BUCKET`` rows each).
-    """
-    group_cols = list(group_cols or [])
-    if n_buckets is None:
-        n_buckets = adaptive_buckets(df.count())
-    b = with_bucket_offsets(df, order_key, None, group_cols, n_buckets)
-    w = Window.partitionBy(*group_cols, "_bucket").orderBy(order_key, *(tie_breakers or []))
-    ranked = b.withColumn(out, F.col("_offset") + F.row_number().over(w) - 1)
-    return ranked.select(*df.columns, out)
-
-
-def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None],
-                 n_buckets: int | None = None) -> DataFrame:
-    """One row: for each name, the value at 0-based position ``rank`` of the
-    sorted key (None rank -> null).  Works on the value histogram, so a hot
-    value is one row, not a hot partition."""
-    from ticketflow.session import materialize
-
-    # distinct values with counts, materialized once: the bucket edges, the
-    # offsets and the final pass all read it instead of re-aggregating
-    hist = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")))
-    if n_buckets is None:
-        n_buckets = adaptive_buckets(hist.count())  # distinct values, read from the checkpoint
-    b = with_bucket_offsets(hist, key, "_c", None, n_buckets)
-    run = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    cum = b.withColumn("_cum", F.col("_offset") + F.sum("_c").over(run))
-    aggs = []
-    for name, r in ranks.items():
-        if r is None:
-            aggs.append(F.lit(None).cast("double").alias(name))
-        else:
-            hit = (F.col("_cum") - F.col("_c") <= F.lit(r)) & (F.col("_cum") > F.lit(r))
-            aggs.append(F.min(F.when(hit, F.col(key))).alias(name))
-    return cum.agg(*aggs)
+ACCURACY = 10_000           # of the approximate quantiles that bracket a rank
+BRACKET_ROWS = 200_000      # rows of a bracket that are sorted for the exact value
 
 
 def range_rank(df: DataFrame, order: list, group_cols: list[str] | None = None, out: str = "rank0") -> DataFrame:
@@ -133,3 +44,82 @@ def range_rank(df: DataFrame, order: list, group_cols: list[str] | None = None,
         same = same & g.eqNullSafe(F.col(f"__g{i}"))
     rank = F.col("__offset") + F.col("__pos") - F.col("__first")
     return placed.join(runs, same).select(*[F.col(f"`{c}`") for c in df.columns], rank.alias(out))
+
+
+def first_per_group(df: DataFrame, group_cols: list[str], order: list, n: int) -> DataFrame:
+    """First ``n`` rows of each group by ``order`` (any orderable keys, null groups too).
+
+    Two trims with the same rule: inside hash slices of a group, then over
+    what the slices kept.  A group is spread over as many slices as there are
+    shuffle partitions, so no task sorts a whole group, whatever n is.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = [F.col(f"`{g}`") for g in group_cols]
+    keys = [F.col(f"`{o}`") if isinstance(o, str) else o for o in order]
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*keys), F.lit(slices)))
+    local = Window.partitionBy(*groups, "__slice").orderBy(*keys)
+    kept = sliced.withColumn("__rn", F.row_number().over(local)).where(F.col("__rn") <= n).drop("__rn", "__slice")
+    over = Window.partitionBy(*groups).orderBy(*keys)
+    return kept.withColumn("__rn", F.row_number().over(over)).where(F.col("__rn") <= n).drop("__rn")
+
+
+def kth_smallest(df: DataFrame, key: str, ranks: dict[str, int | None]) -> DataFrame:
+    """One row: for each name, the value at 0-based position ``rank`` among the
+    non-null sorted values of ``key`` (None, or a rank beyond them: null).
+
+    Approximate quantiles bracket each rank, one pass counts what lies below
+    and inside the brackets, and brackets with many rows are narrowed again
+    (about ``ACCURACY`` times smaller each time); only the rows of the last
+    brackets are grouped and sorted.  A hot value is a bracket of its own.
+    """
+    values = df.where(F.col(key).isNotNull()).select(F.col(key).alias("v"))
+    names = [n for n, r in ranks.items() if r is not None]
+    inside = {n: F.lit(True) for n in names}        # rows that may hold the rank
+    below = dict.fromkeys(names, 0)                 # rows smaller than all of these
+    size = dict.fromkeys(names, None)
+    open_names = list(names)
+    while open_names:
+        if size[open_names[0]] is None:
+            counts = values.agg(F.count(F.lit(1))).first()[0]
+            size = dict.fromkeys(names, counts)
+        quantiles = []
+        for n in open_names:
+            at = (ranks[n] - below[n]) / max(size[n], 1)
+            width = 2.0 / ACCURACY
+            quantiles.append(F.percentile_approx(
+                F.when(inside[n], F.col("v")), [max(0.0, at - width), min(1.0, at + width)], ACCURACY).alias(n))
+        edges = values.agg(*quantiles).first()
+        conditions = {}
+        for n in open_names:
+            if edges[n] is not None:
+                low, high = edges[n]
+                conditions[n] = inside[n] & F.col("v").between(F.lit(low), F.lit(high))
+        counted = [n for n in open_names if n in conditions]
+        if not counted:
+            break
+        aggs = []
+        for n in counted:
+            aggs += [F.count_if(inside[n] & (F.col("v") < F.lit(edges[n][0]))), F.count_if(conditions[n])]
+        found = values.agg(*aggs).first()
+        still = []
+        for i, n in enumerate(counted):
+            under, within = found[2 * i], found[2 * i + 1]
+            if below[n] + under <= ranks[n] < below[n] + under + within:
+                narrower = within < size[n]
+                below[n], size[n], inside[n] = below[n] + under, within, conditions[n]
+                if within > BRACKET_ROWS and edges[n][0] != edges[n][1] and narrower:
+                    still.append(n)
+        open_names = still
+    if not names:
+        return values.agg(*[F.max(F.lit(None).cast("double")).alias(n) for n in ranks])
+    brackets = F.explode(F.array(*[F.when(inside[n], F.lit(n)) for n in names]))
+    counts = values.select("v", brackets.alias("name")).where(F.col("name").isNotNull()).groupBy("name", "v").agg(
+        F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("cum", F.sum("c").over(run))
+    aggs = []
+    for n, r in ranks.items():
+        hit = (F.lit(None).cast("boolean") if r is None else
+               (F.col("name") == n) & (F.col("cum") - F.col("c") <= F.lit(r - below[n])) & (F.col("cum") > F.lit(r - below[n])))
+        aggs.append(F.min(F.when(hit, F.col("v"))).alias(n))
+    return counts.agg(*aggs)

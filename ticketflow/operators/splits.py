@@ -1,29 +1,30 @@
 """Stratified train / validation / test split, class counts, first-n per group.
 
-Split contract: ratios must sum to 1 (+-0.01) else ValueError; stratify on
-``stratify_col`` unless it is missing or a class has fewer than 2 rows; the
-second stage (rest -> val / test) checks again on the rest.  Membership is a
-seeded hash rank: each row gets ``md5(id|seed)`` as a 60-bit key and is
-ranked inside its stratum; a stratum of n rows sends the ceil(n * (val +
+The ratios must sum to one within a hundredth.  The split is stratified on
+``stratify_col`` unless that column is missing or one of its classes has fewer
+than two rows; the second stage (rest -> val / test) checks again on the rest.
+Membership is a seeded hash rank: each row gets ``md5(id|seed)`` as a 60-bit key
+and is ranked inside its stratum; a stratum of n rows sends the ceil(n * (val +
 test)) highest ranks to the rest, and the rest sends ceil(n_rest * test /
 (val + test)) highest to test.  Shares, coverage and reproducibility are the
 contract; row membership is not the same as any other library's generator.
 
-Ranking never puts a stratum into one task: ``ranking.global_rank`` splits
-each stratum into key buckets with broadcast offsets, so a class holding a
-third of all rows is spread over many tasks.
+Ranks come from ``ranking.range_rank``, so a class that holds a third of all
+rows is spread over many tasks; the driver sees two numbers (the number of
+classes' rows at least and at most), never a list of strata.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketflow.operators.ranking import adaptive_buckets, global_rank
+from ticketflow.operators.ranking import first_per_group, range_rank
 
 SPLITS = ("train", "val", "test")
+RATIO_TOLERANCE = 0.01
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -36,135 +37,52 @@ def class_counts(df: DataFrame, stratify_col: str) -> DataFrame:
     return df.groupBy(stratify_col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _min_class(df: DataFrame, stratify_col: str) -> int:
-    row = class_counts(df, stratify_col).agg(F.min("n")).first()
-    return row[0] if row and row[0] is not None else 0
-
-
-def _ranked(df: DataFrame, key: str, id_col: str, strat: str | None, n_buckets: int) -> DataFrame:
-    groups = [strat] if strat else []
-    r = global_rank(df, key, groups, n_buckets, "_r", tie_breakers=[id_col])
-    # group sizes: one aggregate row per group, joined back by key (broadcast)
-    if groups:
-        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        return r.join(F.broadcast(sizes), groups)
-    n = df.count()
-    return r.withColumn("_n", F.lit(n))
-
-
-KEY_BITS = 60
-
-
-def _bucket_bits(n_buckets: int) -> int:
-    return max(0, min(20, (max(1, n_buckets) - 1).bit_length()))
-
-
-def _hash_ranked(keyed: DataFrame, id_col: str, strat: str | None, totals: list,
-                 bits: int) -> DataFrame:
-    """Exact 0-based rank by (_key, id) inside the stratum, plus stratum size.
-
-    ``totals`` = [(stratum, bucket, count)] from the one small aggregate.  The
-    key is a uniform hash, so its top ``bits`` bits give balanced buckets;
-    offsets = counts of lower buckets in the same stratum.
-    """
-    sizes: dict = {}
-    offsets = []
-    for g in sorted({t[0] for t in totals}, key=lambda x: (x is None, x)):
-        run = 0
-        for _, b, c in sorted((t for t in totals if t[0] == g), key=lambda t: t[1]):
-            offsets.append((g, b, run))
-            run += c
-        sizes[g] = run
-    rows = [(g, b, off, sizes[g]) for g, b, off in offsets]
-    spark = keyed.sparkSession
-    off_df = spark.createDataFrame(rows, "_g string, _b int, _offset long, _n long")
-    x = keyed.withColumn("_g", F.col(strat).cast("string") if strat else F.lit(None).cast("string")) \
-        .withColumn("_b", F.shiftright(F.col("_key"), KEY_BITS - bits).cast("int"))
-    # bounded: strata x 2^bits rows
-    x = x.join(F.broadcast(off_df), x["_g"].eqNullSafe(off_df["_g"]) & (x["_b"] == off_df["_b"])) \
-        .drop(off_df["_g"]).drop(off_df["_b"])
-    w = Window.partitionBy("_g", "_b").orderBy("_key", id_col)
-    return x.withColumn("_r", F.col("_offset") + F.row_number().over(w) - 1).drop("_offset", "_g", "_b")
+def _sized(ranked: DataFrame, df: DataFrame, strat: str | None) -> DataFrame:
+    """Adds ``_n``, the rows of the row's stratum (of the table without one)."""
+    if strat is None:
+        return ranked.withColumn("_n", F.lit(df.count()))
+    sizes = class_counts(df, strat).select(F.col(strat).alias("_g"), F.col("n").alias("_n"))
+    return ranked.join(sizes, F.col(strat).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def stratified_split(df: DataFrame, id_col: str, train_ratio: float = 0.7, val_ratio: float = 0.15,
                      test_ratio: float = 0.15, stratify_col: str | None = "intent",
-                     random_state: int = 42, n_buckets: int | None = None) -> DataFrame:
+                     random_state: int = 42) -> DataFrame:
     """Adds ``split`` in (train, val, test).
 
-    Two passes over the input in the common case: one small aggregate of
-    counts per (stratum, hash bucket), which gives stratum sizes and bucket
-    offsets at once (a bounded list of strata x buckets rows), and the final
-    pass that ranks each bucket.  Inside a stratum the rest is the top of the
-    rank order, so a row's rank within the rest is its rank minus the
-    stratum's train count.  Only when the first stage is stratified and the
-    second is not (a class left with < 2 rest rows) is the rest ranked again.
+    Inside a stratum the rest is the top of the rank order, so a row's rank
+    within the rest is its rank minus the stratum's train count.  Only when
+    the first stage is stratified and the second is not (a class left with
+    fewer than two rest rows) is the rest ranked again.
     """
-    total = train_ratio + val_ratio + test_ratio
-    if abs(total - 1.0) > 0.01:
-        raise ValueError(f"Split ratios must sum to 1.0, got {total:.3f}")
+    shares = {"train": train_ratio, "val": val_ratio, "test": test_ratio}
+    if not math.isclose(sum(shares.values()), 1.0, abs_tol=RATIO_TOLERANCE):
+        raise ValueError(f"the shares {shares} do not add up to one")
     rest_ratio = val_ratio + test_ratio
-    rel_test = test_ratio / rest_ratio
-    strat = stratify_col if stratify_col and stratify_col in df.columns else None
-    if n_buckets is None:
-        # about ROWS_PER_BUCKET rows per hash bucket (a count is a cheap pass)
-        n_buckets = adaptive_buckets(df.count())
-    bits = _bucket_bits(n_buckets)
-    keyed = df.withColumn("_key", hash_key(id_col, random_state))
-    gcol = F.col(strat).cast("string") if strat else F.lit(None).cast("string")
-    totals = [tuple(r) for r in keyed.groupBy(
-        gcol.alias("_g"), F.shiftright("_key", KEY_BITS - bits).cast("int").alias("_b")).count().collect()]
-    sizes: dict = {}
-    for g, _, c in totals:
-        sizes[g] = sizes.get(g, 0) + c
-    if strat is not None and (not sizes or min(sizes.values()) < 2):
+    rel_test = test_ratio / rest_ratio if rest_ratio else 0.0
+    strat = stratify_col if stratify_col in df.columns else None
+    least = class_counts(df, strat).agg(F.min("n")).first()[0] if strat else None
+    if least is None or least < 2:
         strat = None
-    if strat is None:
-        merged: dict = {}
-        for _, b, c in totals:
-            merged[b] = merged.get(b, 0) + c
-        totals = [(None, b, c) for b, c in merged.items()]
-        sizes = {None: sum(merged.values())}
-    stage2_strat = strat is not None and min(math.ceil(n * rest_ratio) for n in sizes.values()) >= 2
-    r = _hash_ranked(keyed, id_col, strat, totals, bits)
+    keyed = df.withColumn("_key", hash_key(id_col, random_state))
+    r = _sized(range_rank(keyed, ["_key", id_col], [strat] if strat else None, "_r"), df, strat)
     n_rest = F.ceil(F.col("_n") * F.lit(rest_ratio))
     n_train = F.col("_n") - n_rest
     is_train = F.col("_r") < n_train
-    out_cols = df.columns + ["split"]
-    if strat is None or stage2_strat:
-        rr = F.col("_r") - n_train
+    out_cols = [*df.columns, "split"]
+    if strat is None or math.ceil(least * rest_ratio) >= 2:
         n_test = F.ceil(n_rest * F.lit(rel_test))
-        split = F.when(is_train, F.lit("train")).when(rr < n_rest - n_test, F.lit("val")).otherwise(F.lit("test"))
+        split = F.when(is_train, F.lit("train")).when(
+            F.col("_r") - n_train < n_rest - n_test, F.lit("val")).otherwise(F.lit("test"))
         return r.withColumn("split", split).select(*out_cols)
-    train = r.filter(is_train).withColumn("split", F.lit("train")).select(*out_cols)
     rest = r.filter(~is_train).drop("_r", "_n")
-    r2 = _ranked(rest, "_key", id_col, None, n_buckets)
-    n_test2 = F.ceil(F.col("_n") * F.lit(rel_test))
-    r2 = r2.withColumn("split", F.when(F.col("_r") < F.col("_n") - n_test2, F.lit("val")).otherwise(F.lit("test")))
-    return train.unionByName(r2.select(*out_cols))
-
+    again = _sized(range_rank(rest, ["_key", id_col], None, "_r"), rest, None)
+    is_val = F.col("_r") < F.col("_n") - F.ceil(F.col("_n") * F.lit(rel_test))
+    again = again.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("test")))
+    train = r.filter(is_train).withColumn("split", F.lit("train"))
+    return train.select(*out_cols).unionByName(again.select(*out_cols))
 
-def split_frames(split_df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(split_df.filter(F.col("split") == s).drop("split") for s in SPLITS)  # type: ignore[return-value]
 
-
-GROUP_LIMIT_THRESHOLD = 1000  # spark.sql.optimizer.windowGroupLimitThreshold default
-
-
-def head_per_group(df: DataFrame, group_col: str, order_cols: list[str], n: int,
-                   n_buckets: int | None = None) -> DataFrame:
-    """First ``n`` rows per group by an explicit order.
-
-    For n up to the group-limit threshold, ``row_number() <= n`` is planned as
-    a WindowGroupLimit: each map task keeps at most n rows per group before
-    the shuffle, so a hot group ships n rows per task, not all of its rows.
-    Above it (where that rewrite does not apply) the rank comes from the
-    bucketed ``global_rank`` (numeric leading order key), so no group is
-    sorted in one task.
-    """
-    numeric = dict(df.dtypes).get(order_cols[0], "") in ("bigint", "int", "smallint", "double", "float")
-    if n > GROUP_LIMIT_THRESHOLD and numeric:
-        r = global_rank(df, order_cols[0], [group_col], n_buckets, "_rn0", tie_breakers=list(order_cols[1:]))
-        return r.filter(F.col("_rn0") < n).drop("_rn0")
-    w = Window.partitionBy(group_col).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def head_per_group(df: DataFrame, group_col: str, order_cols: list[str], n: int) -> DataFrame:
+    """First ``n`` rows per group by an explicit order; a null group is a group."""
+    return first_per_group(df, [group_col], order_cols, n)

@@ -10,15 +10,12 @@ one is joined by the planner's choice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
 from ticketflow.functions import urgency as U
 
-BROADCAST_RULE_LIMIT = 100_000
-
-
 def score_urgency(df: DataFrame, text_col: str = "text", language_col: str = "language",
                   confidence_col: str | None = "confidence", ml_score=None,
                   rules: list[tuple] | None = None,
@@ -41,38 +38,29 @@ def score_urgency(df: DataFrame, text_col: str = "text", language_col: str = "la
     )
 
 
+PREFIX = 3      # characters of a keyword that pick its candidate texts
+
+
 def urgency_rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id",
-                      text_col: str = "text", language_col: str = "language",
-                      broadcast_rule_limit: int = BROADCAST_RULE_LIMIT) -> DataFrame:
+                      text_col: str = "text", language_col: str = "language") -> DataFrame:
     """Long form: one row per (ticket, rule) hit.
 
     ``rules`` has columns (rule_order, level, keyword, language); a null rule
-    language applies to every ticket.  The match is a substring test, so the
-    join is a broadcast nested-loop join against the rule table.  Rule tables
-    larger than ``broadcast_rule_limit`` rows are cut into chunks of that
-    size by rule order and each chunk is broadcast on its own (results
-    unioned): never a shuffled cartesian product, and the ticket side is
-    streamed once per chunk.
+    language applies to every ticket.  The match is a substring test.  Its
+    candidates are an equi-join: the distinct substrings of a text that are as
+    long as a keyword's prefix (``PREFIX`` characters, fewer for shorter
+    keywords) meet the keywords with that prefix, and only those are tested.
     """
-    r = rules.select(
-        F.col("rule_order"), F.col("level"), F.col("keyword"),
-        F.col("language").alias("rule_language"))
-    n_rules = r.count()
-    n_chunks = max(1, -(-n_rules // broadcast_rule_limit))
+    r = rules.where(F.length("keyword") > 0).select(
+        "rule_order", "level", "keyword", F.col("language").alias("rule_language"),
+        F.substring("keyword", 1, PREFIX).alias("_gram"))
+    sizes = [x[0] for x in r.select(F.length("_gram")).distinct().collect()]     # at most PREFIX numbers
     t = df.select(id_col, F.lower(F.col(text_col)).alias("_low"), F.col(language_col).alias("_lang"))
+    grams = [F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes or [PREFIX]]
+    t = t.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
     cond = F.col("_low").contains(F.col("keyword")) & (
         F.col("rule_language").isNull() | (F.col("rule_language") == F.col("_lang")))
-    if n_chunks == 1:
-        hit = t.join(F.broadcast(r), cond, "inner")
-    else:
-        from ticketflow.session import materialize
-
-        ranked = r.withColumn("_chunk", F.ntile(n_chunks).over(Window.orderBy("rule_order")))
-        ranked = materialize(ranked)  # rule table materialized once for all chunks
-        hit = None
-        for c in range(1, n_chunks + 1):
-            part = t.join(F.broadcast(ranked.filter(F.col("_chunk") == c).drop("_chunk")), cond, "inner")
-            hit = part if hit is None else hit.unionByName(part)
+    hit = t.join(r, "_gram").where(cond)
     rule_id = F.when(F.col("rule_language").isNull(), F.concat_ws(":", "level", "keyword")) \
         .otherwise(F.concat_ws(":", "level", "keyword", "rule_language"))
     return hit.select(id_col, "rule_order", "level", "keyword", "rule_language",

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -64,6 +66,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's Python files to the executors (once per context).
+
+    Tasks that run Python import from it; a cluster that only has the driver's
+    copy needs no installation on its workers.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_ticketflow_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / "ticketflow_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))      # served by the driver, not read from its folder
+    sc._ticketflow_shipped = True
+
+
 def materialize(df):
     """Eager reliable checkpoint (shared checkpoint dir) of a small derived
     table that several branches read: the large input is scanned once and

@@ -8,8 +8,9 @@ frame with the schema.  It is one scan with a language filter and a
 group-limited window, not one read per language.
 
 ``prepare_combined_dataset`` numbers the concatenation (languages in the
-requested order, rows in order) with an exact global index computed from
-bucket offsets, then labels row i with intents[i % 6] and levels[i % 4].
+requested order, rows in order) with an exact global index (``range_rank`` on
+language position and id), then labels row i with intents[i % 6] and
+levels[i % 4].
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
-from ticketflow.operators.ranking import global_rank
+from ticketflow.operators.ranking import range_rank
 from ticketflow.operators.splits import head_per_group
 
 DEFAULT_LANGUAGES = C.SUPPORTED_LANGUAGES[:5]
-CORPUS_SCHEMA = "doc_id long, text string, language string, source string"
 
 
 def load_language_corpora(corpus: DataFrame, languages: list[str] | None = None,
@@ -36,10 +36,11 @@ def load_language_corpora(corpus: DataFrame, languages: list[str] | None = None,
     return head_per_group(sel, "language", ["doc_id"], samples_per_lang)
 
 
-def round_robin_label(df: DataFrame, order_key: str, labels: list[str], out: str,
+def round_robin_label(df: DataFrame, order: list | str, labels: list[str], out: str,
                       index_col: str = "row_index") -> DataFrame:
-    """labels[i % len(labels)] by the 0-based global index i of ``order_key``."""
-    x = df if index_col in df.columns else global_rank(df, order_key, None, out=index_col)
+    """labels[i % len(labels)] by the 0-based global index i in the order of ``order``."""
+    order = [order] if isinstance(order, str) else order
+    x = df if index_col in df.columns else range_rank(df, order, None, out=index_col)
     arr = F.array(*[F.lit(v) for v in labels])
     return x.withColumn(out, F.element_at(arr, (F.col(index_col) % len(labels) + 1).cast("int")))
 
@@ -49,10 +50,8 @@ def prepare_combined_dataset(corpus: DataFrame, target_languages: list[str] | No
     """text, intent, urgency, language (+ doc_id, row_index) with round-robin labels."""
     langs = list(target_languages or DEFAULT_LANGUAGES)
     raw = load_language_corpora(corpus, langs, samples_per_lang, **kw)
-    pos = F.create_map(*[x for i, lg in enumerate(langs) for x in (F.lit(lg), F.lit(i))])
-    # concatenation order = (language position, doc_id) as one numeric key
-    keyed = raw.withColumn("_order", pos[F.col("language")].cast("long") * F.lit(1 << 40) + F.col("doc_id"))
-    x = global_rank(keyed, "_order", None, out="row_index")
-    x = round_robin_label(x, "_order", C.INTENT_CATEGORIES, "intent")
-    x = round_robin_label(x, "_order", C.URGENCY_LEVELS, "urgency")
+    position = F.array_position(F.array(*map(F.lit, langs)), F.col("language"))
+    x = range_rank(raw.withColumn("_position", position), ["_position", "doc_id", "text"], None, out="row_index")
+    x = round_robin_label(x, [], C.INTENT_CATEGORIES, "intent")
+    x = round_robin_label(x, [], C.URGENCY_LEVELS, "urgency")
     return x.select("doc_id", "row_index", "text", "intent", "urgency", "language")
