@@ -29,7 +29,7 @@ def test_cleaning_rules_exercised(spark, enriched):
 
 
 def test_names_and_templates_exercised(spark, enriched):
-    t = FX.tickets(spark, SF)
+    t = FX.tickets(spark, SF, with_customer=True)
     assert hit_and_miss(t, F.col("customer_name").isNull())
     assert hit_and_miss(t, F.col("customer_name") == "")
     src = {r[0] for r in REGISTRY["select_template"](spark, SF).select("template_source").distinct().collect()}

@@ -38,7 +38,7 @@ def test_plugin_equals_builtin(spark):
 def test_enrich_with_plugin_model_equals_builtin(spark):
     from ticketflow.plans.enrich import enrich_flat, enrich_tickets
     from ticketflow.sources.fixtures import tickets
-    t = tickets(spark, "/root/testdata/sf0.001")
+    t = tickets(spark, "/root/testdata/sf0.001", with_customer=True)
     a = enrich_flat(enrich_tickets(t))
     b = enrich_flat(enrich_tickets(t, intent_model=lexicon_model_factory()))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0

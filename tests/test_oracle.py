@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ticketflow.plans.oracle import SQL
+from ticketflow.plans.queries import REGISTRY
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(REGISTRY)
 
 
 @pytest.fixture(scope="module")
@@ -21,20 +22,19 @@ def con():
     return c
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = set(NAMES) - set(SQL)
-    assert rows_only <= {"ngram_profile", "best_language"}
+def test_every_query_has_an_oracle_and_is_registered():
+    assert set(NAMES) == set(SQL)
+    assert set(NAMES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data missing")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = REGISTRY[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    if name not in SQL:
-        assert len(df.columns) > 0
-        return
-    cur = con.execute(SQL[name])
+    # the driver makes a view of each statement
+    con.execute(f"CREATE OR REPLACE VIEW oracle_query AS {SQL[name]}")
+    cur = con.execute("SELECT * FROM oracle_query")
     cols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(cols)

@@ -155,6 +155,13 @@ def validate_tickets(df, text_col: str = "text", min_chars: int = 1,
     )
 
 
+def split_valid(df, text_col: str = "text", min_chars: int = 1, max_chars: int = MAX_REQUEST_CHARS):
+    """(accepted rows as they were, quarantined rows with ``reject_reason``)."""
+    checked = validate_tickets(df, text_col, min_chars, max_chars)
+    accepted = checked.where("is_valid").drop("is_valid", "reject_reason")
+    return accepted, checked.where("not is_valid").drop("is_valid")
+
+
 def display_label(label) -> Column:
     """``technical_support`` -> ``Technical Support``."""
     return F.initcap(F.replace(_col(label), F.lit("_"), F.lit(" ")))

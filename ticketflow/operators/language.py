@@ -12,22 +12,21 @@ yields struct(language, confidence) or null when it has no evidence:
   (``fit_ngram_profile``) and scored with add-one smoothed log
   probabilities and a softmax (``score_ngram_profile``).
 
-``detect_language`` runs the backends, keeps the most confident one (first
+``detect_language`` runs both backends, keeps the most confident one (first
 backend wins ties) and falls back to (fallback, 0.0) for blank text or when
 no backend has evidence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketflow import config as C
 from ticketflow.functions.text import WS_CLASS, count_words, is_blank, tokens
 from ticketflow.sources import fixture_data as D
 
-PROFILE_BROADCAST_LIMIT = 2_000_000
-WORDS_BROADCAST_LIMIT = 1_000_000
+SCALE = 1_000_000       # log probabilities are kept as integers of this unit
 
 
 def _c(x) -> Column:
@@ -76,8 +75,7 @@ def add_function_word_vote(df: DataFrame, text_col: str, out: str = "vote",
     return x.drop("_fw_hits") if lowered_col else x.drop("_fw_hits", "_fw_low")
 
 
-def function_word_vote_join(df: DataFrame, words: DataFrame, id_col: str, text_col: str,
-                            broadcast_limit: int = WORDS_BROADCAST_LIMIT) -> DataFrame:
+def function_word_vote_join(df: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Long form: (id, vote struct) for every text with at least one hit.
 
     ``words`` has (language, word) and optionally ``lang_pos`` (tie order).
@@ -87,12 +85,8 @@ def function_word_vote_join(df: DataFrame, words: DataFrame, id_col: str, text_c
     if "lang_pos" in words.columns:
         w = words.select("language", "word", "lang_pos")
     else:
-        # tie order = sorted language codes (one row per language)
-        order = sorted(r[0] for r in words.select("language").distinct().collect())
-        pos = F.create_map(*[x for i, lg in enumerate(order) for x in (F.lit(lg), F.lit(i))])
-        w = words.select("language", "word", pos[F.col("language")].alias("lang_pos"))
-    if w.count() <= broadcast_limit:
-        w = F.broadcast(w)
+        # ties go to the smaller language code
+        w = words.select("language", "word", F.col("language").alias("lang_pos"))
     tok = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("word"))
     votes = tok.join(w, "word").groupBy(id_col, "language", "lang_pos").agg(
         F.count(F.lit(1)).alias("votes"))
@@ -121,60 +115,66 @@ def trigrams(text) -> Column:
 def fit_ngram_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(language, gram, log_prob, unseen_log_prob) with add-one smoothing.
 
+    Log probabilities are integers in units of 1 / SCALE: sums of them do not
+    depend on the order of addition, so the argmax is reproducible anywhere.
     Counting is a partial aggregation by (language, gram): a frequent gram is
     combined map-side before the shuffle.  The counts are checkpointed to the
-    shared checkpoint dir once, so the vocabulary size, the size check and
-    the scoring all read the same materialized table.
+    shared checkpoint dir once, so the vocabulary size and the scoring read
+    the same materialized table.
     """
     from ticketflow.session import materialize
 
-    grams = labelled.select(F.col(lang_col).alias("language"),
-                            F.explode(trigrams(F.col(text_col))).alias("gram"))
+    grams = labelled.where(F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("language"), F.explode(trigrams(F.col(text_col))).alias("gram"))
     counts = materialize(grams.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("cnt")))
     totals = counts.groupBy("language").agg(F.sum("cnt").alias("n_lang"))
     vocab = counts.select("gram").distinct().count()  # one scalar
-    # totals has one row per language: bounded by the label set
-    prof = counts.join(F.broadcast(totals), "language")
+    prof = counts.join(totals, "language")
     den = (F.col("n_lang") + F.lit(vocab)).cast("double")
-    return prof.select("language", "gram",
-                       F.log((F.col("cnt") + 1) / den).alias("log_prob"),
-                       F.log(F.lit(1.0) / den).alias("unseen_log_prob"))
-
-
-def score_ngram_profile(df: DataFrame, profile: DataFrame, id_col: str, text_col: str,
-                        broadcast_limit: int = PROFILE_BROADCAST_LIMIT) -> DataFrame:
-    """(id, ngram struct(language, confidence)); confidence = softmax share.
-
-    Plan: one explode of the text's trigrams, a join to the profile
-    (broadcast when its checked row count is within ``broadcast_limit``), and
-    one aggregation per text with a conditional sum per language.  All grams
-    of a text sit in one partition, so the partial aggregate leaves one row
-    per text before the only shuffle.  Argmax (ties: language order) and
-    softmax are array expressions on that row.  Texts without any known gram
-    get null (no evidence).
+    units = lambda x: F.round(F.log(x) * SCALE).cast("long")
+    return prof.select("language", "gram", units((F.col("cnt") + 1) / den).alias("log_prob"),
+                       units(F.lit(1.0) / den).alias("unseen_log_prob"))
+
+
+def score_ngram_profile(df: DataFrame, profile: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ngram struct(language, confidence)); confidence = softmax share
+    among the languages that know a trigram of the text.
+
+    One explode of the text's trigrams, a join to the profile (its size
+    decides the join: the planner broadcasts it or AQE splits hot grams), and
+    a partial aggregation per (text, language), then per text.  Ties go to the
+    smaller language code.  Texts without any known gram have no row.
     """
-    langs = sorted(tuple(r) for r in profile.select("language", "unseen_log_prob").distinct().collect())
-    n_prof = profile.count()
-    prof = profile.select("gram", "language", "log_prob")
-    if n_prof <= broadcast_limit:
-        prof = F.broadcast(prof)
     g = df.select(id_col, trigrams(F.col(text_col)).alias("_g")).select(
-        id_col, F.size("_g").alias("n_grams"), F.explode("_g").alias("gram"))
-    aggs = []
-    for i, (lang, _) in enumerate(langs):
-        hit = F.col("language") == F.lit(lang)
-        aggs += [F.sum(F.when(hit, F.col("log_prob"))).alias(f"_lp{i}"),
-                 F.count_if(hit).alias(f"_m{i}")]
-    per = g.join(prof, "gram").groupBy(id_col, "n_grams").agg(*aggs)
-    scores = F.array(*[
-        F.coalesce(F.col(f"_lp{i}"), F.lit(0.0)) + (F.col("n_grams") - F.col(f"_m{i}")) * F.lit(unseen)
-        for i, (_, unseen) in enumerate(langs)])
-    per = per.select(id_col, scores.alias("_s"))
-    per = per.withColumn("_mx", F.array_max("_s"))
-    z = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_mx")))
-    best = F.element_at(F.array(*[F.lit(lg) for lg, _ in langs]),
-                        F.array_position("_s", F.col("_mx")).cast("int"))
-    return per.select(id_col, lang_struct(best, F.lit(1.0) / z).alias("ngram"))
+        id_col, F.size("_g").cast("long").alias("n_grams"), F.explode("_g").alias("gram"))
+    hits = g.join(profile, "gram")
+    # unknown grams count as unseen, so only the known ones need a row
+    per = hits.groupBy(id_col, "n_grams", "language").agg(
+        (F.col("n_grams") * F.max("unseen_log_prob") + F.sum(F.col("log_prob") - F.col("unseen_log_prob"))).alias("score"))
+    best = per.groupBy(id_col).agg(
+        F.max("score").alias("_mx"), F.sort_array(F.collect_list("score")).alias("_s"),
+        F.min_by("language", F.struct((-F.col("score")).alias("worse"), F.col("language"))).alias("_best"))
+    z = F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + F.exp((x - F.col("_mx")) / SCALE))
+    return best.select(id_col, lang_struct(F.col("_best"), F.lit(1.0) / z).alias("ngram"))
+
+
+def builtin_profile(spark: SparkSession) -> DataFrame:
+    """Trigram profile of the package's own word lists and sample sentences (constants)."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    counts = {}
+    for lang, words in D.FUNCTION_WORDS.items():
+        text = " ".join([*words, D.OVERLAP_SAMPLES.get(lang, "")]).lower()
+        text = regex.sub(" +", " ", " " + regex.sub(r"[^\p{L}]+", " ", text) + " ")
+        counts[lang] = Counter(text[i:i + 3] for i in range(len(text) - 2))
+    vocab = len({g for c in counts.values() for g in c})
+    units = lambda x: round(math.log(x) * SCALE)
+    rows = [(lang, gram, units((n + 1) / (sum(c.values()) + vocab)), units(1 / (sum(c.values()) + vocab)))
+            for lang, c in counts.items() for gram, n in sorted(c.items())]
+    return spark.createDataFrame(rows, "language string, gram string, log_prob long, unseen_log_prob long")
 
 
 # ---------------------------------------------------------------- ensemble
@@ -186,25 +186,25 @@ def best_language(first, second) -> Column:
         .when(b["confidence"] > a["confidence"], b).otherwise(a)
 
 
-def detect_language(df: DataFrame, text_col: str = "cleaned_text", id_col: str | None = None,
-                    profile: DataFrame | None = None, fallback: str = "en",
-                    words: dict | None = None, lowered_col: str | None = None) -> DataFrame:
-    """Adds ``language`` and ``language_confidence`` (unrounded)."""
-    out = add_function_word_vote(df, text_col, "_vote", words, lowered_col)
-    if profile is not None:
-        if id_col is None:
-            raise ValueError("id_col is required with an n-gram profile")
-        ng = score_ngram_profile(out.select(id_col, text_col), profile, id_col, text_col)
-        out = out.join(ng, id_col, "left")
-        pick = best_language("_vote", "ngram")
-    else:
-        pick = F.col("_vote")
+def detect_language(df: DataFrame, text_col: str = "cleaned_text", profile: DataFrame | None = None,
+                    fallback: str = "en", words: dict | None = None, lowered_col: str | None = None) -> DataFrame:
+    """Adds ``language`` and ``language_confidence`` (unrounded) from both backends.
+
+    The trigram backend (``builtin_profile`` unless a ``profile`` is given) only
+    has to look at texts whose vote is not unanimous, since the first backend
+    wins ties, and at each distinct text once.
+    """
+    profile = builtin_profile(df.sparkSession) if profile is None else profile
+    out = add_function_word_vote(df, text_col, "_vote", words, lowered_col).withColumn(
+        "_key", F.md5(F.col(text_col)))
+    open_rows = ~is_blank(F.col(text_col)) & F.coalesce(F.col("_vote.confidence") < 1.0, F.lit(True))
+    texts = out.where(open_rows).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+    scored = score_ngram_profile(texts, profile, "_key", "_text")
+    out = out.join(scored, "_key", "left")
     fb = lang_struct(F.lit(fallback), F.lit(0.0))
-    res = F.when(is_blank(F.col(text_col)), fb).otherwise(F.coalesce(pick, fb))
-    out = out.withColumn("_lang", res)
-    drop = ["_vote", "_lang"] + (["ngram"] if profile is not None else [])
-    return out.withColumn("language", F.col("_lang.language")) \
-        .withColumn("language_confidence", F.col("_lang.confidence")).drop(*drop)
+    res = F.when(is_blank(F.col(text_col)), fb).otherwise(F.coalesce(best_language("_vote", "ngram"), fb))
+    return (out.withColumn("_lang", res).withColumn("language", F.col("_lang.language"))
+            .withColumn("language_confidence", F.col("_lang.confidence")).drop("_key", "_vote", "_lang", "ngram"))
 
 
 def detect_batch(df: DataFrame, text_col: str = "text", **kw) -> DataFrame:

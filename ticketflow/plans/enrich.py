@@ -3,10 +3,11 @@
 clean -> detect language -> score and rank intents -> urgency (with the
 rounded primary confidence) -> select template -> render reply.
 
-Row-level stages are column expressions inside whole-stage codegen; the
-template stage adds two broadcast joins against a dimension bounded by the
-template files; the optional n-gram backend adds an explode + broadcast
-join + partial aggregate.  Nothing is collected; a batch of one ticket is a
+Row-level stages are column expressions (those with lambdas or ``reflect`` are
+evaluated outside codegen); the template stage adds two broadcast joins against
+a dimension bounded by the template files; the trigram backend adds an explode,
+a join and a partial aggregate over the distinct texts whose function-word vote
+is not unanimous.  Nothing is collected; a batch of one ticket is a
 one-row DataFrame.  A blank cleaned text gets the fallback language, null
 intent fields and the review flag (the lexical scorer has nothing to score).
 """
@@ -43,8 +44,7 @@ def enrich_tickets(df: DataFrame, text_col: str = "text", id_col: str = "ticket_
     keep = list(keep_cols) if keep_cols is not None else [c for c in df.columns]
     x = df.withColumn("cleaned_text", clean_text(text_col, settings.max_length))
     x = x.withColumn("_low", F.lower(F.col("cleaned_text")))
-    x = detect_language(x, "cleaned_text", id_col, profile, settings.fallback_language,
-                        lowered_col="_low")
+    x = detect_language(x, "cleaned_text", profile, settings.fallback_language, lowered_col="_low")
     if intent_model is None:
         x = score_intents(x, "cleaned_text", "intent_scores", lexicon, settings.intent_categories,
                           lowered_col="_low")

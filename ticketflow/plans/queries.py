@@ -7,7 +7,6 @@ oracle SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +32,8 @@ def _ticket_conf():
     return (F.col("event_id") % 11) / F.lit(10)
 
 
-def cleaned_tickets(spark, sf) -> DataFrame:
-    return FX.tickets(spark, sf).withColumn("cleaned_text", TX.clean_text("text"))
+def cleaned_tickets(spark, sf, with_customer: bool = False) -> DataFrame:
+    return FX.tickets(spark, sf, with_customer).withColumn("cleaned_text", TX.clean_text("text"))
 
 
 # ---------------------------------------------------------------- 2.2 / 2.8 text
@@ -101,6 +100,50 @@ def q_validate_tickets(spark, sf):
     return TX.validate_tickets(docs).select("doc_id", "is_valid", "reject_reason")
 
 
+@register("quarantine_tickets")
+def q_quarantine_tickets(spark, sf):
+    """Accepted and rejected conversations, written apart and read back."""
+    path = _scratch(spark, "validated")
+    rows = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    accepted, rejected = TX.split_valid(rows, max_chars=800)
+    accepted.write.parquet(f"{path}/accepted")
+    rejected.write.parquet(f"{path}/quarantine")
+    return spark.read.parquet(f"{path}/accepted").select("conv_id", "turn", F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        spark.read.parquet(f"{path}/quarantine").select("conv_id", "turn", "reject_reason"))
+
+
+@register("clean_conversations")
+def q_clean_conversations(spark, sf):
+    """Cleaning of the given conversation texts."""
+    rows = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return TX.preprocess_batch(rows, "text", "cleaned_text").select("conv_id", "turn", "cleaned_text")
+
+
+@register("mask_page_urls")
+def q_mask_page_urls(spark, sf):
+    """Masks on the given page addresses: every one of them is an address."""
+    pages = read_table(spark, sf, "pages", "page_id", "url")
+    line = F.concat_ws(" ", F.lit("see"), "url", F.concat(F.lit("by user"), F.col("page_id").cast("string"), F.lit("@mail.example")))
+    return pages.select("page_id", TX.mask_emails(TX.mask_urls(line)).alias("masked"))
+
+
+@register("detect_conversation_language")
+def q_detect_conversation_language(spark, sf):
+    from ticketflow.operators.language import detect_batch_with_confidence
+    rows = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return detect_batch_with_confidence(rows, "text").select(
+        "conv_id", "turn", "language", F.round("language_confidence", 4).alias("language_confidence"))
+
+
+@register("nfkc_forms")
+def q_nfkc_forms(spark, sf):
+    """NFKC of full-width, ligature and combining forms put into the conversations."""
+    rows = read_table(spark, sf, "conversations", "conv_id", "turn", "role")
+    forms = ["ｕｒｇｅｎｔ", "ﬁle", "cafe\u0301", "①②", "ｱﾎﾟ", "plain"]
+    form = F.element_at(F.array(*map(F.lit, forms)), ((F.col("conv_id") + F.col("turn")) % len(forms) + 1).cast("int"))
+    return rows.select("conv_id", "turn", TX.normalize_unicode(F.concat_ws(" ", "role", form)).alias("nfkc"))
+
+
 @register("display_label")
 def q_display_label(spark, sf):
     log = FX.classification_log(spark, sf)
@@ -235,6 +278,28 @@ def q_metrics_report(spark, sf):
     return M.metrics_report_long(_log(spark, sf))
 
 
+@register("metrics_report_nested")
+def q_metrics_report_nested(spark, sf):
+    """The nested report (one row) taken apart again."""
+    from ticketflow.operators import metrics as M
+    r = M.metrics_report(_log(spark, sf), as_of="2024-01-01T00:00:00")
+    none = F.lit(None).cast("string")
+    one = lambda section, key, metric, value: F.struct(
+        F.lit(section).alias("section"), key.alias("key"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    parts = [r.select(F.explode(F.concat(
+        F.flatten(F.transform("per_language", lambda x: F.array(*[
+            one("per_language", x["language"], m, x[m])
+            for m in ("total_classifications", "avg_confidence", "review_rate", "escalation_rate")]))),
+        F.flatten(F.transform("per_intent", lambda x: F.array(*[
+            one("per_intent", x["intent"], m, x[m]) for m in ("count", "avg_confidence")]))),
+        F.array(*[one("latency", none, m, F.col(f"latency.{m}"))
+                  for m in ("mean_ms", "min_ms", "max_ms", "p50_ms", "p95_ms", "p99_ms")]),
+        F.array(one("total", none, "total_classifications", F.col("total_classifications")),
+                one("model_info", F.col("model_info.model_name"), "intent_categories", F.size("model_info.intent_categories")),
+                one("timestamp", F.col("timestamp"), "as_of", F.lit(1))))).alias("x")).select("x.*")]
+    return parts[0]
+
+
 # ---------------------------------------------------------------- 2.4 evaluation
 
 def _preds(spark, sf):
@@ -286,7 +351,7 @@ def q_evaluate(spark, sf):
 @register("accuracy_heatmap")
 def q_accuracy_heatmap(spark, sf):
     from ticketflow.operators import evaluation as EV
-    return EV.accuracy_heatmap(_preds(spark, sf))
+    return EV.accuracy_heatmap(_preds(spark, sf), FX.EVENT_CLASSES)
 
 
 @register("label_union")
@@ -311,7 +376,7 @@ def _docs(spark, sf):
 def q_detect_language(spark, sf):
     from ticketflow.operators.language import detect_language
     d = detect_language(_docs(spark, sf), "text")
-    return d.select("doc_id", "language", "language_confidence")
+    return d.select("doc_id", "language", F.round("language_confidence", 4).alias("language_confidence"))
 
 
 @register("detect_batch")
@@ -324,7 +389,7 @@ def q_detect_batch(spark, sf):
 def q_detect_batch_with_confidence(spark, sf):
     from ticketflow.operators.language import detect_batch_with_confidence
     d = detect_batch_with_confidence(cleaned_tickets(spark, sf), "cleaned_text")
-    return d.select("ticket_id", "language", "language_confidence")
+    return d.select("ticket_id", "language", F.round("language_confidence", 4).alias("language_confidence"))
 
 
 @register("function_word_vote")
@@ -358,24 +423,30 @@ def q_language_eval(spark, sf):
     return eval_per_language(preds)
 
 
+def _fit_split(spark, sf):
+    """Documents and the trigram profile of those that a hash of the id sets apart for fitting."""
+    from ticketflow.operators.language import fit_ngram_profile
+    digit = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
+    docs = _docs(spark, sf).withColumn("fitted", digit < "c")
+    return docs, fit_ngram_profile(docs.where("fitted"), "text", "lang")
+
+
 @register("ngram_profile")
 def q_ngram_profile(spark, sf):
-    from ticketflow.operators.language import fit_ngram_profile, score_ngram_profile
-    docs = _docs(spark, sf)
-    prof = fit_ngram_profile(docs, "text", "lang")
+    from ticketflow.operators.language import score_ngram_profile
+    docs, prof = _fit_split(spark, sf)
     s = score_ngram_profile(docs, prof, "doc_id", "text")
-    return s.select("doc_id", F.col("ngram.language").alias("language"),
-                    F.round("ngram.confidence", 4).alias("confidence"))
+    return docs.join(s, "doc_id", "left").select("doc_id", "fitted", F.col("ngram.language").alias("language"),
+                                                 F.round("ngram.confidence", 4).alias("confidence"))
 
 
 @register("best_language")
 def q_best_language(spark, sf):
-    """Ensemble of both backends (vote first, n-gram profile second)."""
-    from ticketflow.operators.language import detect_language, fit_ngram_profile
-    docs = _docs(spark, sf)
-    prof = fit_ngram_profile(docs, "text", "lang")
-    d = detect_language(docs, "text", "doc_id", profile=prof)
-    return d.select("doc_id", "language", F.round("language_confidence", 4).alias("language_confidence"))
+    """Ensemble of both backends (vote first, fitted trigram profile second)."""
+    from ticketflow.operators.language import detect_language
+    docs, prof = _fit_split(spark, sf)
+    d = detect_language(docs, "text", profile=prof)
+    return d.select("doc_id", "fitted", "language", F.round("language_confidence", 4).alias("language_confidence"))
 
 
 @register("token_overlap_language")
@@ -449,7 +520,7 @@ def q_intent_scorer(spark, sf):
 
 def _ticket_variants(spark, sf):
     # true labels drive selection so the check isolates the template logic
-    return cleaned_tickets(spark, sf).select(
+    return cleaned_tickets(spark, sf, with_customer=True).select(
         "ticket_id", "customer_name", F.col("true_language").alias("language"),
         F.col("true_intent").alias("primary_intent"), F.col("true_urgency").alias("urgency"))
 
@@ -487,7 +558,7 @@ def q_list_templates(spark, sf):
 @register("enrich_tickets")
 def q_enrich_tickets(spark, sf):
     from ticketflow.plans.enrich import enrich_flat, enrich_tickets
-    return enrich_flat(enrich_tickets(FX.tickets(spark, sf)))
+    return enrich_flat(enrich_tickets(FX.tickets(spark, sf, with_customer=True)))
 
 
 # ---------------------------------------------------------------- 2.5 splits, corpora
@@ -524,7 +595,7 @@ def q_load_language_corpora(spark, sf):
 def q_prepare_combined_dataset(spark, sf):
     from ticketflow.sources.corpora import prepare_combined_dataset
     return prepare_combined_dataset(_docs(spark, sf)).select(
-        "doc_id", "row_index", "intent", "urgency", "language")
+        "doc_id", "row_index", TX.text_hash("text").alias("text_hash"), "intent", "urgency", "language")
 
 
 @register("round_robin_label")
@@ -552,6 +623,20 @@ def q_read_tickets(spark, sf):
     return read_tickets(spark, path, multi_line=False)
 
 
+@register("read_tickets_array")
+def q_read_tickets_array(spark, sf):
+    """The JSON array form: one document per file."""
+    from ticketflow.sources.tickets import read_tickets
+    path = _scratch(spark, "tickets-array")
+    rows = FX.tickets(spark, sf).select("text", F.col("true_intent").alias("intent"), F.col("true_urgency").alias("urgency"),
+                                        F.col("true_language").alias("language"), F.col("event_id"))
+    # one array per file of up to 2,000 tickets
+    rows.groupBy(F.floor(F.col("event_id") / 2000).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct("text", "intent", "urgency", "language"))).alias("value")) \
+        .repartition("part").write.partitionBy("part").text(path)
+    return read_tickets(spark, path, multi_line=True).select("text", "intent", "urgency", "language")
+
+
 @register("save_dataset")
 def q_save_dataset(spark, sf):
     from ticketflow.sources.corpora import prepare_combined_dataset
@@ -574,8 +659,8 @@ def q_save_splits(spark, sf):
 def _enriched_log(spark, sf):
     from ticketflow.plans.enrich import enrich_tickets
     from ticketflow.sources.sinks import classification_rows
-    e = enrich_tickets(FX.tickets(spark, sf))
-    return classification_rows(e, id_col="event_id", text_col="text", ts_col="ts")
+    e = enrich_tickets(FX.tickets(spark, sf, with_customer=True))
+    return classification_rows(e, id_col="event_id", text_col="text", ts_col="ts", processing_time_col="handling_ms")
 
 
 @register("log_classifications")
@@ -583,9 +668,11 @@ def q_log_classifications(spark, sf):
     from ticketflow.sources.sinks import create_tables, log_classifications, read_store
     base = _scratch(spark, "store")
     create_tables(spark, base)
-    log_classifications(_enriched_log(spark, sf), base)
+    rows = _enriched_log(spark, sf)
+    for _ in range(2):      # the second write replaces the first
+        log_classifications(rows, base, batch_id="nightly")
     return read_store(spark, base, "classifications").select(
-        "id", "text_hash", "language", "primary_intent", "confidence", "urgency", "was_escalated",
+        "id", F.unix_timestamp("ts").alias("ts_seconds"), "processing_time_ms", "text_hash", "language", "primary_intent", "confidence", "urgency", "was_escalated",
         "needs_review", "date")
 
 
@@ -642,6 +729,13 @@ def _english_tickets(spark, sf):
         F.col("true_language").alias("language"))
 
 
+@register("translation_gaps")
+def q_translation_gaps(spark, sf):
+    """Head rows that have no translation, per target language."""
+    from ticketflow.operators.augment import translation_gaps
+    return translation_gaps(_english_tickets(spark, sf), FX.translations(spark), "event_id", 200)
+
+
 @register("english_head")
 def q_english_head(spark, sf):
     from ticketflow.operators.augment import english_head
@@ -661,7 +755,7 @@ def q_translator(spark, sf):
     from ticketflow.sources import fixture_data as D
     f = dictionary_translator_factory(D.translation_rows())
     a = augment_with_model(_english_tickets(spark, sf), f, "event_id", 200)
-    return a.select("event_id", "language", "text", "intent", "urgency")
+    return a.select("event_id", "language", "text", "intent", "urgency", "translated")
 
 
 # ---------------------------------------------------------------- 2.11 configuration
@@ -685,7 +779,7 @@ def q_urgency_config(spark, sf):
 def q_stream_enrich(spark, sf):
     from ticketflow.streaming.enrich import read_enriched, stream_enrich
     src, sink, ck = _scratch(spark, "stream-src"), _scratch(spark, "stream-out"), _scratch(spark, "stream-ck")
-    t = FX.tickets(spark, sf)
+    t = FX.tickets(spark, sf, with_customer=True)
     t.repartition(4).write.parquet(src)
     stream_enrich(spark, src, t.schema, sink, ck, max_files_per_trigger=2)
     return read_enriched(spark, sink)
@@ -693,24 +787,16 @@ def q_stream_enrich(spark, sf):
 
 @register("stream_metrics")
 def q_stream_metrics(spark, sf):
+    """Windowed metrics of the log, read as a stream of files in event-time order."""
     from ticketflow.streaming.metrics import latest_windows, stream_metrics
     src, sink, ck = _scratch(spark, "metrics-src"), _scratch(spark, "metrics-out"), _scratch(spark, "metrics-ck")
     log = _log(spark, sf)
-    # files arrive in event-time order: one write per time slice
-    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
-    cuts = log.agg(F.percentile_approx(secs, [0.25, 0.5, 0.75], 1000)).first()[0]
-    bounds = [None] + sorted(set(cuts)) + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (secs >= lo)
-        if hi is not None:
-            cond = cond & (secs < hi)
-        log.filter(cond).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(1.1)  # distinct modification times keep the arrival order
-    stream_metrics(spark, src, log.schema, sink, ck, max_files_per_trigger=1)
+    log.repartitionByRange(4, "ts").write.parquet(src)
+    # all files of the directory are there: one trigger reads them, nothing can be late
+    stream_metrics(spark, src, log.schema, sink, ck, max_files_per_trigger=None)
     return latest_windows(spark, sink).select(
-        "window_start", "language", "total", "avg_confidence", "review_count", "escalation_count")
+        "window_start", "window_end", "language", "total", "avg_confidence", "review_count", "escalation_count",
+        "review_rate", "escalation_rate")
 
 
 # ---------------------------------------------------------------- remaining inventory keys
@@ -738,20 +824,19 @@ def q_round4(spark, sf):
 
 @register("load_templates")
 def q_load_templates(spark, sf):
-    """Template rows available for the (language, intent) pairs of the tickets."""
+    """Every template row, with the number of tickets of its language and intent."""
     from ticketflow.operators.templates import load_templates
-    pairs = FX.tickets(spark, sf).select(F.col("true_language").alias("language"),
-                                         F.col("true_intent").alias("intent")).distinct()
-    tpl = load_templates(spark)
-    return pairs.join(F.broadcast(tpl), ["language", "intent"], "left").select(
-        "language", "intent", "variant", "subject")
+    seen = FX.tickets(spark, sf).groupBy(F.col("true_language").alias("language"), F.col("true_intent").alias("intent")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return load_templates(spark).join(seen, ["language", "intent"], "left").select(
+        "language", "intent", "variant", "subject", "body", F.coalesce("n", F.lit(0)).alias("n_tickets"))
 
 
 # ---------------------------------------------------------------- quality of the enrichment
 
 def _enriched_vs_labels(spark, sf):
     from ticketflow.plans.enrich import enrich_tickets
-    return enrich_tickets(FX.tickets(spark, sf))
+    return enrich_tickets(FX.tickets(spark, sf, with_customer=True))
 
 
 @register("intent_eval")

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketflow import config as C
 from ticketflow.sources import fixture_data as D
@@ -56,12 +55,6 @@ def intent_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(D.INTENT_LEXICON, "label string, token string, weight int")
 
 
-def language_dim(spark: SparkSession) -> DataFrame:
-    rows = [(i, code, C.LANGUAGE_NAMES.get(code, code), True)
-            for i, code in enumerate(C.SUPPORTED_LANGUAGES)]
-    return spark.createDataFrame(rows, "position int, code string, name string, supported boolean")
-
-
 def _k(props: str = "props"):
     return F.get_json_object(F.col(props), "$.k").cast("int")
 
@@ -71,24 +64,29 @@ def _log_language(user_col: str = "user_id"):
                         (F.col(user_col) % len(LOG_LANGUAGES) + 1).cast("int"))
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id")
+def tickets(spark: SparkSession, sf_dir: str, with_customer: bool = False) -> DataFrame:
+    """One ticket per event; the customer is only joined where the name is used."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
     ph = phrases(spark)
     n = len(D.phrase_rows())
-    cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
     # Phrase table: fixed size (constants) -> broadcast hash join on an
     # expression key.  Customer: a dimension that grows with the data; the
     # planner/AQE pick broadcast or sort-merge from its measured size.
     t = ev.join(F.broadcast(ph), (F.col("event_id") % n) == F.col("phrase_id"))
-    t = t.join(cust, F.col("user_id") == F.col("c_custkey"), "left")
-    r = F.col("user_id") % 10
-    name = F.when(r == 0, F.lit(None).cast("string")).when(r == 1, F.lit("")).otherwise(F.col("c_name"))
+    names = []
+    if with_customer:
+        cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_name")
+        t = t.join(cust, F.col("user_id") == F.col("c_custkey"), "left")
+        r = F.col("user_id") % 10
+        names = [F.when(r == 0, F.lit(None).cast("string")).when(r == 1, F.lit("")).otherwise(F.col("c_name"))
+                 .alias("customer_name")]
     return t.select(
         F.concat(F.lit("T-"), F.col("event_id").cast("string")).alias("ticket_id"),
         "event_id",
         "ts",
         "text",
-        name.alias("customer_name"),
+        F.col("value").alias("handling_ms"),
+        *names,
         F.col("intent").alias("true_intent"),
         F.col("urgency").alias("true_urgency"),
         F.col("language").alias("true_language"),
@@ -142,11 +140,3 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _log_language().alias("language"),
         (k / F.lit(100)).cast("double").alias("confidence"),
     )
-
-
-TICKET_SCHEMA = T.StructType([
-    T.StructField("text", T.StringType()),
-    T.StructField("intent", T.StringType()),
-    T.StructField("urgency", T.StringType()),
-    T.StructField("language", T.StringType()),
-])

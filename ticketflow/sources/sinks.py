@@ -11,6 +11,7 @@ rows.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def create_tables(spark: SparkSession, base_dir: str) -> dict[str, str]:
 
 def read_store(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     schema, _ = STORE[name]
-    return spark.read.schema(schema).parquet(table_dir(base_dir, name))
+    df = spark.read.schema(schema).parquet(table_dir(base_dir, name))
+    return df.select(*[f.name for f in schema])
 
 
 def stable_id(col: str, dtype: str):
@@ -80,9 +82,18 @@ def classification_rows(enriched: DataFrame, id_col: str = "ticket_id", text_col
         F.to_date(ts).alias("date"))
 
 
-def log_classifications(rows: DataFrame, base_dir: str) -> None:
-    rows.select(*[f.name for f in CLASSIFICATIONS]).write.mode("append").partitionBy("date") \
-        .parquet(table_dir(base_dir, "classifications"))
+def log_classifications(rows: DataFrame, base_dir: str, batch_id: str | None = None) -> None:
+    """Write a batch of classifications by date, sorted by language inside a file.
+
+    Rebalanced by date: a date is one file unless it is large, and a hot date
+    is split over several tasks.  Rows written again under the same
+    ``batch_id`` replace that batch; without one every call adds a new batch.
+    """
+    batch = batch_id or uuid.uuid4().hex
+    (rows.select(*[f.name for f in CLASSIFICATIONS], F.lit(batch).alias("batch"))
+     .hint("rebalance", F.col("date")).sortWithinPartitions("date", "language")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch")
+     .parquet(table_dir(base_dir, "classifications")))
 
 
 def escalation_rows(log_rows: DataFrame, reason_col: str | None = None) -> DataFrame:

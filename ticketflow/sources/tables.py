@@ -1,10 +1,8 @@
 """Readers for the driver's Parquet tables (explicit column pruning).
 
-Fact-like tables are "spread" when their scan has fewer partitions than the
-session's default parallelism (for example one Parquet row group read by a
-single task): a one-off round-robin repartition so row-level work uses every
-core.  On a cluster reading many files the scan already has more partitions
-than cores and nothing is added.
+A table of at most ``SMALL_FILES`` files (one Parquet row group is one task,
+whatever its size) is dealt out round-robin to the cores; a table of more files
+is read as it is, so no large table is ever shuffled for it.
 """
 
 from __future__ import annotations
@@ -26,10 +24,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only if the plan has fewer partitions than cores."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+SMALL_FILES = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition of a table of a few files, fewer than there are cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < min(target, SMALL_FILES + 1):
         return df.repartition(target)
     return df
 
