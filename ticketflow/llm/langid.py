@@ -292,7 +292,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str,
                         score[block.lo + i] = 1.0 / np.exp(sums[i] - sums[i, best]).sum()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang", "score"])
 
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "language"]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "language"]
     return df.select(*columns, scored(F.col(text)).alias("language"))
 
 

@@ -104,7 +104,7 @@ def mix_sources(df: DataFrame, size: str | Column = "size", weights: tuple[int,
                 F.coalesce(F.col("__cross.__share"), F.lit(0.0)).alias("__share")))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "mix"]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "mix"]
     source = df.select(*columns, size.alias("__size"), bucket.cast("long").alias("__bucket"), coin.alias("__coin"))
     joined = source.join(plan, F.col("source").eqNullSafe(F.col("__source")))
     part = (F.col("__bucket") < F.col("__at")) | (

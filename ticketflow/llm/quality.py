@@ -204,7 +204,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules: RepeatRules = Repeat
     repeated = ((q.covered_words > F.lit(rules.max_covered) * q.n_words)
                 | ((q.longest_repeat > rules.max_longest)
                    & (q.longest_repeat > F.lit(rules.longest_share) * q.n_words)))
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "quality"]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "quality"]
     return (df.withColumn("__quality", measured(F.col(text)))
             .select(*columns, F.struct(*(q[m].alias(m) for m in MEASURES), failed.alias("base_failed"),
                                        (~failed & ~repeated).alias("kept")).alias("quality")))

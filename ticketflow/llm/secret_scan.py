@@ -170,7 +170,7 @@ def secret_spans(df: DataFrame, text: str = "text", rules: RandomRules = RandomR
                                     for t, x in zip(texts.to_pylist(), found)], pa.string())
         return pa.StructArray.from_arrays(list(out.values()), names=list(out))
 
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "secrets"]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "secrets"]
     return df.select(*columns, scanned(F.col(text)).alias("secrets"))
 
 

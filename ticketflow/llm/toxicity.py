@@ -354,7 +354,7 @@ def toxicity(df: DataFrame, field: Field | None, text: str = "text") -> DataFram
         return pa.StructArray.from_arrays([pa.array(np.clip(score, 0.0, 1.0)), pa.array(spans, span)],
                                           names=["score", "spans"])
 
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "toxicity"]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "toxicity"]
     return df.select(*columns, scored(F.col(text)).alias("toxicity"))
 
 
