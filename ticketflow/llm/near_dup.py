@@ -102,41 +102,57 @@ def _binary(rows: np.ndarray) -> list[bytes]:
 
 
 def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, text_hash) -> (doc_id, text_hash, n_shingles, cls, sig)."""
+    """(doc_id, text, text_hash) -> (doc_id, text_hash, n_shingles, cls)."""
     for batch in batches:
         for block in text_blocks(batch.column(1)):
             h, edges = shingle_sets(block)
             n = np.diff(edges)
             full = np.flatnonzero(n)
             cls: list = [None] * len(n)
-            sig: list = [None] * len(n)
             if len(full):
-                starts = edges[:-1][full]
-                for i, c, s in zip(full, _binary(_digests(h, starts)), _binary(_signatures(h, starts))):
-                    cls[i], sig[i] = c, s
+                for i, c in zip(full, _binary(_digests(h, edges[:-1][full]))):
+                    cls[i] = c
             size = block.hi - block.lo
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(block.lo, size), batch.column(2).slice(block.lo, size),
-                 pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "sig"])
+                 pa.array(n, pa.int64()), pa.array(cls, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "cls"])
+
+
+def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, text) -> (at, cls, sig) of the texts that have shingles."""
+    for batch in batches:
+        for block in text_blocks(batch.column(1)):
+            h, edges = shingle_sets(block)
+            full = np.flatnonzero(np.diff(edges))
+            if len(full):
+                starts = edges[:-1][full]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(block.lo + full)), pa.array(_binary(_digests(h, starts)), pa.binary()),
+                     pa.array(_binary(_signatures(h, starts)), pa.binary())], names=["at", "cls", "sig"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, node) -> (node, shingles): the full set, where the text is of that class."""
+    """(text, node, keys) -> (key, node, shingles): the full set of a text of that class,
+    once for each group to confirm."""
     for batch in batches:
         wanted = batch.column(1).to_pylist()
+        groups = batch.column(2).to_pylist()
         for block in text_blocks(batch.column(0)):
             h, edges = shingle_sets(block)
             full = np.flatnonzero(np.diff(edges))
             if not len(full):
                 continue
-            nodes, sets = [], []
-            for i, c in zip(full, _binary(_digests(h, edges[:-1][full]))):
-                if wanted[block.lo + i].endswith(c):
-                    nodes.append(wanted[block.lo + i])
-                    sets.append(h[edges[i]:edges[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())],
-                                             names=["node", "shingles"])
+            digest = dict(zip(full.tolist(), _binary(_digests(h, edges[:-1][full]))))
+            # a few texts a batch: a set leaves as often as it has groups
+            for part in np.array_split(full, max(1, len(full) // 64)):
+                keys, nodes, sets = [], [], []
+                for i in part.tolist():
+                    if wanted[block.lo + i].endswith(digest[i]):
+                        keys += groups[block.lo + i]
+                        nodes += [wanted[block.lo + i]] * len(groups[block.lo + i])
+                        sets += [h[edges[i]:edges[i + 1]].tobytes()] * len(groups[block.lo + i])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()),
+                                                  pa.array(sets, pa.binary())], names=["key", "node", "shingles"])
 
 
 # ---- the forest -----------------------------------------------------------
@@ -165,7 +181,7 @@ def _all_trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = np.full(len(sig), t)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tree, pa.int32()),
-                 pa.array(_prefix_keys(sig, tree, DEPTHS[0]), pa.int64())], names=["node", "tree", "key"])
+                 pa.array(_prefix_keys(sig, tree, DEPTHS[0]), pa.int64())], names=["nid", "tree", "key"])
 
 
 def _deeper(depth: int):
@@ -176,33 +192,37 @@ def _deeper(depth: int):
             tree = batch.column(1).to_numpy(zero_copy_only=False)
             keys = _prefix_keys(_matrix(batch.column(2)), tree, depth)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())],
-                                             names=["node", "tree", "key"])
+                                             names=["nid", "tree", "key"])
     return run
 
 
-KEYED = "node binary, tree int, key long"
+KEYED = "nid long, tree int, key long"
 
 
 def forest_regions(classes: DataFrame) -> DataFrame:
-    """(key, node): the regions of all orders, none of more than REGION + 1 classes."""
-    rows = classes.select("node", "sig").mapInArrow(_all_trees, KEYED)
+    """(key, nid): the regions of all orders, none of more than REGION + 1 classes.
+
+    Classes go by a 64-bit hash here; two that share one are in each other's
+    regions, no more.
+    """
+    rows = classes.select("nid", "sig").mapInArrow(_all_trees, KEYED)
     regions = []
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         rows = materialize(rows)
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("least")).where("n > 1")
         sized = materialize(rows.join(sizes, "key"))
-        regions.append(sized.where(F.col("n") <= REGION).select("key", "node"))
+        regions.append(sized.where(F.col("n") <= REGION).select("key", "nid"))
         large = sized.where(F.col("n") > REGION)
         if deeper is None:
             # equal signatures: blocks that share the region's smallest class
             blocks = F.ceil(F.col("n") / REGION)
-            dealt = large.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), blocks)).alias("key"), "node", "least")
-            regions += [dealt.select("key", "node"), dealt.select("key", F.col("least").alias("node")).distinct()]
+            dealt = large.select(F.xxhash64("key", F.pmod(F.xxhash64("nid"), blocks)).alias("key"), "nid", "least")
+            regions += [dealt.select("key", "nid"), dealt.select("key", F.col("least").alias("nid")).distinct()]
             break
         if large.isEmpty():
             break
-        rows = large.select("node", "tree").join(classes.select("node", "sig"), "node").select(
-            "node", "tree", "sig").mapInArrow(_deeper(deeper), KEYED)
+        rows = large.select("nid", "tree").join(classes.select("nid", "sig"), "nid").select(
+            "nid", "tree", "sig").mapInArrow(_deeper(deeper), KEYED)
     return reduce(DataFrame.unionAll, regions)
 
 
@@ -355,28 +375,29 @@ def _key_id(node):
     return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), value)
 
 
-def duplicate_classes(marks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(cls, group_id) of every class in ``marks``."""
+def duplicate_classes(texts: DataFrame, percent: int) -> DataFrame:
+    """(cls, group_id) of every class in ``texts`` (doc_id, text, text_hash)."""
     # a class is known by its first row and its digest, so the smallest node is the smallest doc_id
-    classes = materialize(marks.where("cls is not null")
-                          .groupBy("cls").agg(F.min(row_key(F.col("doc_id"), F.col("text_hash"))).alias("at"),
-                                              F.first("sig").alias("sig"))
-                          .select(F.concat("at", "cls").alias("node"), "sig"))
+    signed = texts.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("at"), "text").mapInArrow(
+        _sign, "at binary, cls binary, sig binary")
+    node = F.concat("at", "cls")
+    classes = materialize(signed.groupBy("cls").agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
+                          .select(F.xxhash64(node).alias("nid"), node.alias("node"), "sig"))
     p = percent / 100
     least = int((p - 4 * (p * (1 - p) / SIGNATURE) ** 0.5) * SIGNATURE)
-    ties = materialize(_sorted_runs(forest_regions(classes).join(classes, "node").select("key", "node", "sig"))
+    ties = materialize(_sorted_runs(forest_regions(classes).join(classes, "nid").select("key", "node", "sig"))
                        .mapInArrow(_tie(least), "a binary, b binary").distinct())
     # a is the centre of its star
     members = ties.unionAll(ties.select("a", F.col("a").alias("b")).distinct()).select(
         F.xxhash64("a").alias("key"), F.col("b").alias("node"))
-    involved = materialize(ties.select(F.col("a").alias("node")).unionAll(ties.select("b")).distinct().select(
-        "node", _key_id(F.col("node")).alias("__id"), _from_bytes8(F.substring("node", 10, 8)).alias("__hash")))
+    # a class has at most one centre per order
+    involved = materialize(members.groupBy("node").agg(F.collect_set("key").alias("keys")).select(
+        "node", "keys", _key_id(F.col("node")).alias("__id"), _from_bytes8(F.substring("node", 10, 8)).alias("__hash")))
     if involved.count() <= BROADCAST_ROWS:
         involved = F.broadcast(involved)
     sets = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
-        "text", "node").mapInArrow(_sets, "node binary, shingles binary")
-    links = (_sorted_runs(members.join(sets, "node").select("key", "node", "shingles"))
-             .mapInArrow(_confirm(percent), "a binary, b binary"))
+        "text", "node", "keys").mapInArrow(_sets, "key long, node binary, shingles binary")
+    links = _sorted_runs(sets).mapInArrow(_confirm(percent), "a binary, b binary")
     digest = lambda node: F.substring(node, 18, 16)
     own = classes.select(digest("node").alias("cls"), _key_id(F.col("node")).alias("id"))
     linked = components(links).select(digest("node").alias("cls"), _key_id(F.col("root")).alias("id"))
@@ -391,16 +412,15 @@ def near_duplicates(df: DataFrame, percent: int = 85, carry: bool = True) -> Dat
     An input column named ``dedup`` is replaced.
     """
     base = df.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    marks = materialize(base.mapInArrow(
-        _mark, "doc_id long, text_hash long, n_shingles long, cls binary, sig binary"))
-    found = duplicate_classes(marks, base, percent)
-    narrow = marks.select("doc_id", "text_hash", "n_shingles", "cls").join(found, "cls", "left").select(
+    found = duplicate_classes(base, percent)
+    marks = base.mapInArrow(_mark, "doc_id long, text_hash long, n_shingles long, cls binary")
+    narrow = marks.join(found, "cls", "left").select(
         "doc_id", "text_hash", F.struct(
             "n_shingles", F.coalesce("group_id", "doc_id").alias("component_id"),
             F.col("doc_id").eqNullSafe(F.coalesce("group_id", "doc_id")).alias("kept")).alias("dedup"))
     if not carry:
         return narrow.select("doc_id", "dedup")
-    columns = [F.col(f"`{c}`") for c in df.columns if c != "dedup"]
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "dedup"]
     result = narrow.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "dedup").dropDuplicates(
         ["__id", "__hash"])
     rows = df.select(*columns, F.xxhash64("text").alias("__text_hash"))
