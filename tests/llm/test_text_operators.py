@@ -126,8 +126,8 @@ def test_encode_texts_outputs(spark):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
     assert encode_texts(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        encode_texts(df.withColumnRenamed("ids2", "ids"), keep=("doc_id", "ids"))
+    clash = encode_texts(df.withColumnRenamed("ids2", "Ids"), keep=("doc_id", "Ids"), outputs=("ids",))
+    assert clash.columns == ["doc_id", "ids"] and clash.count() == len(rows)
 
 
 # ---- secrets --------------------------------------------------------------

@@ -4,10 +4,10 @@ No piece of the vocabulary has a whitespace marker after another character
 (checked when the model is loaded), so no merge crosses the place where a
 marker follows a non-marker.  A text is therefore cut into marked words
 (a run of markers and the characters after it); each distinct marked word is
-segmented once per task with the sentencepiece library, and a text's ids are
+segmented once per worker with the sentencepiece library, and a text's ids are
 its marked words' ids joined back by position.
 
-The table of distinct chunks belongs to one task and is bounded
+The table of distinct chunks belongs to one Python worker and is bounded
 (``TABLE_ENTRIES`` chunks of at most ``CHUNK_CHARS`` characters; then it
 starts anew; longer chunks are segmented each time they occur), so there is no shuffle
 and a lost executor only repeats its own tasks.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 400_000
 CHUNK_CHARS = 64
 GROUP_CHARS = 1 << 21
 
@@ -56,25 +57,28 @@ class ChunkTable:
         if self.model.normalize("x   ﬁ  y") != f"{MARK}x{MARK} {MARK}ﬁ{MARK}{MARK}y":
             raise ValueError("the model rewrites text before it cuts it: chunks would differ")
         self.end = self.model.eos_id()
+        self.mark = self.model.piece_to_id(MARK)
         self.entries = entries
         self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
+        self.odd: dict[str, str] = {}   # decoded text of chunks that do not decode to themselves
 
     def _segment(self, chunks: list[str]) -> None:
         # the library puts one marker before a text, so a chunk is passed
         # without its first one; the lone marker has no text left to pass
         for chunk, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1)):
             if chunk == MARK:
-                ids = [self.model.piece_to_id(MARK)]
+                ids = [self.mark]
             self.ids[chunk] = " ".join(map(str, ids)).encode()
             # a leading marker keeps the library from dropping the chunk's own space
-            self.texts[chunk] = self.model.decode([self.model.piece_to_id(MARK), *ids])
+            text = self.model.decode([self.mark, *ids])
+            if text != chunk.replace(MARK, " "):
+                self.odd[chunk] = text
 
     def lookup(self, texts: list[str]) -> list[list[str]]:
         """Chunks of each text; afterwards the table holds all of them."""
         if len(self.ids) > self.entries:
             self.ids.clear()
-            self.texts.clear()
+            self.odd.clear()
         cut = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = {c for chunks in cut for c in chunks if c not in self.ids}
         if new:
@@ -86,7 +90,7 @@ class ChunkTable:
             for c in chunks:
                 if len(c) > CHUNK_CHARS:
                     self.ids.pop(c, None)
-                    self.texts.pop(c, None)
+                    self.odd.pop(c, None)
 
     def encode(self, chunks: list[str]) -> bytes:
         """Decimal ids joined by one space, the end id last."""
@@ -94,7 +98,15 @@ class ChunkTable:
 
     def decode(self, chunks: list[str]) -> str:
         # the marker before the first chunk is the library's own and is dropped
-        return "".join(map(self.texts.__getitem__, chunks))[1:]
+        if self.odd and not self.odd.keys().isdisjoint(chunks):
+            chunks = [self.odd.get(c, c.replace(MARK, " ")) for c in chunks]
+        return "".join(chunks).replace(MARK, " ")[1:]
+
+
+@lru_cache(maxsize=1)
+def table_of(model_path: str) -> ChunkTable:
+    """The table of a Python worker; its later tasks go on with it."""
+    return ChunkTable(model_path)
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -116,22 +128,20 @@ def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     ``outputs`` names what is returned beside ``keep``: ``n_tokens`` (long),
     ``ids`` (array<int>), ``decoded`` (string), ``ids_sha256`` and
     ``decoded_sha256`` (lowercase hex digests of the decimal ids joined by one
-    space and of the decoded text in UTF-8).  A kept column of the same name
-    is not allowed.
+    space and of the decoded text in UTF-8).  An output takes the place of a
+    kept column of its name.
     """
     path = model_path or default_model()
     kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(),
              "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    clash = set(keep) & set(outputs)
-    if clash:
-        raise ValueError(f"kept columns clash with outputs: {sorted(clash)}")
+    keep = tuple(k for k in keep if k.lower() not in outputs)
     arrow = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(),
              "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     source = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*source.select(*keep).schema.fields, *(T.StructField(o, kinds[o]) for o in outputs)])
 
     def run(batches):
-        table = ChunkTable(path)
+        table = table_of(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             for lo, hi in _groups(texts):
