@@ -412,7 +412,8 @@ def near_duplicates(df: DataFrame, percent: int = 85, carry: bool = True) -> Dat
     An input column named ``dedup`` is replaced.
     """
     base = df.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = duplicate_classes(base, percent)
+    # written: the join below then shuffles both sides for itself, and AQE can split a class of many copies
+    found = materialize(duplicate_classes(base, percent))
     marks = base.mapInArrow(_mark, "doc_id long, text_hash long, n_shingles long, cls binary")
     narrow = marks.join(found, "cls", "left").select(
         "doc_id", "text_hash", F.struct(
