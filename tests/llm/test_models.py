@@ -48,8 +48,10 @@ def all_segmentations(word, vocab, p, unknown):
 def lattice_of(words):
     block = next(text_blocks(pa.array([" ".join(words)])))
     span = SpanHash(block.data)
-    start, end, marked, which, _ = langid._distinct(block, span)
-    return langid.Lattice(langid.pieces_of(langid.default_vocabulary()), block.data, span, start, end, marked), which
+    _, start, end, marked, which, _ = langid._distinct(block, span)
+    pieces = langid.pieces_of(langid.default_vocabulary())
+    rows, lattice = next(langid._lattices(pieces, block.data, span, start, end, marked))
+    return lattice, np.argsort(rows)[which]
 
 
 def test_forward_sums_every_segmentation():
@@ -96,6 +98,21 @@ def test_held_out_languages(spark):
     assert n > 100 and right >= 0.97 and 0 <= least and most <= 1
 
 
+def test_pool_remembers_words():
+    pool = langid.Pool(value=np.zeros(0))
+    rnd = np.random.default_rng(4)
+    seen = {}
+    for _ in range(30):
+        key = np.unique(rnd.integers(0, 200, 40).astype(np.uint64))
+        at, known = pool.find(key)
+        assert known.tolist() == [int(k) in seen for k in key]
+        assert pool["value"][at[known]].tolist() == [seen[int(k)] for k in key[known]]
+        new = key[~known]
+        pool.add(key=new, value=new * 2.0)
+        seen.update({int(k): float(k) * 2 for k in new})
+    assert len(pool) == len(seen)
+
+
 def test_language_edges(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "", "fr"),
             (5, "123 !?", None), (6, "le chat", None), (7, "z" * 5000, None), (6, "le chat", None)]

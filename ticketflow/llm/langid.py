@@ -8,8 +8,9 @@ step over all training texts: every segmentation of a word weighs as under
 uniform pieces, and the expected piece counts per language, smoothed, become
 the probabilities.
 
-Words are handled once per block: the distinct words of a block of whole texts
-run through the lattice together, all languages at once.  A word of more than
+Words are handled once: the distinct words of a block of whole texts run through
+the lattice together, all languages at once, and a bounded pool (``POOL`` words,
+then anew) remembers them for the next blocks of the task.  A word of more than
 ``PART_BYTES`` bytes is scored in consecutive parts (at character
 boundaries), so a text without white space costs no more than any other.
 
@@ -45,6 +46,7 @@ UNKNOWN_START = 1e-3    # weight of an unknown character against a piece in trai
 MAX_LANGUAGES = 512
 BLOCK = 4 << 20
 CHUNK = 16_384          # distinct words in the lattice at a time
+POOL = 400_000          # distinct words a task remembers
 LETTER = re.compile(r"[^\W\d_]")
 MARKED = 1 << 20        # salt of spans that begin a word
 
@@ -211,15 +213,49 @@ def _parts(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _distinct(block, span: SpanHash):
-    """Distinct parts (longest first), and for every part its distinct index and text."""
+    """Distinct parts by key (key, start, end, marked), and for every part its distinct index and text."""
     start, end, marked, text = _parts(block)
     key = np.where(marked, span(start, end, MARKED), span(start, end))
-    _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-    order = np.argsort(start[one] - end[one], kind="stable")
-    place = np.empty(len(one), np.int64)
-    place[order] = np.arange(len(one))
-    one = one[order]
-    return start[one], end[one], marked[one], place[inverse], text
+    key, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return key, start[one], end[one], marked[one], inverse, text
+
+
+def _lattices(pieces: Pieces, data: np.ndarray, span: SpanHash, start: np.ndarray, end: np.ndarray,
+              marked: np.ndarray) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """(rows, lattice) of chunks of word parts, longest first."""
+    order = np.argsort(start - end, kind="stable")
+    for lo in range(0, len(order), CHUNK):
+        rows = order[lo:lo + CHUNK]
+        yield rows, Lattice(pieces, data, span, start[rows], end[rows], marked[rows])
+
+
+class Pool:
+    """Columns of values by key, sorted by key."""
+
+    def __init__(self, **columns):
+        self.empty = {"key": np.zeros(0, U64), **columns}
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns = dict(self.empty)
+
+    def __len__(self) -> int:
+        return len(self.columns["key"])
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each key, whether it is known)."""
+        if not len(self):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self["key"], key), len(self) - 1)
+        return at, self["key"][at] == key
+
+    def add(self, **columns) -> None:
+        merged = {n: np.concatenate([c, columns[n]]) for n, c in self.columns.items()}
+        order = np.argsort(merged["key"], kind="stable")
+        self.columns = {n: c[order] for n, c in merged.items()}
 
 
 def train(df: DataFrame, text: str, lang: str, vocabulary: str) -> tuple[list[str], np.ndarray]:
@@ -237,19 +273,39 @@ def train(df: DataFrame, text: str, lang: str, vocabulary: str) -> tuple[list[st
         uniform[pieces.n] = UNKNOWN_START / pieces.n
         counts = np.zeros((pieces.n + 1, len(langs)))
         index = {x: i for i, x in enumerate(langs)}
+        none = np.zeros(0, np.int64)
+        pool = Pool(start=none, size=none, marked=none.astype(bool), weight=np.zeros((0, len(langs))))
+        letters: list[np.ndarray] = []      # bytes of the pooled words
+
+        def spend() -> None:
+            """Adds the expected counts of the pooled words and empties the pool."""
+            if len(pool):
+                data = np.concatenate(letters)
+                for rows, lattice in _lattices(pieces, data, SpanHash(data), pool["start"], pool["start"] + pool["size"],
+                                               pool["marked"]):
+                    np.add(counts, lattice.expected(uniform, pool["weight"][rows]), out=counts)
+            pool.clear()
+            letters.clear()
+
         for batch in batches:
             of = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for block in text_blocks(batch.column(0), BLOCK):
                 if not len(block.start):
                     continue
-                span = SpanHash(block.data)
-                start, end, marked, which, owner = _distinct(block, span)
+                key, start, end, marked, which, owner = _distinct(block, SpanHash(block.data))
                 weight = np.bincount(which * len(langs) + of[block.lo + owner],
-                                     minlength=len(start) * len(langs)).reshape(len(start), len(langs))
-                for lo in range(0, len(start), CHUNK):
-                    part = slice(lo, lo + CHUNK)
-                    lattice = Lattice(pieces, block.data, span, start[part], end[part], marked[part])
-                    counts += lattice.expected(uniform, weight[part].astype(float))
+                                     minlength=len(key) * len(langs)).reshape(len(key), len(langs)).astype(float)
+                at, known = pool.find(key)
+                pool["weight"][at[known]] += weight[known]
+                new = np.flatnonzero(~known)
+                size = (end - start)[new]
+                begin = np.cumsum(size) - size
+                held = sum(map(len, letters))
+                letters.append(block.data[np.repeat(start[new] - begin, size) + np.arange(size.sum())])
+                pool.add(key=key[new], start=held + begin, size=size, marked=marked[new], weight=weight[new])
+                if len(pool) > POOL:
+                    spend()
+        spend()
         piece, of = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(piece, pa.int32()),
                                           pa.array(counts[piece, of], pa.float64())], names=["lang", "piece", "n"])
@@ -274,15 +330,22 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str,
         lang, score = ["und"] * len(column), np.zeros(len(column))
         if langs:
             pieces, q = pieces_of(vocabulary), shared.value
+            pool = Pool(logs=np.zeros((0, len(langs)), np.float64))
             for block in text_blocks(column, BLOCK):
                 sums = np.zeros((block.hi - block.lo, len(langs)))
                 if len(block.start):
                     span = SpanHash(block.data)
-                    start, end, marked, which, owner = _distinct(block, span)
-                    total = np.concatenate([
-                        Lattice(pieces, block.data, span, start[a:a + CHUNK], end[a:a + CHUNK],
-                                marked[a:a + CHUNK]).totals(q) for a in range(0, len(start), CHUNK)])
-                    logs = np.log(np.maximum(total, 1e-320))
+                    key, start, end, marked, which, owner = _distinct(block, span)
+                    at, known = pool.find(key)
+                    logs = np.empty((len(key), len(langs)))
+                    logs[known] = pool["logs"][at[known]]
+                    new = np.flatnonzero(~known)
+                    for rows, lattice in _lattices(pieces, block.data, span, start[new], end[new], marked[new]):
+                        logs[new[rows]] = np.log(np.maximum(lattice.totals(q), 1e-320))
+                    if len(pool) + len(new) > POOL:
+                        pool.clear()
+                        new = np.arange(len(key))
+                    pool.add(key=key[new], logs=logs[new])
                     for i in range(len(langs)):
                         sums[:, i] = np.bincount(owner, logs[which, i], minlength=len(sums))
                 for i, t in enumerate(column.slice(block.lo, len(sums)).to_pylist()):
