@@ -2,12 +2,14 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_table_operators import plain_groups
 from ticketflow.llm.oracle import SQL
 from ticketflow.llm.pieces import ChunkTable, default_model
+from ticketflow.llm.quality import quality_rules
 from ticketflow.llm.queries import REGISTRY
 from ticketflow.llm.secret_scan import RandomRules, default_ranks, find_spans, vocabulary
 from tools.check_oracle import TABLES, digest
@@ -40,7 +42,9 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_pipeline_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # this table holds no secret of its own
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("text", F.when(
+        F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" password=b7db7aa4a5fcc78305"))).otherwise(F.col("text")))
     before = docs
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -52,7 +56,7 @@ def test_pipeline_stages(spark, tmp_path):
         kept[name] = [r.asDict() for r in after.collect()]
         before = after
     given = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"] for r in REGISTRY["op9_quality_rules"](spark, SF).where("kept").collect()}
+    good = {r["doc_id"] for r in quality_rules(docs).where("quality.kept").collect()}
     assert {r["doc_id"] for r in kept["quality"]} == good and len(kept["quality"]) == len(good)
 
     rows = [(r["doc_id"], r["text"]) for r in kept["quality"]]
