@@ -34,7 +34,7 @@ def test_names_and_templates_exercised(spark, enriched):
     assert hit_and_miss(t, F.col("customer_name") == "")
     src = {r[0] for r in REGISTRY["select_template"](spark, SF).select("template_source").distinct().collect()}
     assert src == {"language", "fallback"}                       # with true labels
-    assert hit_and_miss(enriched, F.col("reply_subject").contains("We received your message"))  # base
+    assert hit_and_miss(enriched, F.col("reply_subject").contains("Your note"))  # base
     body = F.col("reply_body")
     assert hit_and_miss(enriched, body.contains("{order_id}"))     # unknown slot left raw
     assert hit_and_miss(enriched, body.contains("Valued Customer"))
