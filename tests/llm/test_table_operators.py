@@ -123,6 +123,27 @@ def test_large_regions_are_split_without_loss(spark, monkeypatch):
     assert joined(got) <= joined(want) and len(joined(got)) >= 0.97 * len(joined(want))
 
 
+def test_links_inside_a_template_crowd(spark, monkeypatch):
+    # pages on one template are just below the threshold of each other; the planted copies are above it
+    monkeypatch.setattr(near_dup, "REGION", 8)
+    rnd = random.Random(15)
+    base = [f"w{i}" for i in range(1000)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rnd.sample(range(len(words)), n):
+            words[at] = f"e{rnd.randrange(10**9)}"
+        return words
+
+    crowd = [edited(base, 9) for _ in range(200)]
+    crowd += [edited(page, 15) for page in crowd[:100]]
+    rows = list(enumerate(" ".join(page) for page in crowd))
+    rnd.shuffle(rows)
+    want = plain_groups(rows, 85)
+    assert sum(not w[3] for w in want) >= 100
+    assert run_groups(spark, rows) == want
+
+
 def test_groups_of_given_documents(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert run_groups(spark, rows, 80) == plain_groups(rows, 80)

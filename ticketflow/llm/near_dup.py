@@ -17,15 +17,23 @@
    full shingle sets of its members meet once, and a breadth-first walk
    compares every class it reaches with all classes not yet reached, so no
    link inside the group is lost.  Connected components of the confirmed stars
-   are the result.
-
-Everything that moves between tasks is linear in the classes.  A region holds
-at most ``REGION`` classes (plus one), a centre has one region per order, so a
-group to confirm has at most ``TREES * REGION`` members.  Two texts at the
+   are the first result.
+5. A longer prefix parts some linked classes, so the classes of every region
+   that was split are joined a second time, without signatures: shingles are
+   ordered by ascending (sketched) document frequency, and two sets above the
+   threshold share a shingle of their prefixes in that order.  Buckets whose
+   classes are already one component are left out; larger ones than ``REGION``
+   meet block against block; pairs that the positions in the prefixes rule out
+   are dropped; the others are confirmed as in step 4.
+
+What moves between tasks in steps 1 to 4 is linear in the classes.  A region
+holds at most ``REGION`` classes (plus one), a centre has one region per order,
+so a group to confirm has at most ``TREES * REGION`` members.  Two texts at the
 threshold fail to meet in a region with a probability below 1e-6 at depth 3
 and 16 orders; the signature test of step 3 allows four standard deviations.
-Dense regions trade some of that for depth, where they have many paths.
-Recall against brute force is tested.
+Step 5 is exact for the classes of split regions; it costs the prefixes of
+their sets, and blocks against blocks where a shingle of many prefixes still
+joins different components.  Recall against brute force is tested.
 
 Defined results: words are runs of other characters than space and 0x09-0x0D,
 A-Z lower-cased; a text with one to four words has its whole sequence as one
@@ -52,6 +60,8 @@ SIGNATURE = 128
 TREES = 16
 DEPTHS = (3, 4, 6, 8, 12, 16, 24, 32, 48, 64, SIGNATURE)
 REGION = 512
+SLOTS = 1 << 20             # counters of the document frequencies that order shingles
+BLOCK_SHINGLES = 1 << 22    # of a block of classes to confirm in step 5, on average
 BROADCAST_ROWS = 200_000    # involved classes (about 60 bytes each) that may be broadcast
 LOWEST = -(1 << 63)
 
@@ -119,7 +129,7 @@ def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, text) -> (at, cls, sig) of the texts that have shingles."""
+    """(at, text) -> (at, cls, sig, size) of the texts that have shingles."""
     for batch in batches:
         for block in text_blocks(batch.column(1)):
             h, edges = shingle_sets(block)
@@ -128,7 +138,8 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = edges[:-1][full]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(block.lo + full)), pa.array(_binary(_digests(h, starts)), pa.binary()),
-                     pa.array(_binary(_signatures(h, starts)), pa.binary())], names=["at", "cls", "sig"])
+                     pa.array(_binary(_signatures(h, starts)), pa.binary()), pa.array(np.diff(edges)[full], pa.int64())],
+                    names=["at", "cls", "sig", "size"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +166,52 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.array(sets, pa.binary())], names=["key", "node", "shingles"])
 
 
+def _class_sets(text: pa.Array, wanted: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingles) of the texts that are of their wanted class."""
+    for block in text_blocks(text):
+        h, edges = shingle_sets(block)
+        full = np.flatnonzero(np.diff(edges))
+        if len(full):
+            for i, digest in zip(full.tolist(), _binary(_digests(h, edges[:-1][full]))):
+                if wanted[block.lo + i].endswith(digest):
+                    yield block.lo + i, h[edges[i]:edges[i + 1]]
+
+
+def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, node) -> (slot, n): sketched document frequencies of the shingles."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, h in _class_sets(batch.column(0), batch.column(1).to_pylist()):
+            np.add.at(total, (h % U64(SLOTS)).astype(np.int64), 1)
+    slots = np.flatnonzero(total)
+    for part in np.array_split(slots, max(1, len(slots) // 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())],
+                                         names=["slot", "n"])
+
+
+def _prefixes(frequency, percent: int):
+    """(text, node, nid, root) -> (token, nid, root, size, at, short): the rarest shingles of each
+    set, as many as a set above the threshold must share one of.
+
+    ``short`` marks those that are enough to meet a set of the same size or larger.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = frequency.value
+        for batch in batches:
+            nid, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            for i, h in _class_sets(batch.column(0), batch.column(1).to_pylist()):
+                n = len(h)
+                longer = n + percent * n // -100 + 1                # n - ceil(n * percent / 100) + 1
+                short = n + 2 * percent * n // -(100 + percent) + 1
+                h = h[np.lexsort((h, count[(h % U64(SLOTS)).astype(np.int64)]))[:longer]]
+                at = np.arange(longer)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.full(longer, nid[i])), pa.array(np.full(longer, root[i])),
+                     pa.array(np.full(longer, n)), pa.array(at), pa.array(at < short)],
+                    names=["token", "nid", "root", "size", "at", "short"])
+    return run
+
+
 # ---- the forest -----------------------------------------------------------
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -199,14 +256,15 @@ def _deeper(depth: int):
 KEYED = "nid long, tree int, key long"
 
 
-def forest_regions(classes: DataFrame) -> DataFrame:
-    """(key, nid): the regions of all orders, none of more than REGION + 1 classes.
+def forest_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, nid): the regions of all orders, none of more than REGION + 1 classes;
+    (nid): the classes of the regions that were split, None if there are none.
 
     Classes go by a 64-bit hash here; two that share one are in each other's
     regions, no more.
     """
     rows = classes.select("nid", "sig").mapInArrow(_all_trees, KEYED)
-    regions = []
+    regions, split = [], None
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         rows = materialize(rows)
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("least")).where("n > 1")
@@ -221,9 +279,11 @@ def forest_regions(classes: DataFrame) -> DataFrame:
             break
         if large.isEmpty():
             break
+        if split is None:
+            split = large.select("nid").distinct()
         rows = large.select("nid", "tree").join(classes.select("nid", "sig"), "nid").select(
             "nid", "tree", "sig").mapInArrow(_deeper(deeper), KEYED)
-    return reduce(DataFrame.unionAll, regions)
+    return reduce(DataFrame.unionAll, regions), split
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -320,6 +380,32 @@ def _confirm(percent: int):
     return lambda batches: _edges(pairs(batches))
 
 
+def _meet(percent: int):
+    """(key, nid, root, size, at, short, block) sorted by key -> pairs of classes of different
+    components whose sizes and places of the key in the prefixes allow the threshold."""
+    def run(batches):
+        for group in _runs(batches):
+            nid, root, size, at, short, block = (group.column(k).to_numpy() for k in range(1, 7))
+            across = (block != block[0]).any()
+            a, b = [], []
+            for i in np.flatnonzero(short):
+                fits = (size >= size[i]) & (100 * size[i] >= percent * size) & (root != root[i])
+                fits &= (100 + percent) * np.minimum(size[i] - at[i], size - at) >= percent * (size + size[i])
+                if across:
+                    fits &= block != block[i]
+                other = nid[fits]
+                a.append(np.minimum(other, nid[i]))
+                b.append(np.maximum(other, nid[i]))
+                if sum(map(len, a)) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
+                                                     names=["a", "b"])
+                    a, b = [], []
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))],
+                                                 names=["a", "b"])
+    return run
+
+
 # ---- components -----------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
@@ -375,32 +461,79 @@ def _key_id(node):
     return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), value)
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each class of ``nodes`` (node and other columns), with these columns."""
+    nodes = materialize(nodes.select("*", _key_id(F.col("node")).alias("__id"),
+                                     _from_bytes8(F.substring("node", 10, 8)).alias("__hash")))
+    if nodes.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
+    return texts.join(nodes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+
+
+def _confirmed(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) spanning stars of the exact links inside the groups (key, node)."""
+    wanted = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    sets = _texts_of(texts, wanted).select("text", "node", "keys").mapInArrow(
+        _sets, "key long, node binary, shingles binary")
+    return _sorted_runs(sets).mapInArrow(_confirm(percent), "a binary, b binary")
+
+
+def crowd_links(texts: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that join the components (root) of ``crowd`` (node, nid, root, size): a prefix-filter join."""
+    held = _texts_of(texts, crowd)
+    tally = held.select("text", "node").mapInArrow(_tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = tally.toArrow()
+    count = np.zeros(SLOTS, np.int64)
+    count[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    frequency = texts.sparkSession.sparkContext.broadcast(count)
+    tokens = materialize(held.select("text", "node", "nid", "root").mapInArrow(
+        _prefixes(frequency, percent), "token long, nid long, root long, size long, at long, short boolean"))
+    buckets = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
+        F.max("short").alias("any_short")).where("least <> most and any_short").select(
+        "token", F.ceil(F.col("n") / REGION).alias("blocks"))
+    blocked = tokens.join(buckets, "token").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = blocked.select("*", other.alias("other")).select(
+        F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
+        "nid", "root", "size", "at", "short", "block")
+    pairs = materialize(_sorted_runs(met).mapInArrow(_meet(percent), "a long, b long").distinct())
+    # classes dealt into blocks; a class goes to the blocks that hold a partner
+    size = crowd.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    blocks = max(1, -(-size["n"] // REGION), -(-(size["size"] or 0) // BLOCK_SHINGLES))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    key = F.xxhash64(F.least(deal("a"), deal("b")), F.greatest(deal("a"), deal("b")))
+    members = pairs.select(key.alias("key"), F.explode(F.array("a", "b")).alias("nid")).distinct()
+    return _confirmed(texts, members.join(crowd, "nid").select("key", "node"), percent)
+
+
 def duplicate_classes(texts: DataFrame, percent: int) -> DataFrame:
     """(cls, group_id) of every class in ``texts`` (doc_id, text, text_hash)."""
     # a class is known by its first row and its digest, so the smallest node is the smallest doc_id
     signed = texts.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("at"), "text").mapInArrow(
-        _sign, "at binary, cls binary, sig binary")
+        _sign, "at binary, cls binary, sig binary, size long")
     node = F.concat("at", "cls")
-    classes = materialize(signed.groupBy("cls").agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
-                          .select(F.xxhash64(node).alias("nid"), node.alias("node"), "sig"))
+    classes = materialize(signed.groupBy("cls").agg(F.min("at").alias("at"), F.first("sig").alias("sig"),
+                                                    F.first("size").alias("size"))
+                          .select(F.xxhash64(node).alias("nid"), node.alias("node"), "sig", "size"))
     p = percent / 100
     least = int((p - 4 * (p * (1 - p) / SIGNATURE) ** 0.5) * SIGNATURE)
-    ties = materialize(_sorted_runs(forest_regions(classes).join(classes, "nid").select("key", "node", "sig"))
+    regions, split = forest_regions(classes)
+    ties = materialize(_sorted_runs(regions.join(classes, "nid").select("key", "node", "sig"))
                        .mapInArrow(_tie(least), "a binary, b binary").distinct())
-    # a is the centre of its star
+    # a is the centre of its star; a class has at most one centre per order
     members = ties.unionAll(ties.select("a", F.col("a").alias("b")).distinct()).select(
         F.xxhash64("a").alias("key"), F.col("b").alias("node"))
-    # a class has at most one centre per order
-    involved = materialize(members.groupBy("node").agg(F.collect_set("key").alias("keys")).select(
-        "node", "keys", _key_id(F.col("node")).alias("__id"), _from_bytes8(F.substring("node", 10, 8)).alias("__hash")))
-    if involved.count() <= BROADCAST_ROWS:
-        involved = F.broadcast(involved)
-    sets = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select(
-        "text", "node", "keys").mapInArrow(_sets, "key long, node binary, shingles binary")
-    links = _sorted_runs(sets).mapInArrow(_confirm(percent), "a binary, b binary")
+    roots = components(_confirmed(texts, members, percent))
+    if split is not None:
+        roots = materialize(roots)
+        crowd = materialize(classes.join(split, "nid").join(roots, "node", "left").select(
+            "node", "nid", "size", F.xxhash64(F.coalesce("root", "node")).alias("root")))
+        links = crowd_links(texts, crowd, percent)
+        roots = components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     digest = lambda node: F.substring(node, 18, 16)
     own = classes.select(digest("node").alias("cls"), _key_id(F.col("node")).alias("id"))
-    linked = components(links).select(digest("node").alias("cls"), _key_id(F.col("root")).alias("id"))
+    linked = roots.select(digest("node").alias("cls"), _key_id(F.col("root")).alias("id"))
     # a linked class appears twice; its group's id is the smaller one
     return own.unionAll(linked).groupBy("cls").agg(F.min("id").alias("group_id"))
 
