@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import pyarrow as pa
 import pytest
@@ -165,6 +166,24 @@ def test_token_efficiency():
     assert not any(is_random(x, RandomRules(), encoding) for x in good)
 
 
+@pytest.mark.parametrize("alphabet,size,least", [
+    (string.ascii_letters, 24, 200), (string.ascii_letters, 32, 200), (string.ascii_uppercase, 32, 200),
+    (string.ascii_lowercase, 24, 195), (string.ascii_letters + "+/", 40, 200)])
+def test_random_strings_without_a_digit(alphabet, size, least):
+    encoding, rnd = vocabulary(default_ranks()), random.Random(6)
+    keys = ["".join(rnd.choice(alphabet) for _ in range(size)) for _ in range(200)]
+    found = [find_spans(f"the key {k} is new", RandomRules(), encoding) for k in keys]
+    assert sum(x == [(8, 3, 8 + size)] for x in found) >= least
+
+
+def test_long_words_without_a_digit_are_no_secrets():
+    encoding = vocabulary(default_ranks())
+    for word in ("internationalization", "electroencephalographically", "AbstractSingletonProxyFactoryBean",
+                 "MAX_CONNECTION_POOL_SIZE_LIMIT", "no_such_key_in_this_map", "some-hyphenated-slug-of-words",
+                 "a" * 40, "-" * 40, "pneumonoultramicroscopicsilicovolcanoconiosis"):
+        assert not is_random(word, RandomRules(), encoding), word
+
+
 def test_redaction_and_columns(spark):
     df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(SECRETS)], "doc_id long, text string, secrets string")
     rows = {r["doc_id"]: r for r in secret_spans(df, redact="[X]").collect()}

@@ -2,9 +2,10 @@
 
 Base kinds (patterns are fixed by the contract of the scan): ``assign``,
 ``access`` and ``hex``.  The method adds kind ``random``: a run of key
-characters of at least ``min_chars`` with a letter and a digit whose
-characters per token under a public byte-level vocabulary are below
-``max_ratio``.  Prose and identifiers made of words take few tokens; random
+characters of at least ``min_chars`` with a letter whose characters per token
+under a public byte-level vocabulary are below ``max_ratio``; in a run without
+a digit separators count neither as characters nor as tokens, so words joined
+by them stay words, and a written-out alphabet is none.  Prose and identifiers made of words take few tokens; random
 strings take many.  Known digests (hexadecimal of a digest's length) and
 identifiers (UUIDs, numbers with separators, dates) are excluded first.  A
 random run inside a base span is not reported again.
@@ -42,6 +43,7 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 WITHOUT_LETTER = re.compile(r"[^A-Za-z]+")
 WITHOUT_DIGIT = re.compile(r"[^0-9]+")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 IS_HEX = np.zeros(256, bool)
 IS_HEX[[*b"0123456789abcdef"]] = True
@@ -74,10 +76,15 @@ def vocabulary(path: str):
 
 def is_random(run: str, rules: RandomRules, encoding) -> bool:
     """Token-efficiency test of one run of key characters."""
-    if WITHOUT_LETTER.fullmatch(run) or WITHOUT_DIGIT.fullmatch(run):
+    if WITHOUT_LETTER.fullmatch(run):
         return False
     if (len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or UUID.fullmatch(run):
         return False
+    if WITHOUT_DIGIT.fullmatch(run):
+        if 4 * sum(ord(b) - ord(a) == 1 for a, b in zip(run, run[1:])) >= 3 * (len(run) - 1):   # an alphabet
+            return False
+        parts = LETTERS.findall(run)
+        return sum(map(len, parts)) < rules.max_ratio * sum(len(encoding.encode_ordinary(x)) for x in parts)
     return len(run) < rules.max_ratio * len(encoding.encode_ordinary(run))
 
 
