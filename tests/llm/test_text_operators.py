@@ -78,6 +78,26 @@ def test_small_and_broken_pages(html, text):
     assert extract_text(html) == text
 
 
+PROSE = "A sentence of the text that tells what happened on the day and what came of it later. " * 4
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><form><input><label>Name</label><article><p>{PROSE}</p></article></form></body>",
+    f"<body><form action='./page.aspx'><input type=hidden><div><p>{PROSE}</p></div></form></body>",
+    f"<body><h1></h1><div class='post no-sidebar'><p>{PROSE}</p></div></body>",
+    f"<body><article><div class='content has-sidebar'><p>{PROSE}</p></div></article></body>",
+    f"<body><article><section id='search'><p>{PROSE}</p></section></article></body>"])
+def test_text_in_forms_and_named_blocks_stays(html):
+    assert extract_text(html) == PROSE.strip()
+
+
+def test_named_headings_stay_and_named_lists_go():
+    links = "<ul class='related'>" + "<li><a href='#'>Another page</a></li>" * 8 + "</ul>"
+    page = f"<body><article><p>{PROSE}</p><h2 id='related-work'>Related work</h2><p>{PROSE}</p>{links}"
+    page += "<div class='ad'>Buy now</div><form class='search'>Search <input><button>Go</button></form></article></body>"
+    assert extract_text(page) == f"{PROSE.strip()}\n\nRelated work\n\n{PROSE.strip()}"
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
     assert extract_text(deep) == "core"

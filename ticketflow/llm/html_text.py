@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a small DOM.  Elements that are never article text (scripts,
-styles, menus, forms, footers, and elements whose class, id or role names an
-advert, sidebar, notice, comment list and the like) are taken out.  For every
-other node the characters per tag, adjusted for the characters and tags inside
+styles, menus, footers, form controls, adverts by class or id, hidden elements and those
+of such a role) are taken out.  A form, or an element whose class or id names a
+sidebar, notice, comment list and the like, goes if it also is no running text:
+mostly links, sparser than the page's body, or outside of the article if the
+page marks one.  For every other node the characters per tag, adjusted for the characters and tags inside
 links, give its density; the node whose children's densities have the largest
 sum is the main subtree.  Its innermost ``article`` or ``main`` ancestor
 stands for it if there is one; otherwise siblings of the subtree whose density
@@ -44,19 +46,21 @@ BLOCK = frozenset((
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search "
     "section summary table tbody td tfoot th thead tr ul").split())
 DROPPED = frozenset((
-    "script style noscript template head title meta link nav menu aside footer form button select option textarea "
+    "script style noscript template head title meta link nav menu aside footer button select option textarea "
     "input label fieldset iframe object embed applet canvas svg math audio video map dialog search "
     "noembed noframes xmp").split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar "
                   "toolbar tablist status".split())
 # words of a class or id that name something other than the article
-NAMES = frozenset((
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
-    "sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar pagination pager "
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+NAMES = ADVERTS | frozenset((
+    "banner sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar pagination pager "
     "footer foot masthead cookie cookies consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription signup login signin form search share sharing social "
     "related recommended recommendations comment comments disqus respond reply replies widget widgets "
     "copyright legal skip hidden").split())
+LAYOUT = frozenset("has no with without".split())    # the next word of a class or id names what a page has or lacks
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
                     "option", "legend", "summary", "figcaption"}
 IMPLIED = {  # a start tag ends these open elements up to the boundary
@@ -139,13 +143,27 @@ def _imply(stack: list[Node], ended: set, boundary) -> None:
             return
 
 
-def _named_away(node: Node) -> bool:
+def _names(value: str, named: frozenset) -> bool:
+    """Whether a class or id value holds one of the words that no layout word precedes."""
+    for name in value.split():
+        words = [x.lower() for x in TOKENS_OF_NAME.findall(name)]
+        if any(x in named and before not in LAYOUT for before, x in zip(["", *words], words)):
+            return True
+    return False
+
+
+def _named_away(node: Node, named: frozenset = NAMES) -> bool:
+    return bool(node.attrs) and any(
+        name.lower() in ("class", "id") and not (name.lower() == "id" and node.tag in HEADINGS) and _names(a or b or c, named)
+        for name, a, b, c in ATTRIBUTE.findall(node.attrs))
+
+
+def _hidden(node: Node) -> bool:
+    """Hidden, or of a role that is never article text."""
     if not node.attrs:
         return False
     for name, a, b, c in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and not NAMES.isdisjoint(x.lower() for x in TOKENS_OF_NAME.findall(value)):
-            return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -160,7 +178,8 @@ def _dropped(node: Node) -> bool:
         return True
     if node.tag == "header":    # a page header; an article's own header holds its title
         return not node.keeps and not any(a.tag in ("article", "main") for a in _ancestors(node))
-    return node.tag not in ("#root", "html", "body", "main") and not node.keeps and _named_away(node)
+    return node.tag not in ("#root", "html", "body", "main") and not node.keeps and (
+        _hidden(node) or _named_away(node, ADVERTS))
 
 
 def _ancestors(node: Node):
@@ -182,13 +201,32 @@ def _density(node: Node, body: Node) -> float:
     return c / t * (log(max(inside, 1.0 + 1e-9)) / log(base) if base > 1.0 + 1e-9 else log(max(inside, E)))
 
 
+def _counted(nodes: list[Node], kept: set[int]) -> list[Node]:
+    """The kept ones of the nodes, without their other children, with characters and tags counted."""
+    alive = [x for x in nodes if id(x) in kept]
+    for node in alive:
+        node.children = [x for x in node.children if isinstance(x, str) or id(x) in kept]
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+    for node in reversed(alive):
+        node.chars += sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        if node.tag == "a":
+            node.link_chars, node.link_tags = node.chars, node.tags + 1
+        up = node.parent
+        if up is not None:
+            up.chars += node.chars
+            up.tags += node.tags + 1
+            up.link_chars += node.link_chars
+            up.link_tags += node.link_tags
+    return alive
+
+
 def main_nodes(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
     """(top nodes of the main text in page order, density threshold); drops what is not text.
 
-    A node is not dropped for its name if it holds the page's article (or, in
+    A node is not dropped for its name, or as a form, if it holds the page's article (or, in
     pages without one, a first-level heading).
     """
-    held = [x for x in nodes if x.tag == "main" or (x.tag == "article" and not _named_away(x))]
+    held = [x for x in nodes if x.tag == "main" or (x.tag == "article" and not _named_away(x) and not _hidden(x))]
     for node in held or [x for x in nodes if x.tag == "h1"]:
         while node is not None and not node.keeps:
             node.keeps = True
@@ -199,20 +237,21 @@ def main_nodes(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
         if id(node.parent) in kept and not _dropped(node):
             kept.add(id(node))
             alive.append(node)
-    for node in alive:
-        node.children = [x for x in node.children if isinstance(x, str) or id(x) in kept]
     body = next((x for x in alive if x.tag == "body"), root)
-    for node in reversed(alive):
-        own = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
-        node.chars += own
-        if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, node.tags + 1
-        up = node.parent
-        if up is not None:
-            up.chars += node.chars
-            up.tags += node.tags + 1
-            up.link_chars += node.link_chars
-            up.link_tags += node.link_tags
+    alive = _counted(alive, kept)
+    suspects = [x for x in alive if x.tag not in ("#root", "html", "body", "main") and not x.keeps
+                and (x.tag == "form" or _named_away(x))]
+    least = _density(body, body)
+    articles = {id(x) for x in held}
+    # beside the page's article their text is not the article's
+    gone = {id(x) for x in suspects if held and articles.isdisjoint(id(a) for a in _ancestors(x))
+            or x.link_chars > LINK_LIST * x.chars or _density(x, body) < least}
+    if gone:
+        kept = {id(root)}
+        for node in alive[1:]:
+            if id(node.parent) in kept and id(node) not in gone:
+                kept.add(id(node))
+        alive = _counted(alive, kept)
     for node in reversed(alive):
         node.density = _density(node, body)
         if node.parent is not None:
