@@ -30,3 +30,22 @@ def test_late_rows_are_dropped(spark):
     got = {(r.window_start.hour, r.language): r.total for r in latest_windows(spark, sink).collect()}
     assert got[(0, "en")] == 1          # the late 00:30 row was not added
     assert got[(5, "en")] == 2
+
+
+def test_late_rows_are_found_again(spark):
+    from ticketflow.streaming.metrics import complete_windows, late_windows
+
+    src, sink, ck = scratch_dir(spark, "lf-src"), scratch_dir(spark, "lf-out"), scratch_dir(spark, "lf-ck")
+    t0 = dt.datetime(2024, 1, 1, 0, 10)
+    late = rows([t0 + dt.timedelta(minutes=20)]) + rows([t0] * 2, None) + rows([t0 + dt.timedelta(hours=1)], "fr")
+    for part in (rows([t0, t0 + dt.timedelta(hours=5)]), rows([t0 + dt.timedelta(hours=5, minutes=5)]), late):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    stream_metrics(spark, src, schema, sink, ck, watermark="2 hours", max_files_per_trigger=1)
+    found = {(r.window_start.hour, r.language): (r.total, r.n_late)
+             for r in late_windows(spark, src, schema, sink).collect()}
+    assert found == {(0, "en"): (2, 1), (0, None): (2, 2), (1, "fr"): (1, 1)}
+    whole = {(r.window_start.hour, r.language): (r.total, r.n_late)
+             for r in complete_windows(spark, src, schema, sink).collect()}
+    assert whole == {**found, (5, "en"): (2, 0)}

@@ -7,7 +7,9 @@ is released once the watermark passes its end.  Output mode ``update`` through `
 every batch appends the windows it changed, tagged with the batch id, and
 ``latest_windows`` keeps the last version of each (window, language).  The
 latency percentile is ``percentile_approx`` (streams hold no sorted data);
-the batch ``latency_stats`` is the exact one.  The window, watermark and
+the batch ``latency_stats`` is the exact one.  Dropped rows are found again by
+the batch layer: ``late_windows`` counts the source's rows a window lacks and
+computes that window from all its rows, ``complete_windows`` merges both.  The window, watermark and
 late-data rule are this design's own.
 """
 
@@ -60,11 +62,38 @@ def latest_windows(spark: SparkSession, sink_dir: str) -> DataFrame:
     raw = spark.read.parquet(sink_dir)
     w = Window.partitionBy("window_start", "language").orderBy(F.col("batch_id").desc())
     last = raw.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch")
+    return _with_rates(last)
+
+
+def _with_rates(windows: DataFrame) -> DataFrame:
     denom = F.greatest(F.col("total"), F.lit(1))
-    return last.select(
+    return windows.select(
         "window_start", "window_end", "language", "total",
         F.round(F.col("sum_confidence") / F.col("total"), 4).cast("double").alias("avg_confidence"),
         "review_count", "escalation_count",
         (F.col("review_count") / denom).alias("review_rate"),
         (F.col("escalation_count") / denom).alias("escalation_rate"),
         "p95_ms_approx")
+
+
+def late_windows(spark: SparkSession, source_dir: str, schema, sink_dir: str, window: str = "1 hour") -> DataFrame:
+    """Every (window, language) that lacks late rows, computed from all its rows, with their number ``n_late``.
+
+    Reads the source's files whole; call it when the stream has read them all.
+    Rows without ``ts`` belong to no window.
+    """
+    whole = _with_rates(windowed_metrics(spark.read.schema(schema).parquet(source_dir), window))
+    seen = latest_windows(spark, sink_dir).select(
+        F.col("window_start").alias("_start"), F.col("language").alias("_language"), F.col("total").alias("_seen"))
+    same = (F.col("window_start") == F.col("_start")) & F.col("language").eqNullSafe(F.col("_language"))
+    return (whole.join(seen, same, "left").withColumn("n_late", F.col("total") - F.coalesce("_seen", F.lit(0)))
+            .where("n_late > 0").drop("_start", "_language", "_seen"))
+
+
+def complete_windows(spark: SparkSession, source_dir: str, schema, sink_dir: str, window: str = "1 hour") -> DataFrame:
+    """``latest_windows`` with the windows of late rows computed anew; ``n_late`` is their number (0 elsewhere)."""
+    late = late_windows(spark, source_dir, schema, sink_dir, window)
+    keys = late.select(F.col("window_start").alias("_start"), F.col("language").alias("_language"))
+    same = (F.col("window_start") == F.col("_start")) & F.col("language").eqNullSafe(F.col("_language"))
+    kept = latest_windows(spark, sink_dir).join(keys, same, "left_anti")
+    return kept.withColumn("n_late", F.lit(0).cast("long")).unionByName(late)
