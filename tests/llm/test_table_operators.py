@@ -236,6 +236,18 @@ def test_conversations_with_nulls_ties_and_gaps(spark):
     assert chat.format_trees(chat.conversation_messages(df.limit(0)).cache()).count() == 0
 
 
+def test_one_conversation_of_thousands_of_turns(spark):
+    said = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(5000)] + [(2, 0, "user", "short")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    messages = chat.conversation_messages(df).cache()
+    paths = chat.reply_paths(messages)
+    # a scan and the ranking, not a copy of every round before it
+    assert paths._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+    assert paths.count() == 5001
+    chats = {r["tree"]: r for r in chat.format_trees(messages).collect()}
+    assert chat.read_turns(chats[1]["formatted"]) == [r[2:] for r in said[:-1]]
+
+
 # ---- mixing ---------------------------------------------------------------
 
 def plain_targets(sizes, epochs=3):
@@ -284,3 +296,16 @@ def test_hot_source_is_near_its_target(spark):
     r = mix_sources(df, word_count("text")).where("source = 'hot'").agg(
         F.sum(F.col("mix.size") * F.col("mix.copies")), F.first("mix.target")).first()
     assert r[0] == pytest.approx(r[1], rel=0.01)
+
+
+@pytest.mark.parametrize("texts", [[None, "", " \t"], ["", "", "a b c", None], ["x " * 500] + [""] * 40])
+def test_sources_with_empty_texts(spark, texts):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["a", "b", None]), texts[i % len(texts)]) for i in range(600)]
+    df = spark.createDataFrame(rows + [(-1, "empty", ""), (-2, "empty", None)], "doc_id long, source string, text string")
+    got = mix_sources(df, word_count("text")).groupBy("source").agg(
+        F.sum(F.col("mix.size") * F.col("mix.copies")).alias("taken"), F.first("mix.target").alias("target"),
+        F.max("mix.size").alias("largest"), F.max("mix.copies").alias("copies")).collect()
+    assert sum(r["target"] for r in got) == pytest.approx(sum(len((t or "").split()) for *_, t in rows))
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= r["largest"] + 1 and r["copies"] <= 3

@@ -5,7 +5,10 @@ enumerated by iterative self-joins with doubled jumps: the ancestor table of
 step 2^k is the self-join of the table of step 2^(k-1); from the leaves, one
 join per step (largest first) then adds every distance exactly once.  A path
 of n messages costs about 2 log2(n) joins and n rows, whatever the shape of
-the tree, and every join is on a unique message key, so no key is hot.
+the tree, and every join is on a unique message key, so no key is hot.  Each
+round writes its table to the shared checkpoint folder and the next one reads
+it, so a round's plan is one join over two scans however deep the trees are,
+and a lost executor repeats tasks of its round only.
 
 Branches are ranked by the sum of their messages' scores and each chosen path
 becomes one conversation.  One conversation is one output text, so its
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketflow.session import materialize
+from ticketflow.session import materialize, scratch_dir
 
 TURN, END = "<|turn|>", "<|end|>"
 CONTROL = re.compile(r"\\|<(?=\||/?s>|/?unk>|/?pad>|</?SYS>>)|\[(?=/?INST\])")
@@ -77,17 +80,24 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` through a table in the shared checkpoint folder: its plan is one scan."""
+    path = scratch_dir(df.sparkSession, f"replies-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, node, parent, score) -> (tree, branch, leaf, node, steps): the messages of
     each tree's ``branches`` best root-to-leaf paths, ``steps`` counted from the leaf.
 
     Branches are ranked by the sum of scores, ties by the smaller leaf.
     """
-    nodes = materialize(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    nodes = _written(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     have = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
     same_tree = F.col("tree").eqNullSafe(F.col("t"))
-    jump = materialize(nodes.join(have, same_tree & (F.col("parent") == F.col("n")), "left_semi")
-                       .select("tree", "node", F.col("parent").alias("up")))
+    jump = _written(nodes.join(have, same_tree & (F.col("parent") == F.col("n")), "left_semi")
+                    .select("tree", "node", F.col("parent").alias("up")), "jump")
     inner = jump.select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     path = nodes.join(inner, same_tree & (F.col("node") == F.col("n")), "left_anti").select(
         "tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("steps"))
@@ -98,14 +108,14 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             raise ValueError("the parents of some messages form a cycle")
         jumps.append(jump)
         further = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"))
-        jump = materialize(jump.join(further, same_tree & (F.col("up") == F.col("n"))).select(
-            "tree", "node", F.col("far").alias("up")))
+        jump = _written(jump.join(further, same_tree & (F.col("up") == F.col("n"))).select(
+            "tree", "node", F.col("far").alias("up")), "jump")
     for k in reversed(range(len(jumps))):
         step = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         moved = path.join(step, same_tree & (F.col("node") == F.col("n"))).select(
             "tree", "leaf", F.col("up").alias("node"), (F.col("steps") + 2 ** k).alias("steps"))
-        path = path.unionAll(moved)
-    path = materialize(path)
+        # written at once: the union of two unwritten copies would double the plan
+        path = _written(path.unionAll(moved), "path")
     scores = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
     total = path.join(scores, same_tree & (F.col("node") == F.col("n"))).groupBy("tree", "leaf").agg(
         F.sum("score").alias("score"))
