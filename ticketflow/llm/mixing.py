@@ -93,7 +93,8 @@ def mix_sources(df: DataFrame, size: str | Column = "size", weights: tuple[int,
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     spans = by_bucket.withColumn("__from", F.coalesce(F.sum("__words").over(before), F.lit(0)))
     t = targets.select(F.col("source").alias("__source"), "source_size", "target", "__whole", "__rest")
-    crossing = F.col("__from") + F.col("__words") > F.col("__rest")
+    # a bucket of documents without words cannot cross the rest
+    crossing = (F.col("__words") > 0) & (F.col("__from") + F.col("__words") > F.col("__rest"))
     share = (F.col("__rest") - F.col("__from")) / F.col("__words")
     plan = materialize(
         spans.join(t, F.col("source").eqNullSafe(F.col("__source")))
