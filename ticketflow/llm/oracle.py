@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from ticketflow.llm.mixing import BUCKETS, MAX_EPOCHS, SEED, WEIGHTS
 from ticketflow.llm.quality import SYMBOLS, RepeatRules
+from ticketflow.llm.spelling import DROP_ONE_IN, MIN_COUNT, MIN_LENGTH
+from ticketflow.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 WORD = r"[^\x20\x09-\x0D]+"
 _R = RepeatRules()
@@ -128,17 +130,91 @@ c AS (SELECT source, bucket, CAST(sum(size) AS BIGINT) AS words FROM e GROUP BY
 a AS (SELECT *, CAST(sum(words) OVER (PARTITION BY source ORDER BY bucket) - words AS BIGINT) AS "from" FROM c),
 x AS (SELECT a.source, min(bucket) AS cross_at,
              arg_min((rest - "from") / words, bucket) AS share
-      FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source WHERE "from" + words > rest GROUP BY a.source)
+      FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source WHERE words > 0 AND "from" + words > rest GROUP BY a.source)
 SELECT e.doc_id, e.size, g.source_size, g.target,
        e.size * (g.whole + CASE WHEN e.bucket < coalesce(x.cross_at, {BUCKETS})
                                   OR (e.bucket = x.cross_at AND e.coin / 4294967296.0 < x.share) THEN 1 ELSE 0 END) AS taken
 FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source LEFT JOIN x ON e.source IS NOT DISTINCT FROM x.source
 """
 
+# crc32 bit by bit: the code points are ASCII or U+00C0 to U+00FF (two bytes)
+_BYTES = """flatten(list_transform(string_split(key, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+  ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END))"""
+_BITS = f"flatten(list_transform({_BYTES}, lambda b: list_transform(range(0, 8), lambda i: (b >> i) & 1)))"
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+keyed AS (SELECT run, id || ':' || run AS key, count(*) AS n FROM runs GROUP BY ALL),
+checked AS (
+  SELECT run, n, xor(4294967295, list_reduce([4294967295::BIGINT] || {_BITS},
+    lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1)))) AS h
+  FROM keyed),
+words AS (
+  SELECT CASE WHEN h % {DROP_ONE_IN} = 0 THEN left(run, CAST(h % length(run) AS BIGINT))
+              || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM checked),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= {MIN_LENGTH}
+      GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+less AS (SELECT word, p, left(word, p) || substr(word, p + 2) AS rest
+         FROM (SELECT word, unnest(range(0, length(word))) AS p FROM v)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT less.word, v.word FROM less JOIN v ON less.rest = v.word
+  UNION SELECT v.word, less.word FROM less JOIN v ON less.rest = v.word),
+best AS (
+  SELECT a AS word, b AS form, v.n AS form_n, count(*) OVER (PARTITION BY a) AS n_near
+  FROM near JOIN v ON v.word = near.b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form,
+         CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word),
+chain AS (
+  SELECT word, word AS here, 0 AS step FROM f
+  UNION ALL SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root ON root.word = f.word
+"""
+
+
+def _vector_codes() -> str:
+    """Rounds of assignment and replacement, one after another; equal vector lengths."""
+    steps = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v FROM (
+    SELECT vec_id, label,
+           list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+             f"""x AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // {PARTS} + 1:(p + 1) * len(v) // {PARTS}] AS x FROM v, range(0, {PARTS}) t(p))""",
+             f"b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM x WHERE r <= {ENTRIES})"]
+    for k in range(ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min(e + {ENTRIES} * CAST(list_sum(list_transform(list_zip(x, y),
+         lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)) AS best
+  FROM x JOIN b{k} USING (p) GROUP BY r, p)""")
+        if k < ROUNDS:
+            steps.append(f"""m{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS y FROM (
+    SELECT p, best % {ENTRIES} AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY p, e)""")
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)""")
+    return "WITH " + ",\n".join(steps) + f""",
+c AS (SELECT r, string_agg(printf('%02x', best % {ENTRIES}), '' ORDER BY p) AS code,
+             CAST(sum(best // {ENTRIES}) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN c ON c.r = v.r, h
+"""
+
+
 SQL: dict[str, str] = {
     "op4_topk": TOPK,
     "op5_near_dup": NEAR_DUP,
     "op7_chat_format": CHAT,
     "op9_quality_rules": QUALITY,
     "op10_mixing": MIXING,
+    "op12_spelling": SPELLING,
+    "op13_vector_codes": _vector_codes(),
 }

@@ -10,8 +10,11 @@ from ticketflow.llm.near_dup import op5_near_dup
 from ticketflow.llm.pieces import op3_sentencepiece
 from ticketflow.llm.quality import op9_quality_rules
 from ticketflow.llm.secret_scan import op8_secret_scan
+from ticketflow.llm.spelling import op12_spelling
+from ticketflow.llm.token_counts import op11_token_counts
 from ticketflow.llm.topk import op4_topk
 from ticketflow.llm.toxicity import op6_toxicity
+from ticketflow.llm.vector_codes import op13_vector_codes
 
 REGISTRY = {
     "op1_html_text": op1_html_text,
@@ -24,4 +27,7 @@ REGISTRY = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling": op12_spelling,
+    "op13_vector_codes": op13_vector_codes,
 }
