@@ -10,11 +10,17 @@ yields struct(language, confidence) or null when it has no evidence:
   tables of any size (explode -> join -> partial aggregate per text).
 * ``ngram_profile``: character trigram profiles fitted from labelled text
   (``fit_ngram_profile``) and scored with add-one smoothed log
-  probabilities and a softmax (``score_ngram_profile``).
+  probabilities and a softmax (``score_ngram_profile``): one dense vector per
+  gram, sent to the workers, and no row per trigram (``gram_vectors``).
 
-``detect_language`` runs both backends, keeps the most confident one (first
-backend wins ties) and falls back to (fallback, 0.0) for blank text or when
-no backend has evidence.
+Before both, ``script_language`` settles texts most of whose letters belong to
+the script of one supported language (Chinese, Japanese, Korean, Arabic, Hindi,
+Thai, Russian).
+
+``detect_language`` keeps the most confident backend (first backend wins ties)
+and falls back to (fallback, 0.0) for blank text or when no backend has
+evidence.  It is a chain of column expressions and one Arrow evaluation: no
+shuffle, no join.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from pyspark.sql import functions as F
 
 from ticketflow import config as C
 from ticketflow.functions.text import WS_CLASS, count_words, is_blank, tokens
+from ticketflow.operators import gram_vectors as GV
+from ticketflow.operators.gram_vectors import SCALE
 from ticketflow.sources import fixture_data as D
 
-SCALE = 1_000_000       # log probabilities are kept as integers of this unit
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -37,6 +43,41 @@ def lang_struct(lang: Column, conf: Column) -> Column:
     return F.struct(lang.alias("language"), conf.cast("double").alias("confidence"))
 
 
+# ---------------------------------------------------------------- scripts
+
+KANA = r"\p{IsHiragana}\p{IsKatakana}"
+SCRIPTS = {"zh": r"\p{IsHan}", "ko": r"\p{IsHangul}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}",
+           "th": r"\p{IsThai}", "ru": r"\p{IsCyrillic}"}
+KANA_SHARE = 0.1        # of the Han and kana characters, from which they are Japanese
+
+
+def script_language(text) -> Column:
+    """struct(language, confidence) if more than half of the letters (with their
+    marks) belong to the script of one supported language, else null.
+
+    Han characters are Chinese unless at least a tenth of them and the kana is
+    kana; equal counts go to the first of zh/ja, ko, ar, hi, th, ru.  Confidence is the share.
+    Texts without a character of these scripts cost one scan.
+    """
+    t = _c(text)
+    count = lambda cls: F.regexp_count(t, F.lit(f"[{cls}]")).cast("double")
+    counts = F.array(F.array(count(SCRIPTS["zh"]), count(KANA)),
+                     F.array(*[count(SCRIPTS[x]) for x in ("ko", "ar", "hi", "th", "ru")]),
+                     F.array(count(r"\p{L}\p{M}")))
+
+    def settled(c: Column) -> Column:
+        han, kana = c[0][0], c[0][1]
+        east = F.when(kana >= KANA_SHARE * (han + kana), F.lit("ja")).otherwise(F.lit("zh"))
+        most = F.greatest(han + kana, F.array_max(c[1]))
+        lang = F.when(han + kana >= most, east).otherwise(F.element_at(
+            F.array(*[F.lit(x) for x in ("ko", "ar", "hi", "th", "ru")]), F.array_position(c[1], most).cast("int")))
+        return F.when(2 * most > c[2][0], lang_struct(lang, F.least(most / F.greatest(c[2][0], F.lit(1.0)), F.lit(1.0))))
+
+    any_script = t.rlike("[" + KANA + "".join(SCRIPTS.values()) + "]")
+    # one element: the counts are evaluated once, and only for texts with such characters
+    return F.when(any_script, F.element_at(F.transform(F.array(counts), settled), 1))
+
+
 # ---------------------------------------------------------------- backend A
 
 
@@ -140,10 +181,24 @@ def score_ngram_profile(df: DataFrame, profile: DataFrame, id_col: str, text_col
     """(id, ngram struct(language, confidence)); confidence = softmax share
     among the languages that know a trigram of the text.
 
+    The profile goes to the workers as one vector per gram (up to
+    ``gram_vectors.TABLE_BYTES``, else the join below) and texts are scored in
+    Arrow blocks.  Ties go to the smaller language code.  Texts without any
+    known gram have no row.
+    """
+    table = GV.profile_table(profile)
+    if table is None:
+        return score_ngram_profile_join(df, profile, id_col, text_col)
+    vote = GV.gram_vote(df.sparkSession, F.lower(F.col(text_col)), table)
+    return df.select(id_col, vote.alias("ngram")).where(F.col("ngram.language").isNotNull())
+
+
+def score_ngram_profile_join(df: DataFrame, profile: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``score_ngram_profile`` for profiles too large to be sent to every worker.
+
     One explode of the text's trigrams, a join to the profile (its size
     decides the join: the planner broadcasts it or AQE splits hot grams), and
-    a partial aggregation per (text, language), then per text.  Ties go to the
-    smaller language code.  Texts without any known gram have no row.
+    a partial aggregation per (text, language), then per text.
     """
     g = df.select(id_col, trigrams(F.col(text_col)).alias("_g")).select(
         id_col, F.size("_g").cast("long").alias("n_grams"), F.explode("_g").alias("gram"))
@@ -160,21 +215,8 @@ def score_ngram_profile(df: DataFrame, profile: DataFrame, id_col: str, text_col
 
 def builtin_profile(spark: SparkSession) -> DataFrame:
     """Trigram profile of the package's own word lists and sample sentences (constants)."""
-    import math
-    from collections import Counter
-
-    import regex
-
-    counts = {}
-    for lang, words in D.FUNCTION_WORDS.items():
-        text = " ".join([*words, D.OVERLAP_SAMPLES.get(lang, "")]).lower()
-        text = regex.sub(" +", " ", " " + regex.sub(r"[^\p{L}]+", " ", text) + " ")
-        counts[lang] = Counter(text[i:i + 3] for i in range(len(text) - 2))
-    vocab = len({g for c in counts.values() for g in c})
-    units = lambda x: round(math.log(x) * SCALE)
-    rows = [(lang, gram, units((n + 1) / (sum(c.values()) + vocab)), units(1 / (sum(c.values()) + vocab)))
-            for lang, c in counts.items() for gram, n in sorted(c.items())]
-    return spark.createDataFrame(rows, "language string, gram string, log_prob long, unseen_log_prob long")
+    return spark.createDataFrame(GV.builtin_rows(),
+                                 "language string, gram string, log_prob long, unseen_log_prob long")
 
 
 # ---------------------------------------------------------------- ensemble
@@ -188,23 +230,32 @@ def best_language(first, second) -> Column:
 
 def detect_language(df: DataFrame, text_col: str = "cleaned_text", profile: DataFrame | None = None,
                     fallback: str = "en", words: dict | None = None, lowered_col: str | None = None) -> DataFrame:
-    """Adds ``language`` and ``language_confidence`` (unrounded) from both backends.
+    """Adds ``language`` and ``language_confidence`` (unrounded): scripts first, then both backends.
 
-    The trigram backend (``builtin_profile`` unless a ``profile`` is given) only
-    has to look at texts whose vote is not unanimous, since the first backend
-    wins ties, and at each distinct text once.
+    The trigram backend (the built-in table unless a ``profile`` is given) only
+    looks at texts that no script settles and whose vote is not unanimous,
+    since the first backend wins ties.
     """
-    profile = builtin_profile(df.sparkSession) if profile is None else profile
-    out = add_function_word_vote(df, text_col, "_vote", words, lowered_col).withColumn(
-        "_key", F.md5(F.col(text_col)))
-    open_rows = ~is_blank(F.col(text_col)) & F.coalesce(F.col("_vote.confidence") < 1.0, F.lit(True))
-    texts = out.where(open_rows).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
-    scored = score_ngram_profile(texts, profile, "_key", "_text")
-    out = out.join(scored, "_key", "left")
-    fb = lang_struct(F.lit(fallback), F.lit(0.0))
-    res = F.when(is_blank(F.col(text_col)), fb).otherwise(F.coalesce(best_language("_vote", "ngram"), fb))
-    return (out.withColumn("_lang", res).withColumn("language", F.col("_lang.language"))
-            .withColumn("language_confidence", F.col("_lang.confidence")).drop("_key", "_vote", "_lang", "ngram"))
+    spark = df.sparkSession
+    words = words or D.FUNCTION_WORDS
+    out = df if lowered_col else df.withColumn("_low", F.lower(F.col(text_col)))
+    low = F.col(lowered_col or "_low")
+    out = out.withColumn("_hits", function_word_hits(low, words)).withColumn("_script", script_language(text_col))
+    table = GV.builtin_table() if profile is None else GV.profile_table(profile)
+    if table is not None:
+        # blank texts have no script and are not asked: they get the fallback
+        found = out.withColumn("_lang", GV.language_choice(
+            spark, F.when(~is_blank(F.col(text_col)), low), F.col("_hits"), F.col("_script"), list(words), table, fallback))
+    else:
+        out = out.withColumn("_vote", vote_from_hits("_hits", words)).withColumn("_key", F.md5(F.col(text_col)))
+        open_rows = (~is_blank(F.col(text_col)) & F.col("_script").isNull()
+                     & F.coalesce(F.col("_vote.confidence") < 1.0, F.lit(True)))
+        texts = out.where(open_rows).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+        found = out.join(score_ngram_profile_join(texts, profile, "_key", "_text"), "_key", "left").withColumn(
+            "_lang", F.coalesce(F.col("_script"), best_language("_vote", "ngram"), lang_struct(F.lit(fallback), F.lit(0.0))))
+    return (found.withColumn("language", F.col("_lang.language"))
+            .withColumn("language_confidence", F.col("_lang.confidence"))
+            .drop(*([] if lowered_col else ["_low"]), "_hits", "_script", "_lang", "_vote", "_key", "ngram"))
 
 
 def detect_batch(df: DataFrame, text_col: str = "text", **kw) -> DataFrame:

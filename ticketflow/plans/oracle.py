@@ -10,7 +10,8 @@ from ticketflow.plans.oracle_base import (
     clean_expr, escalations_cte, labels_cte, lexicon_cte, log_cte, phrases_cte, predictions_cte, q, rules_cte,
     templates_cte, tickets_cte, tokens_expr, values, with_, words_cte,
 )
-from ticketflow.sources.fixture_data import FUNCTION_WORDS, OVERLAP_SAMPLES
+from ticketflow.operators.gram_vectors import builtin_text
+from ticketflow.sources.fixture_data import FUNCTION_WORDS
 from ticketflow.sources.fixtures import EVENT_CLASSES
 
 SQL: dict[str, str] = {}
@@ -441,7 +442,7 @@ prof AS (SELECT pc.language, gram, CAST(round(ln((c + 1) / CAST(den AS DOUBLE))
 
 
 def builtin_profile_ctes() -> str:
-    rows = [(lang, " ".join([*ws, OVERLAP_SAMPLES.get(lang, "")])) for lang, ws in FUNCTION_WORDS.items()]
+    rows = [(lang, builtin_text(lang)) for lang in FUNCTION_WORDS]
     return profile_ctes("SELECT * FROM " + values(rows, ["language", "t"]))
 
 
@@ -456,17 +457,36 @@ ng AS (SELECT txt, arg_min(language, (-score, language)) AS glang,
        FROM (SELECT *, max(score) OVER (PARTITION BY txt) AS mx FROM gsc) GROUP BY txt)"""
 
 
+def script_ctes(src: str, text: str) -> str:
+    """CTE scr (stxt, slang, sconf): distinct texts most of whose letters are of one language's script."""
+    classes = {"han": r"\p{Han}", "kana": r"\p{Hiragana}\p{Katakana}", "ko": r"\p{Hangul}", "ar": r"\p{Arabic}",
+               "hi": r"\p{Devanagari}", "th": r"\p{Thai}", "ru": r"\p{Cyrillic}", "letters": r"\p{L}\p{M}"}
+    counts = ", ".join(f"length(regexp_replace(txt, '[^{c}]', '', 'g')) AS {k}" for k, c in classes.items())
+    some = "".join(c for k, c in classes.items() if k != "letters")
+    return f"""scn AS (SELECT txt, {counts} FROM (SELECT DISTINCT {text} AS txt FROM {src} WHERE {text} IS NOT NULL)
+        WHERE regexp_matches(txt, '[{some}]')),
+scm AS (SELECT *, greatest(han + kana, ko, ar, hi, th, ru) AS most FROM scn),
+scr AS (SELECT txt AS stxt, least(most / CAST(letters AS DOUBLE), 1) AS sconf,
+               CASE WHEN han + kana >= most THEN CASE WHEN kana >= 0.1 * (han + kana) THEN 'ja' ELSE 'zh' END
+                    WHEN ko = most THEN 'ko' WHEN ar = most THEN 'ar' WHEN hi = most THEN 'hi'
+                    WHEN th = most THEN 'th' ELSE 'ru' END AS slang
+        FROM scm WHERE 2 * most > letters)"""
+
+
 def detect_select(src: str, id_col: str, text: str, blank_expr: str, extra: str = "") -> str:
     pick = "v.vconf IS NOT NULL AND (n.gconf IS NULL OR NOT n.gconf > v.vconf)"
     return f"""SELECT s.{id_col}, {extra}
-  CASE WHEN {blank_expr} THEN 'en' WHEN {pick} THEN v.vlang ELSE coalesce(n.glang, 'en') END AS language,
-  round(CASE WHEN {blank_expr} THEN CAST(0.0 AS DOUBLE) WHEN {pick} THEN v.vconf
+  CASE WHEN {blank_expr} THEN 'en' WHEN slang IS NOT NULL THEN slang
+       WHEN {pick} THEN v.vlang ELSE coalesce(n.glang, 'en') END AS language,
+  round(CASE WHEN {blank_expr} THEN CAST(0.0 AS DOUBLE) WHEN slang IS NOT NULL THEN sconf WHEN {pick} THEN v.vconf
              ELSE coalesce(n.gconf, CAST(0.0 AS DOUBLE)) END, 4) AS language_confidence
-FROM {src} s LEFT JOIN vote v ON s.{id_col} = v.vid LEFT JOIN ng n ON s.{text} = n.txt"""
+FROM {src} s LEFT JOIN vote v ON s.{id_col} = v.vid LEFT JOIN ng n ON s.{text} = n.txt
+LEFT JOIN scr ON s.{text} = scr.stxt"""
 
 
 def detect_ctes(src: str, id_col: str, text: str) -> list[str]:
-    return [words_cte(), vote_ctes(src, id_col, text), builtin_profile_ctes(), ngram_ctes(src, text)]
+    return [words_cte(), vote_ctes(src, id_col, text), builtin_profile_ctes(), ngram_ctes(src, text),
+            script_ctes(src, text)]
 
 
 BLANK_DOC = "(s.text IS NULL OR regexp_matches(s.text, '^[\\t\\n\\x0b\\f\\r \\x1c-\\x1f\\x{85}\\p{Z}]*$'))"
@@ -511,7 +531,7 @@ def _():
 def _():
     return with_(words_cte(), vote_ctes("documents", "doc_id", "text"),
                  profile_ctes(f"SELECT lang AS language, text AS t FROM documents WHERE lang IS NOT NULL AND {FITTED}"),
-                 ngram_ctes("documents", "text")) + \
+                 ngram_ctes("documents", "text"), script_ctes("documents", "text")) + \
         detect_select("documents", "doc_id", "text", BLANK_DOC, FITTED.replace("doc_id", "s.doc_id") + " AS fitted,")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.functions import text as TX
 from ticketflow.operators import urgency as UO
+from ticketflow.sources import fixture_data as D
 from ticketflow.sources import fixtures as FX
 from ticketflow.sources.tables import read_table
 
@@ -405,8 +406,7 @@ def q_function_word_vote_join(spark, sf):
     from ticketflow.operators.language import function_word_vote_join
     words = FX.function_words(spark)
     v = function_word_vote_join(_docs(spark, sf), words.withColumn(
-        "lang_pos", F.when(F.col("language") == "en", 0).when(F.col("language") == "es", 1)
-        .when(F.col("language") == "fr", 2).when(F.col("language") == "de", 3).otherwise(4)),
+        "lang_pos", F.array_position(F.array(*[F.lit(x) for x in D.FUNCTION_WORDS]), F.col("language"))),
         "doc_id", "text")
     return v.select("doc_id", F.col("vote.language").alias("language"),
                     F.col("vote.confidence").alias("confidence"))

@@ -155,8 +155,28 @@ FUNCTION_WORDS = {
     "pt": ["o", "os", "as", "do", "da", "e", "é", "um", "uma", "meu", "minha",
            "com", "não", "em", "no", "na", "pela", "dos", "das", "vocês", "isto",
            "mim"],
+    "it": ["il", "gli", "della", "delle", "dei", "che", "sono", "è", "nel", "nella",
+           "mio", "mia", "anche", "questo", "questa", "perché", "ho", "di", "più",
+           "non", "alla", "essere", "vorrei"],
+    "nl": ["het", "een", "van", "niet", "ik", "mijn", "voor", "zijn", "deze", "naar",
+           "maar", "ook", "aan", "heb", "geen", "hoe", "uw", "wij", "wordt", "kan"],
+    "pl": ["nie", "jest", "się", "że", "jak", "mój", "moje", "dla", "czy", "proszę",
+           "przez", "ale", "są", "jestem", "mam", "który", "którą", "na", "kiedy"],
+    "vi": ["là", "và", "của", "có", "không", "tôi", "cho", "với", "những", "được",
+           "này", "một", "các", "để", "người", "bị", "khi", "đã"],
+    "id": ["yang", "dan", "saya", "tidak", "untuk", "dengan", "ini", "itu", "dari",
+           "pada", "adalah", "akan", "sudah", "bisa", "anda", "karena", "ke"],
+    "tr": ["ve", "bir", "bu", "için", "ile", "değil", "benim", "çok", "ama", "nasıl",
+           "daha", "gibi", "ne", "var", "olarak", "lütfen", "zaman"],
+    "sv": ["och", "är", "jag", "inte", "att", "som", "på", "av", "för", "ett", "till",
+           "mitt", "hur", "vi", "när", "skulle", "ert", "eftersom"],
+    "da": ["og", "er", "jeg", "ikke", "af", "et", "mit", "hvordan", "fra", "hvad",
+           "eller", "når", "også", "blev", "vil", "gerne", "jeres", "fordi"],
 }
 
+# Languages of one script of their own: settled by the script of their letters.
+SCRIPT_LANGUAGES = ["zh", "ja", "ko", "ar", "hi", "th", "ru"]
+
 # Intent lexicon: (label, token, weight).  Own list, five languages.
 INTENT_LEXICON = [
     ("billing", t, w) for t, w in [
@@ -213,3 +233,23 @@ OVERLAP_SAMPLES = {
     "de": "der kleine bildschirm der app zeigt einen fehler und das gerät bleibt stumm",
     "pt": "o painel do aplicativo mostra um erro e o sino da igreja toca tarde",
 }
+
+# Sample texts for the trigram profile of the languages without a phrase table.
+PROFILE_SAMPLES = {
+    "it": "Buongiorno, non riesco ad accedere al mio conto perché la password non funziona più. Vorrei sapere "
+          "quando arriverà il mio ordine e come posso ottenere il rimborso della fattura che ho pagato due volte.",
+    "nl": "Goedemiddag, ik kan niet meer inloggen op mijn rekening omdat het wachtwoord niet werkt. Graag zou ik "
+          "willen weten wanneer mijn bestelling wordt bezorgd en hoe ik het geld van de dubbele factuur terugkrijg.",
+    "pl": "Dzień dobry, nie mogę zalogować się na swoje konto, ponieważ hasło nie działa. Chciałbym wiedzieć, kiedy "
+          "otrzymam zamówienie i jak mogę uzyskać zwrot pieniędzy za fakturę, którą zapłaciłem dwa razy.",
+    "vi": "Xin chào, tôi không thể đăng nhập vào tài khoản của mình vì mật khẩu không hoạt động. Tôi muốn biết khi "
+          "nào đơn hàng được giao và làm thế nào để được hoàn tiền cho hóa đơn đã thanh toán hai lần.",
+    "id": "Selamat siang, saya tidak bisa masuk ke akun saya karena kata sandi tidak berfungsi. Saya ingin tahu kapan "
+          "pesanan akan dikirim dan bagaimana cara mendapatkan pengembalian uang untuk tagihan yang sudah dibayar.",
+    "tr": "Merhaba, şifrem çalışmadığı için hesabıma giriş yapamıyorum. Siparişimin ne zaman teslim edileceğini ve "
+          "iki kez ödediğim fatura için paramı nasıl geri alabileceğimi öğrenmek istiyorum.",
+    "sv": "Hej, jag kan inte logga in på mitt konto eftersom lösenordet inte fungerar längre. Jag skulle vilja veta "
+          "när min beställning kommer och hur jag får tillbaka pengarna för fakturan som jag har betalat två gånger.",
+    "da": "Goddag, jeg kan ikke logge ind på min konto, fordi adgangskoden ikke virker længere. Jeg vil gerne vide, "
+          "hvornår min bestilling bliver leveret, og hvordan jeg får pengene tilbage for den regning.",
+}
