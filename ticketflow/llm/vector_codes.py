@@ -6,8 +6,8 @@ codebook, far from each other, are its fixed pivots.  The distances of every
 vector's parts to the pivots are computed once and stored beside the vectors
 in a table of the shared checkpoint folder.  In each round the pivots'
 distances to the current entries give, by the triangle inequality, a lower
-bound of every part-entry distance; entries are taken in the order of their
-bounds, exact integer squared distances are evaluated in waves, and an entry
+bound of every part-entry distance; entries are taken in waves in the order of
+their bounds, exact integer squared distances are evaluated, and an entry
 whose bound is above the best distance so far is never evaluated.  Bounds are
 32-bit floats with a slack above their rounding error and are only compared
 strictly, so ties and results are those of the full integer search.
@@ -51,7 +51,8 @@ PEAK = 1 << 24           # squared distances of up to 4,096 components fit 64 bi
 BROADCAST_LABELS = 50_000
 SALTS = 32
 ROWS = 2048              # vectors searched at once
-WAVES = (4, 12, 48)      # entries per wave in the order of their bounds; the rest is the last wave
+WAVES = (4, 28)          # entries per wave in the order of their bounds; the rest is the last wave
+PAIRS = 1 << 13          # distances evaluated at once
 SLACK = 4e-7             # above the relative rounding error of 32-bit distances and their difference
 
 
@@ -84,37 +85,38 @@ def nearest(x: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, pivot_ent
     entries' (pivots x entries), both as 32-bit floats.
     """
     n, size = len(x), len(entries)
-    bound = np.zeros((n, size), np.float32)
+    bound, gap = np.zeros((n, size), np.float32), np.empty((n, size), np.float32)
     for p in range(pivot_entry.shape[0]):
-        np.maximum(bound, np.abs(to_pivots[:, p, None] - pivot_entry[p]), out=bound)
+        np.abs(np.subtract(to_pivots[:, p, None], pivot_entry[p], out=gap), out=gap)
+        np.maximum(bound, gap, out=bound)
     slack = SLACK * (to_pivots.max(1, initial=0) + pivot_entry.max(initial=0) + 1)
-    order = np.argsort(bound, axis=1, kind="stable")
-    ranked = np.take_along_axis(bound, order, 1) - slack[:, None].astype(np.float32)
-    best = np.full(n, np.iinfo(np.int64).max)
-    index = np.full(n, size, np.int64)
-    evaluated, begin = 0, 0
-    for wave in (*WAVES, size):
-        end = min(begin + wave, size)
-        if begin >= end:
-            break
-        row, col = np.nonzero(ranked[:, begin:end] <= np.sqrt(best.astype(float))[:, None])
+    bound -= slack[:, None].astype(np.float32)
+    # integers below 2^53 are exact as doubles, whose products are vectorised
+    peak = int(max(np.abs(x).max(initial=0), np.abs(entries).max(initial=0)))
+    exact = np.float64 if 4 * peak * peak * x.shape[1] < 1 << 53 else np.int64
+    none = np.inf if exact is np.float64 else np.iinfo(np.int64).max
+    x, entries = x.astype(exact), entries.astype(exact)
+    best, index = np.full(n, none, exact), np.full(n, size, np.int64)
+    evaluated = 0
+    ends = [e for e in np.cumsum(WAVES).tolist() if e < size] + [size]
+    order = np.argpartition(bound, [e - 1 for e in ends], axis=1)
+    for begin, end in zip([0, *ends], ends):
+        entry = order[:, begin:end]
+        row, col = np.nonzero(np.take_along_axis(bound, entry, 1) <= np.sqrt(best.astype(float))[:, None])
         if not len(row):
             break
-        entry = order[row, begin + col]
-        found = np.full((n, end - begin), np.iinfo(np.int64).max)
-        step = 1 << 16
-        for lo in range(0, len(row), step):
-            r, c = row[lo:lo + step], entry[lo:lo + step]
-            diff = x[r] - entries[c]
-            found[r, col[lo:lo + step]] = np.einsum("ij,ij->i", diff, diff)
+        found = np.full(entry.shape, none, exact)
+        for lo in range(0, len(row), PAIRS):
+            r, c = row[lo:lo + PAIRS], col[lo:lo + PAIRS]
+            diff = x[r] - entries[entry[r, c]]
+            found[r, c] = np.einsum("ij,ij->i", diff, diff)
         evaluated += len(row)
         least = found.min(1)
         # ties to the lower index, within the wave and against the waves before
-        at = np.where(found == least[:, None], order[:, begin:end], size).min(1)
+        at = np.where(found == least[:, None], entry, size).min(1)
         better = (least < best) | ((least == best) & (at < index))
         best, index = np.where(better, least, best), np.where(better, at, index)
-        begin = end
-    return index, best, evaluated
+    return index, best.astype(np.int64), evaluated
 
 
 @dataclass
