@@ -1,5 +1,9 @@
 """Registered queries against their SQL, and the pipeline stage by stage."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +89,35 @@ def test_pipeline_stages(spark, tmp_path):
         assert list(r["ids"]) == model.encode(texts[r["doc_id"]]) + [model.eos_id()] and r["n_tokens"] == len(r["ids"])
 
 
+def test_one_row_stays_of_repeated_and_null_ids(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (3, other), (3, text + " x"), (None, "a b c d e f g"), (None, "a b c d e f g"),
+            (4, None), (4, None), (5, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+    assert len(got) == len(set(got))
+    assert {(1, text), (4, None), (5, None), (None, None), (None, "a b c d e f g")} <= set(got) and (2, text) not in got
+
+
+def test_operators_ship_themselves(tmp_path):
+    """A session started in another folder, without the repository on the workers' path."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(entry.__file__.rsplit('/', 1)[0])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+for name in ("op3_sentencepiece", "op8_secret_scan", "op11_token_counts", "op13_vector_codes"):
+    assert e.queries()[name](spark, {SF!r}).count() > 0
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("done"), out.stderr[-2000:]
+
+
 def test_pipeline_runs_and_takes_an_empty_table(spark, tmp_path):
     empty = str(tmp_path / "empty")
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
