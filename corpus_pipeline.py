@@ -16,6 +16,7 @@ from ticketflow.llm.near_dup import near_duplicates
 from ticketflow.llm.pieces import encode_texts
 from ticketflow.llm.quality import quality_rules
 from ticketflow.llm.secret_scan import secret_spans
+from ticketflow.llm.tables import table
 from ticketflow.session import scratch_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +30,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id in each group of near-duplicates."""
-    return near_duplicates(docs, percent=SIMILAR_PERCENT).where("dedup.kept").select(*COLUMNS)
+    """Keep the document of the smallest doc_id in each group of near-duplicates.
+
+    The similarity asked here (``SIMILAR_PERCENT``) is the one of near-duplicate stages on
+    five-word shingles; ``op5_near_dup`` has a stricter one by its own contract.  Rows that
+    share a doc_id (or have none) and the whole text are one document and leave one row.
+    """
+    kept = near_duplicates(docs, percent=SIMILAR_PERCENT).where("dedup.kept").select(*COLUMNS)
+    repeated = scratch_dir(spark, "pipeline-repeated-ids")
+    docs.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id").write.parquet(repeated)
+    twice = spark.read.parquet(repeated)
+    if twice.isEmpty():
+        return kept
+    # other rows keep a number of their own, so that only rows of repeated ids can meet
+    marked = kept.join(twice.withColumn("__twice", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = F.when(F.col("__twice"), F.md5(F.coalesce("text", F.lit("")))).otherwise(
+        F.monotonically_increasing_id().cast("string"))
+    return marked.withColumn("__one", own).dropDuplicates(["doc_id", "__one"]).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
