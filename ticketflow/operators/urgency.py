@@ -1,11 +1,10 @@
 """Urgency scoring over DataFrames.
 
-``score_urgency`` evaluates the fixed rule set in-row (literal array +
-``filter``), which needs no join and no shuffle.  ``urgency_rule_hits`` is the
-long form of the same match for user rule tables of any size: a theta join
-``contains(lower(text), keyword)`` against the rule table.  A rule table
-whose row count is within ``broadcast_rule_limit`` is broadcast; a larger
-one is joined by the planner's choice.
+``score_urgency`` evaluates a small rule set in-row (literal array), a longer
+one with an Aho-Corasick automaton (``rule_automaton``); neither needs a join
+or a shuffle.  ``urgency_rule_hits`` is the long form of the same match for
+user rule tables: the automaton's hits, exploded, up to its size limit, and an
+equi-join on keyword prefixes beyond it.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ticketflow import config as C
 from ticketflow.functions import urgency as U
+from ticketflow.operators import rule_automaton as A
+
 
 def score_urgency(df: DataFrame, text_col: str = "text", language_col: str = "language",
                   confidence_col: str | None = "confidence", ml_score=None,
@@ -23,7 +24,11 @@ def score_urgency(df: DataFrame, text_col: str = "text", language_col: str = "la
     """Adds urgency, urgency_score, rules_triggered, should_escalate, urgency_reason."""
     conf = F.col(confidence_col) if confidence_col else F.lit(0.0)
     out = df.withColumn("_low", F.lower(F.col(text_col)))
-    out = out.withColumn("rules_triggered", U.urgency_rules("_low", language_col, rules, lowered=True))
+    if rules is not None and len(rules) > A.IN_ROW_RULES:
+        hits = A.triggered_rules(df.sparkSession, F.col("_low"), F.col(language_col), rules)
+    else:
+        hits = U.urgency_rules("_low", language_col, rules, lowered=True)
+    out = out.withColumn("rules_triggered", hits)
     out = out.withColumn("_rule", U.urgency_rule_score("rules_triggered"))
     out = out.withColumn("_raw", U.combined_score(
         "_rule", U.urgency_ml_score(text_col, ml_score),
@@ -46,8 +51,28 @@ def urgency_rule_hits(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id"
     """Long form: one row per (ticket, rule) hit.
 
     ``rules`` has columns (rule_order, level, keyword, language); a null rule
-    language applies to every ticket.  The match is a substring test.  Its
-    candidates are an equi-join: the distinct substrings of a text that are as
+    language applies to every ticket.  The match is a substring test: one pass
+    of the automaton per text, and one row per hit.
+    """
+    r = rules.where(F.length("keyword") > 0)
+    if not A.small_enough(r):
+        return urgency_rule_hits_join(df, rules, id_col, text_col, language_col)
+    rows = [tuple(x) for x in r.select("rule_order", "level", "keyword", "language").collect()]
+    places = A.matched_rules(df.sparkSession, F.lower(F.col(text_col)), F.col(language_col), [(x[2], x[3]) for x in rows])
+    order = dict(r.dtypes)["rule_order"]
+    table = df.sparkSession.createDataFrame(
+        [(i, x[0], x[1], x[2], x[3], A.rule_id(*x[1:])) for i, x in enumerate(rows)],
+        f"_place int, rule_order {order}, level string, keyword string, rule_language string, rule_id string")
+    hit = df.select(id_col, F.explode(places).alias("_place"))
+    # the same rules were just sent to the workers: their size is checked
+    return hit.join(F.broadcast(table), "_place").drop("_place")
+
+
+def urgency_rule_hits_join(df: DataFrame, rules: DataFrame, id_col: str = "ticket_id",
+                           text_col: str = "text", language_col: str = "language") -> DataFrame:
+    """``urgency_rule_hits`` for rule tables too large for every worker.
+
+    Candidates are an equi-join: the distinct substrings of a text that are as
     long as a keyword's prefix (``PREFIX`` characters, fewer for shorter
     keywords) meet the keywords with that prefix, and only those are tested.
     """
