@@ -5,9 +5,9 @@ rounded primary confidence) -> select template -> render reply.
 
 Row-level stages are column expressions (those with lambdas or ``reflect`` are
 evaluated outside codegen); the template stage adds two broadcast joins against
-a dimension bounded by the template files; the trigram backend adds an explode,
-a join and a partial aggregate over the distinct texts whose function-word vote
-is not unanimous.  Nothing is collected; a batch of one ticket is a
+a dimension bounded by the template files; the language decision is one Arrow
+evaluation.  Intents come from the lexicon, from a learned ``IntentModel`` or
+from a user's model (``intent_model``).  Nothing is collected; a batch of one ticket is a
 one-row DataFrame.  A blank cleaned text gets the fallback language, null
 intent fields and the review flag (the lexical scorer has nothing to score).
 """
@@ -21,6 +21,7 @@ from ticketflow.config import Settings
 from ticketflow.functions.text import clean_text
 from ticketflow.operators.intents import model_intent_scores, rank_intents, score_intents
 from ticketflow.operators.language import detect_language
+from ticketflow.operators.learned_intents import IntentModel
 from ticketflow.operators.templates import read_template_files, render_reply, select_template
 from ticketflow.operators.urgency import score_urgency
 
@@ -45,7 +46,9 @@ def enrich_tickets(df: DataFrame, text_col: str = "text", id_col: str = "ticket_
     x = df.withColumn("cleaned_text", clean_text(text_col, settings.max_length))
     x = x.withColumn("_low", F.lower(F.col("cleaned_text")))
     x = detect_language(x, "cleaned_text", profile, settings.fallback_language, lowered_col="_low")
-    if intent_model is None:
+    if isinstance(intent_model, IntentModel):
+        x = intent_model.score(x, "cleaned_text", "intent_scores", lexicon)
+    elif intent_model is None:
         x = score_intents(x, "cleaned_text", "intent_scores", lexicon, settings.intent_categories,
                           lowered_col="_low")
     else:

@@ -814,6 +814,26 @@ def q_urgency_config(spark, sf):
                     F.array_join("rules_triggered", ",").alias("rules_triggered"))
 
 
+@register("intent_model_eval")
+def q_intent_model_eval(spark, sf):
+    """Learned intent scorer on texts that neither its regression nor its calibration saw,
+    beside the lexicon on the same texts: accuracy and calibration error per language."""
+    from ticketflow.operators import learned_intents as L
+    from ticketflow.operators.intents import score_intents
+    from ticketflow.session import materialize
+    t = FX.tickets(spark, sf).select("ticket_id", "text", F.col("true_intent").alias("intent"), F.col("true_language").alias("language"))
+    model = L.fit_intents(t)
+    unseen = materialize(t.where(L.fold(F.col("text")).isin(list(L.HELD_OUT))))
+    learned = L.calibration_by(model.score(unseen, "text"), "intent", "language")
+    lexical = L.calibration_by(score_intents(unseen, "text"), "intent", "language").select(
+        F.col("language").alias("_l"), F.col("accuracy").alias("lexicon_accuracy"),
+        F.col("calibration_error").alias("lexicon_calibration_error"))
+    digits = lambda c: F.round(c, 4).alias(c)
+    return learned.join(lexical, F.col("language").eqNullSafe(F.col("_l"))).select(
+        "language", "n", *map(digits, ("accuracy", "mean_confidence", "calibration_error", "lexicon_accuracy",
+                                       "lexicon_calibration_error")))
+
+
 # ---------------------------------------------------------------- 2.10 streaming
 
 @register("stream_enrich")
