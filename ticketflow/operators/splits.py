@@ -1,4 +1,4 @@
-"""Stratified train / validation / test split, class counts, first-n per group.
+"""Stratified train / validation / test split (of rows or of whole groups), class counts, first-n per group.
 
 The ratios must sum to one within a hundredth.  The split is stratified on
 ``stratify_col`` unless that column is missing or one of its classes has fewer
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.operators.ranking import first_per_group, range_rank
@@ -86,3 +86,73 @@ def stratified_split(df: DataFrame, id_col: str, train_ratio: float = 0.7, val_r
 def head_per_group(df: DataFrame, group_col: str, order_cols: list[str], n: int) -> DataFrame:
     """First ``n`` rows per group by an explicit order; a null group is a group."""
     return first_per_group(df, [group_col], order_cols, n)
+
+
+# ---------------------------------------------------------------- whole groups
+
+BUCKET_BITS = 12        # a stratum's running sums are split over this many hash buckets
+
+
+def near_text_key(text: Column) -> Column:
+    """Key that texts share which differ only in case, punctuation, white space or numbers."""
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return F.md5(F.trim(F.regexp_replace(words, "[0-9]+", "0")))
+
+
+def grouped_split(df: DataFrame, group: Column, train_ratio: float = 0.7, val_ratio: float = 0.15,
+                  test_ratio: float = 0.15, stratify_col: str | None = "intent", random_state: int = 42) -> DataFrame:
+    """Adds ``split`` in (train, val, test); rows of one group are always on one side.
+
+    A group's stratum is its most frequent class (ties: the smallest, null last).  Inside a stratum
+    groups lie on a line in the order of a seeded hash, each as long as its rows, and go where
+    their middle falls.  A group longer than half of the smallest share cannot hit a target; such
+    groups go to train and the line holds the others, cut so that train has its share with them.
+
+    Bound: in every stratum val and test, and train if its large groups do not exceed
+    its share, differ from their share by at most half of the smallest share (that of the longest
+    group on the line); large groups beyond train's share leave val and test the rest in proportion.
+
+    The line's running sums go through hash buckets, so a stratum of many groups is many tasks; rows meet
+    their group's split in a join that adaptive execution splits where one group holds many rows.
+    Null ``stratify_col`` values are a class; null groups are one group.
+    """
+    shares = {"train": train_ratio, "val": val_ratio, "test": test_ratio}
+    if not math.isclose(sum(shares.values()), 1.0, abs_tol=RATIO_TOLERANCE):
+        raise ValueError(f"the shares {shares} do not add up to one")
+    strat = F.col(stratify_col) if stratify_col in df.columns else F.lit(None).cast("string")
+    per_class = df.select(group.alias("_key"), strat.alias("_class")).groupBy("_key", "_class").agg(
+        F.count(F.lit(1)).alias("_n"))
+    first = F.struct((-F.col("_n")).alias("n"), F.col("_class").isNull().alias("none"), F.col("_class").alias("class"))
+    groups = per_class.groupBy("_key").agg(F.sum("_n").alias("_rows"), F.min(first)["class"].alias("_class"))
+    text = F.concat_ws("|", F.coalesce(F.col("_key").cast("string"), F.lit("\0")), F.lit(str(random_state)))
+    groups = groups.withColumn("_h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+    groups = _written(groups.withColumn("_bucket", F.shiftright("_h", 60 - BUCKET_BITS)), "split-groups")
+    totals = groups.groupBy("_class").agg(F.sum("_rows").alias("_total"))
+    least = min((r for r in shares.values() if r > 0), default=1.0)
+    sized = groups.join(totals.withColumnRenamed("_class", "_c"), F.col("_class").eqNullSafe(F.col("_c"))).drop("_c")
+    large = F.col("_rows") > F.lit(0.5 * least) * F.col("_total")
+    sized = sized.withColumn("_large", large).withColumn("_line", F.when(large, 0).otherwise(F.col("_rows")))
+    buckets = sized.groupBy("_class", "_bucket", "_total").agg(F.sum("_line").alias("_sum"))
+    before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(
+        F.col("_class").alias("_c"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
+        F.sum("_sum").over(Window.partitionBy("_class")).alias("_length"))
+    placed = sized.join(buckets, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_b")))
+    here = Window.partitionBy("_class", "_bucket").orderBy("_h", "_key")
+    middle = F.col("_start") + F.sum("_line").over(here) - F.col("_line") / 2
+    train = F.greatest(F.lit(train_ratio) * F.col("_total") - (F.col("_total") - F.col("_length")), F.lit(0.0))
+    rest = val_ratio + test_ratio
+    val = train + (F.col("_length") - train) * F.lit(val_ratio / rest if rest else 0.0)
+    split = F.when(F.col("_large"), F.lit("train")).when(F.col("_middle") < train, F.lit("train")).when(
+        F.col("_middle") < val, F.lit("val")).otherwise(F.lit("test" if test_ratio > 0 else "val" if val_ratio > 0 else "train"))
+    sides = placed.withColumn("_middle", middle).select(F.col("_key").alias("_side_key"), split.alias("split"))
+    rows = df.drop("split").withColumn("_key", group)
+    return rows.join(sides, F.col("_key").eqNullSafe(F.col("_side_key"))).drop("_key", "_side_key")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    from ticketflow.session import scratch_dir
+
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

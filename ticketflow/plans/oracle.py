@@ -755,6 +755,26 @@ def _():
     return SQL["stratified_split"]
 
 
+@sql("grouped_split")
+def _():
+    key = "md5(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), '[0-9]+', '0', 'g')))"
+    return f"""WITH k AS (SELECT doc_id, lang, {key} AS key FROM documents),
+pc AS (SELECT key, lang, count(*) AS n FROM k GROUP BY key, lang),
+g AS (SELECT key, lang, CAST(sum(n) OVER (PARTITION BY key) AS BIGINT) AS size FROM pc
+      QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, lang NULLS LAST) = 1),
+s AS (SELECT *, CAST('0x' || substr(md5(key || '|7'), 1, 15) AS BIGINT) AS h,
+             CAST(sum(size) OVER (PARTITION BY lang) AS BIGINT) AS total FROM g),
+l AS (SELECT *, size > CAST(0.05 AS DOUBLE) * total AS large,
+             CASE WHEN size > CAST(0.05 AS DOUBLE) * total THEN 0 ELSE size END AS line FROM s),
+m AS (SELECT *, CAST(sum(line) OVER (PARTITION BY lang) AS BIGINT) AS length,
+             sum(line) OVER (PARTITION BY lang ORDER BY h, key ROWS UNBOUNDED PRECEDING) - line / CAST(2 AS DOUBLE) AS middle FROM l),
+t AS (SELECT *, greatest(CAST(0.8 AS DOUBLE) * total - (total - length), CAST(0 AS DOUBLE)) AS train FROM m),
+side AS (SELECT key, CASE WHEN large OR middle < train THEN 'train'
+                          WHEN middle < train + (length - train) * (CAST(0.1 AS DOUBLE) / (CAST(0.1 AS DOUBLE) + CAST(0.1 AS DOUBLE)))
+                          THEN 'val' ELSE 'test' END AS split FROM t)
+SELECT doc_id, split FROM k JOIN side ON side.key = k.key"""
+
+
 @sql("split_by_language")
 def _():
     return split_sql("documents", "doc_id", "lang", 0.8, 0.1, 0.1, 7, "doc_id")

@@ -572,6 +572,13 @@ def q_stratified_split(spark, sf):
     return stratified_split(t, "event_id", stratify_col="true_intent").select("ticket_id", "split")
 
 
+@register("grouped_split")
+def q_grouped_split(spark, sf):
+    """Documents split by whole groups of equal or near-equal texts, stratified by language."""
+    from ticketflow.operators.splits import grouped_split, near_text_key
+    return grouped_split(_docs(spark, sf), near_text_key(F.col("text")), 0.8, 0.1, 0.1, "lang", 7).select("doc_id", "split")
+
+
 @register("split_by_language")
 def q_split_by_language(spark, sf):
     from ticketflow.operators.splits import stratified_split
