@@ -821,6 +821,24 @@ def q_urgency_config(spark, sf):
                     F.array_join("rules_triggered", ",").alias("rules_triggered"))
 
 
+def _phrase_augmented(spark, sf):
+    from ticketflow.operators.phrases import augment_with_phrases
+    pairs = spark.createDataFrame(D.phrase_pairs(), "source_text string, target_language string, text string")
+    return augment_with_phrases(_english_tickets(spark, sf), pairs, "event_id")
+
+
+@register("augment_phrases")
+def q_augment_phrases(spark, sf):
+    """The English head translated by phrases; texts with too many unknown words stay under their language."""
+    return _phrase_augmented(spark, sf).select("event_id", "target_language", "language", "text", "translated", "n_gaps")
+
+
+@register("phrase_gaps")
+def q_phrase_gaps(spark, sf):
+    from ticketflow.operators.phrases import phrase_gaps
+    return phrase_gaps(_phrase_augmented(spark, sf))
+
+
 @register("intent_model_eval")
 def q_intent_model_eval(spark, sf):
     """Learned intent scorer on texts that neither its regression nor its calibration saw,

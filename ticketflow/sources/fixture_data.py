@@ -253,3 +253,38 @@ PROFILE_SAMPLES = {
     "da": "Goddag, jeg kan ikke logge ind på min konto, fordi adgangskoden ikke virker længere. Jeg vil gerne vide, "
           "hvornår min bestilling bliver leveret, og hvordan jeg får pengene tilbage for den regning.",
 }
+
+# Short phrases for the phrase translator: English, then es, fr, de, pt.
+PHRASES = [
+    ("check", "revise", "vérifiez", "prüfen Sie", "verifique"),
+    ("for details", "para más detalles", "pour plus de détails", "für Einzelheiten", "para mais detalhes"),
+    ("and", "y", "et", "und", "e"),
+    ("write to", "escriba a", "écrivez à", "schreiben Sie an", "escreva para"),
+    ("it is", "es", "c'est", "es ist", "é"),
+    ("it is urgent", "es urgente", "c'est urgent", "es ist dringend", "é urgente"),
+    ("i was billed", "me cobraron", "on m'a facturé", "mir wurde berechnet", "fui cobrado"),
+    ("more than", "más que", "plus que", "mehr als", "mais do que"),
+    ("last month", "el mes pasado", "le mois dernier", "im letzten Monat", "no mês passado"),
+    ("need a fix", "necesito una solución", "j'ai besoin d'une solution", "brauche eine Lösung", "preciso de uma solução"),
+    ("here", "aquí", "ici", "hier", "aqui"),
+    ("please", "por favor", "s'il vous plaît", "bitte", "por favor"),
+    ("help", "ayuda", "aide", "Hilfe", "ajuda"),
+    ("with", "con", "avec", "mit", "com"),
+    ("the error", "el error", "l'erreur", "dem Fehler", "o erro"),
+    ("too many", "demasiados", "trop de", "zu viele", "demasiados"),
+    ("spaces", "espacios", "espaces", "Leerzeichen", "espaços"),
+    ("emergency", "emergencia", "urgence", "Notfall", "emergência"),
+    ("everything", "todo", "tout", "alles", "tudo"),
+    ("is broken", "está roto", "est cassé", "ist kaputt", "está quebrado"),
+    ("my order history page", "mi página de pedidos", "ma page de commandes", "meine Bestellübersicht", "minha página de pedidos"),
+    ("is slow", "es lenta", "est lente", "ist langsam", "está lenta"),
+    ("the export button", "el botón de exportar", "le bouton d'export", "der Exportknopf", "o botão de exportar"),
+    ("does nothing", "no hace nada", "ne fait rien", "tut nichts", "não faz nada"),
+    ("after i pick", "después de elegir", "après avoir choisi", "nachdem ich wähle", "depois de escolher"),
+    ("a date range", "un rango de fechas", "une période", "einen Zeitraum", "um intervalo de datas"),
+]
+
+
+def phrase_pairs() -> list[tuple]:
+    """(source_text, target_language, text) of the short phrases and the parallel sentences."""
+    return [(p[0], lang, p[1 + i]) for p in PHRASES for i, lang in enumerate(LANGS[1:])] + translation_rows()
