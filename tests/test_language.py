@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ticketflow import config as C
 from ticketflow.operators import gram_vectors as GV
-from ticketflow.operators.language import (builtin_profile, detect_language, fit_ngram_profile, score_ngram_profile,
-                                           score_ngram_profile_join, script_language, trigrams)
+from ticketflow.operators.language import (builtin_profile, detect_language, fit_ngram_profile, function_word_hits,
+                                           score_ngram_profile, score_ngram_profile_join, script_language, trigrams)
 from ticketflow.sources import fixture_data as D
 
 # one sentence per language, not in the package's word lists or samples
@@ -88,6 +88,15 @@ def test_block_grams_equal_the_column_expression(spark):
     assert known[:, 0].tolist() == [bool(g) for g in want]
 
 
+def test_word_counts_equal_the_column_expression(spark):
+    texts = [t for t in _texts(80) if t is not None] + list(SENTENCES.values()) + ["the", "the-the the1 1 the_x théâtre", "и the и"]
+    words = {**D.FUNCTION_WORDS, "xx": ["the", "x1y", "tİx", "is"], "none": []}
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(
+        "i", F.lower("t").alias("t"), function_word_hits(F.lower("t"), words).alias("h")).orderBy("i").collect()
+    assert GV.WordTable(words).count([r["t"] for r in rows]).tolist() == [list(r["h"]) for r in rows]
+    assert GV.WordTable({"a": []}).count(["x"]).tolist() == [[0]]
+
+
 def test_hash_array_finds_every_gram_and_no_other():
     rnd = np.random.default_rng(5)
     codes = np.unique(rnd.integers(32, 40_000, (20_000, 3)), axis=0).astype(np.uint64)

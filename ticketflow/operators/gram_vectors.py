@@ -75,8 +75,8 @@ def gram_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((a << np.uint64(42)) | (b << np.uint64(21)) | c) * _MULTIPLIER
 
 
-class _Letters:
-    """Which code points are letters; categories are looked up once per process."""
+class _Kinds:
+    """1 letter, 2 number, 0 other, per code point; categories are looked up once per process."""
 
     def __init__(self):
         self.kind = np.full(0x110000, -1, np.int8)
@@ -85,12 +85,71 @@ class _Letters:
         kind = self.kind[codes]
         if (kind < 0).any():
             for c in np.unique(codes[kind < 0]).tolist():
-                self.kind[c] = unicodedata.category(chr(c))[0] == "L"
+                self.kind[c] = {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 0)
             kind = self.kind[codes]
-        return kind == 1
+        return kind
 
 
-_letters = _Letters()
+_kinds = _Kinds()
+
+
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the texts, one edge character before and after each; sizes with edges)."""
+    codes = np.frombuffer("".join(_EDGE + t + _EDGE for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return codes, np.array([len(t) + 2 for t in texts])
+
+
+class WordTable:
+    """Function words with the languages that list them."""
+
+    def __init__(self, words: dict[str, list[str]]):
+        self.names = list(words)
+        distinct = sorted({w for ws in words.values() for w in ws if w})
+        self.size = np.array([len(w) for w in distinct], np.int64)
+        self.longest = int(self.size.max(initial=0))
+        self.codes = np.zeros((len(distinct), max(self.longest, 1)), np.int64)
+        for i, w in enumerate(distinct):
+            self.codes[i, :len(w)] = [ord(c) for c in w]
+        votes = np.array([[w in ws for ws in map(set, words.values())] for w in distinct], np.int64)
+        self.votes = votes.reshape(len(distinct), len(self.names))
+        keys = self._keys(self.codes, self.size)
+        order = np.argsort(keys)
+        self.keys, self.size, self.codes, self.votes = keys[order], self.size[order], self.codes[order], self.votes[order]
+
+    def _keys(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """64-bit keys of words given as rows of code points."""
+        key = size.astype(np.uint64)
+        for j in range(codes.shape[1]):
+            key = np.where(j < size, key * _MULTIPLIER + codes[:, j].astype(np.uint64), key)
+        return key
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """(texts x languages) number of words (runs of letters and numbers) that a language lists."""
+        out = np.zeros((len(texts), len(self.names)), np.int64)
+        if not len(self.keys):
+            return out
+        codes, size = _code_points(texts)
+        inside = _kinds(codes) > 0
+        start = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        end = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        short = end - start <= self.longest
+        start, end = start[short], end[short]
+        # edges follow every text, so places past a word's end exist
+        rows = codes[np.minimum(start[:, None] + np.arange(self.longest), len(codes) - 1)]
+        length = end - start
+        key = self._keys(rows, length)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == key)
+        at, length, rows = at[hit], length[hit], rows[hit]
+        # equal keys are compared letter by letter
+        inside = np.arange(self.longest) < length[:, None]
+        same = (self.size[at] == length) & ((rows == self.codes[at]) | ~inside).all(1)
+        hit, at = hit[same], at[same]
+        if len(hit):
+            text = np.searchsorted(np.cumsum(size), start[hit], "right")
+            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            out[text[first]] = np.add.reduceat(self.votes[at], first)
+        return out
 
 
 def block_scores(texts: list[str], table: GramTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +158,8 @@ def block_scores(texts: list[str], table: GramTable) -> tuple[np.ndarray, np.nda
     Grams are those of ``operators.language.trigrams``: every run of characters
     that are not letters is one space, and a text begins and ends with one.
     """
-    size = np.array([len(t) + 2 for t in texts])
-    codes = np.frombuffer("".join(_EDGE + t + _EDGE for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-    letter = _letters(codes)
+    codes, size = _code_points(texts)
+    letter = _kinds(codes) == 1
     # of a run of others the last one before a word stays, and the last one of the text
     keep = letter.copy()
     keep[:-1] |= letter[1:]
@@ -164,51 +222,65 @@ def gram_vote(spark: SparkSession, lowered: Column, table: GramTable) -> Column:
     return vote(lowered)
 
 
-def choose_languages(lowered: list[str | None], hits: list, settled: list[str | None], share: list[float],
-                     names: list[str], table: GramTable, fallback: str) -> pd.DataFrame:
+def _groups(texts: list[str], rows: np.ndarray):
+    """Parts of ``rows`` whose texts have about BLOCK_CHARS characters together."""
+    group, size = [], 0
+    for i in rows.tolist():
+        group.append(i)
+        size += len(texts[i]) + 2
+        if size >= BLOCK_CHARS:
+            yield np.array(group)
+            group, size = [], 0
+    if group:
+        yield np.array(group)
+
+
+def choose_languages(lowered: list[str | None], settled: list[str | None], share: list[float],
+                     words: WordTable, table: GramTable, fallback: str) -> pd.DataFrame:
     """(language, confidence) of each text from its script, its function words and its trigrams.
 
-    A settled script decides; else the language with most ``hits`` (first of equals), unless the
-    trigrams are more confident; texts that are null or without any evidence get (fallback, 0).
+    A settled script decides; else the language with most function words (first of equals), unless
+    the trigrams are more confident; texts that are null or without any evidence get (fallback, 0).
     """
     n = len(lowered)
     language, confidence = np.full(n, fallback, object), np.zeros(n)
-    script = np.array([x is not None for x in settled])
+    script = np.array([x is not None for x in settled], bool)
     language[script] = np.array(settled, object)[script]
     confidence[script] = np.array(share, float)[script]
-    texts = np.flatnonzero(~script & np.array([t is not None for t in lowered]))
-    if not len(texts):
-        return pd.DataFrame({"language": language, "confidence": confidence})
-    votes = np.array([hits[i] for i in texts], np.int64).reshape(len(texts), len(names))
-    total, most = votes.sum(1), votes.max(1)
-    voted = total > 0
-    language[texts[voted]] = np.array(names, object)[votes[voted].argmax(1)]
-    confidence[texts[voted]] = most[voted] / total[voted]
-    # the vote wins ties, so a unanimous one is not asked again
-    open_ = texts[~voted | (most < total)]
-    found = score_texts([lowered[i] for i in open_], table)
-    better = found["language"].notna().to_numpy() & (
-        (found["confidence"].to_numpy() > confidence[open_]) | ~np.isin(open_, texts[voted]))
-    language[open_[better]] = found["language"].to_numpy()[better]
-    confidence[open_[better]] = found["confidence"].to_numpy()[better]
+    names = np.array(words.names, object)
+    for rows in _groups(lowered, np.flatnonzero(~script & np.array([t is not None for t in lowered], bool))):
+        votes = words.count([lowered[i] for i in rows])
+        total, most = votes.sum(1), votes.max(1, initial=0)
+        voted = total > 0
+        language[rows[voted]] = names[votes[voted].argmax(1)] if voted.any() else None
+        confidence[rows[voted]] = most[voted] / total[voted]
+        # the vote wins ties, so a unanimous one is not asked again
+        ask = ~voted | (most < total)
+        if not ask.any():
+            continue
+        open_ = rows[ask]
+        scores, known, _ = block_scores([lowered[i] for i in open_], table)
+        found, sure = _best(scores, known, table)
+        better = known.any(1) & (~voted[ask] | (sure > confidence[open_]))
+        language[open_[better]] = found[better]
+        confidence[open_[better]] = sure[better]
     return pd.DataFrame({"language": language, "confidence": confidence})
 
 
-def language_choice(spark: SparkSession, lowered: Column, hits: Column, script: Column, names: list[str],
+def language_choice(spark: SparkSession, lowered: Column, script: Column, words: dict[str, list[str]],
                     table: GramTable, fallback: str) -> Column:
     """struct(language, confidence) of ``choose_languages``; each argument is referred to once,
     so plans that use the language often do not repeat the expressions behind it."""
     ship_package(spark)
-    sent = spark.sparkContext.broadcast(table)
-    names = list(names)
+    sent = spark.sparkContext.broadcast((WordTable(words), table))
 
     @F.pandas_udf("language string, confidence double")
-    def choose(lowered: pd.Series, hits: pd.Series, script: pd.DataFrame) -> pd.DataFrame:
+    def choose(lowered: pd.Series, script: pd.DataFrame) -> pd.DataFrame:
         texts = [None if pd.isna(t) else t for t in lowered]
         settled = [None if pd.isna(x) else x for x in script["language"]]
-        return choose_languages(texts, hits.tolist(), settled, script["confidence"].tolist(), names, sent.value, fallback)
+        return choose_languages(texts, settled, script["confidence"].tolist(), *sent.value, fallback)
 
-    return choose(lowered, hits, script)
+    return choose(lowered, script)
 
 
 # ---------------------------------------------------------------- tables

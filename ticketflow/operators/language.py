@@ -240,13 +240,14 @@ def detect_language(df: DataFrame, text_col: str = "cleaned_text", profile: Data
     words = words or D.FUNCTION_WORDS
     out = df if lowered_col else df.withColumn("_low", F.lower(F.col(text_col)))
     low = F.col(lowered_col or "_low")
-    out = out.withColumn("_hits", function_word_hits(low, words)).withColumn("_script", script_language(text_col))
+    out = out.withColumn("_script", script_language(text_col))
     table = GV.builtin_table() if profile is None else GV.profile_table(profile)
     if table is not None:
         # blank texts have no script and are not asked: they get the fallback
         found = out.withColumn("_lang", GV.language_choice(
-            spark, F.when(~is_blank(F.col(text_col)), low), F.col("_hits"), F.col("_script"), list(words), table, fallback))
+            spark, F.when(~is_blank(F.col(text_col)), low), F.col("_script"), words, table, fallback))
     else:
+        out = out.withColumn("_hits", function_word_hits(low, words))
         out = out.withColumn("_vote", vote_from_hits("_hits", words)).withColumn("_key", F.md5(F.col(text_col)))
         open_rows = (~is_blank(F.col(text_col)) & F.col("_script").isNull()
                      & F.coalesce(F.col("_vote.confidence") < 1.0, F.lit(True)))
