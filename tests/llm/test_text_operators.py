@@ -263,3 +263,16 @@ def test_verdicts(spark):
     assert not verdict(max_covered=0.5, longest_share=0.2)["kept"]
     assert verdict(max_covered=0.5, longest_share=0.2, max_longest=150)["kept"]
     assert quality_rules(df.limit(0)).count() == 0
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    from ticketflow.llm import blocks
+
+    dropped = []
+    blocks.worker_of("one", lambda: dropped.append(1))
+    blocks.worker_of("one", lambda: dropped.append(2))
+    assert not dropped
+    blocks.worker_of("two")
+    blocks.worker_of("three")
+    blocks.worker_of("one")
+    assert dropped == [2]

@@ -8,7 +8,9 @@ peak memory follows the block (or the longest single text), not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_holder: tuple[str, Callable | None] | None = None
+
+
+def worker_of(operator: str, release: Callable | None = None) -> None:
+    """Says whose task a Python worker begins, and how to drop what that operator keeps.
+
+    Workers outlive stages.  What another operator kept between its own tasks
+    is dropped first and its memory goes back to the system.
+    """
+    global _holder
+    before, _holder = _holder, (operator, release)
+    if before and before[0] != operator:
+        if before[1]:
+            before[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:      # another C library: nothing to ask for
+            pass
+
+
 def _power_table(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, grown on demand."""
     table = _powers.get(base)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketflow.llm.blocks import U64, Block, mix, text_blocks, window_hashes
+from ticketflow.llm.blocks import U64, Block, mix, text_blocks, window_hashes, worker_of
 from ticketflow.session import materialize
 
 SHINGLE = 5
@@ -113,6 +113,7 @@ def _binary(rows: np.ndarray) -> list[bytes]:
 
 def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, text_hash) -> (doc_id, text_hash, n_shingles, cls)."""
+    worker_of("near_dup")
     for batch in batches:
         for block in text_blocks(batch.column(1)):
             h, edges = shingle_sets(block)
@@ -130,6 +131,7 @@ def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(at, text) -> (at, cls, sig, size) of the texts that have shingles."""
+    worker_of("near_dup")
     for batch in batches:
         for block in text_blocks(batch.column(1)):
             h, edges = shingle_sets(block)
@@ -337,6 +339,7 @@ def _tie(least: int):
     """(key, node, sig) sorted by key -> spanning stars of the classes whose
     signatures agree on at least ``least`` minima."""
     def pairs(batches):
+        worker_of("near_dup")
         for run in _runs(batches):
             if run.num_rows < 2:
                 continue
@@ -352,6 +355,7 @@ def _tie(least: int):
 def _confirm(percent: int):
     """(key, node, shingles) sorted by key -> spanning stars of the exact links."""
     def pairs(batches):
+        worker_of("near_dup")
         for run in _runs(batches):
             if run.num_rows < 2:
                 continue

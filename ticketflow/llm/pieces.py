@@ -10,7 +10,8 @@ its marked words' ids joined back by position.
 The table of distinct chunks belongs to one Python worker and is bounded
 (``TABLE_ENTRIES`` chunks of at most ``CHUNK_CHARS`` characters; then it
 starts anew; longer chunks are segmented each time they occur), so there is no shuffle
-and a lost executor only repeats its own tasks.
+and a lost executor only repeats its own tasks.  A worker that goes on with another
+operator drops the table (``blocks.worker_of``).
 
 Defined results: a null text counts as empty; an empty text has the end id
 alone and decodes to ''; repeated rows give repeated results; other columns
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketflow.llm.blocks import worker_of
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 TABLE_ENTRIES = 400_000
@@ -141,6 +144,7 @@ def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     schema = T.StructType([*source.select(*keep).schema.fields, *(T.StructField(o, kinds[o]) for o in outputs)])
 
     def run(batches):
+        worker_of("pieces", table_of.cache_clear)
         table = table_of(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]

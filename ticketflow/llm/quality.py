@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketflow.llm.blocks import U64, mix, text_blocks, window_hashes
+from ticketflow.llm.blocks import U64, mix, text_blocks, window_hashes, worker_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -196,6 +196,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules: RepeatRules = Repeat
 
     @F.arrow_udf(schema)
     def measured(texts: pa.Array) -> pa.Array:
+        worker_of("quality")
         found = measure(texts, rules)
         return pa.StructArray.from_arrays([pa.array(found[m]) for m in MEASURES], names=MEASURES)
 
