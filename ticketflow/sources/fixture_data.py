@@ -14,11 +14,11 @@ LANGS = ["en", "es", "fr", "de", "pt"]
 # (concept_id, intent, urgency, {lang: text})
 CONCEPTS = [
     (1, "billing", "high", {
-        "en": "I was charged twice this month, please help me get a refund",
-        "es": "Me cobraron dos veces este mes, necesito ayuda con el reembolso",
-        "fr": "On m'a facturé deux fois ce mois, j'ai besoin d'aide pour le remboursement",
-        "de": "Mir wurde diesen Monat doppelt berechnet, bitte um Hilfe bei der Erstattung",
-        "pt": "Fui cobrado duas vezes este mês, preciso de ajuda com o reembolso",
+        "en": "The same payment left my card two times, please help me with the refund",
+        "es": "El mismo pago salió dos veces de mi tarjeta, necesito ayuda con el reembolso",
+        "fr": "Le même paiement a quitté ma carte deux fois, j'ai besoin d'aide pour le remboursement",
+        "de": "Dieselbe Zahlung ging zweimal von meiner Karte ab, bitte um Hilfe bei der Erstattung",
+        "pt": "O mesmo pagamento saiu duas vezes do meu cartão, preciso de ajuda com o reembolso",
     }),
     (2, "billing", "low", {
         "en": "Can I get a copy of my latest invoice for the last payment?",
