@@ -76,6 +76,7 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
     whole = Window.partitionBy("file").orderBy("block")
     blocks = blocks.select("file", "block", "inside", F.coalesce(F.sum("delta").over(earlier), F.lit(0)).alias("depth"),
                            F.when(F.first("first").over(whole) == "[", F.lit(1)).otherwise(F.lit(0)).alias("level"),
+                           F.lag("block").over(whole).isNull().alias("first_block"),
                            F.lead("block").over(whole).isNull().alias("last_block"))
     p = pieces.join(blocks, ["file", "block"])
     inside = F.col("inside") == 1
@@ -94,7 +95,8 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
     p = p.join(carry, ["file", "block"])
     p = p.withColumn("start", F.when(F.col("n") > 0, F.struct(F.col("block"), F.col("n").alias("total"))).otherwise(
         F.coalesce("carry", F.struct(F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("total")))))
-    single = (F.col("ends") == 1) & (F.col("n") > 0) & (F.lag("ends").over(in_block) == 1)
+    begins = (F.lag("ends").over(in_block) == 1) | (F.col("first_block") & F.lag("at").over(in_block).isNull())
+    single = (F.col("ends") == 1) & begins
     p = p.withColumn("single", F.coalesce(single, F.lit(False)))
     joined = p.where(~F.col("single")).groupBy("file", "start").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "").alias("value"))
