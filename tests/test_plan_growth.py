@@ -34,3 +34,20 @@ def test_intent_hits_scan_a_text_once(spark):
     out = df.select("id", intent_hits("t", lexicon, ["x", "y", "z"]).alias("h"))
     assert {r.id: r.h for r in out.collect()} == {1: [7, 10, 0], 2: [0, 0, 0], 3: [None, None, 0]}
     assert plan(df.repartition(2).select(intent_hits("t", lexicon, ["x", "y", "z"]).alias("h"))).count("regexp_extract_all") == 1
+
+
+def test_escalation_rows_run_the_enrichment_once(spark):
+    df = texts(spark).select(F.col("id").alias("event_id"), F.concat(F.lit("T-"), "id").alias("ticket_id"), F.col("t").alias("text"),
+                             F.lit("Ann").alias("customer_name"), F.current_timestamp().alias("ts"))
+    log = classification_rows(enrich_tickets(df), id_col="event_id")
+    out = escalation_rows(log)
+    assert plan(out).count("ArrowEvalPython") == 1
+    assert plan(out).count("regexp_extract_all") <= plan(log).count("regexp_extract_all")
+
+
+def test_escalation_rows_take_only_escalated_rows(spark):
+    log = spark.createDataFrame([(1, True), (2, False), (3, None), (1, True)], "id long, was_escalated boolean").withColumn(
+        "ts", F.lit("2024-01-01").cast("timestamp"))
+    rows = escalation_rows(log).collect()
+    assert [r.classification_id for r in rows] == [1, 1] and {r.resolved for r in rows} == {False}
+    assert escalation_rows(log).columns == ["id", "ts", "classification_id", "reason", "resolved", "resolution_notes"]
