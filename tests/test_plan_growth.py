@@ -51,3 +51,26 @@ def test_escalation_rows_take_only_escalated_rows(spark):
     rows = escalation_rows(log).collect()
     assert [r.classification_id for r in rows] == [1, 1] and {r.resolved for r in rows} == {False}
     assert escalation_rows(log).columns == ["id", "ts", "classification_id", "reason", "resolved", "resolution_notes"]
+
+
+def test_ngram_scores_each_text_once(spark):
+    df = texts(spark).withColumn("lang", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    out = score_ngram_profile(df, fit_ngram_profile(df, "t"), "id", "t")
+    assert plan(out).count("ArrowEvalPython") == 1
+    assert {r.id for r in out.collect()} == {i for i, t in enumerate(TEXTS) if t}
+
+
+def test_text_blocks_hold_few_texts(monkeypatch):
+    monkeypatch.setattr(GV, "BLOCK_CHARS", 20)
+    column = pa.array(["x" * 5, None, "é" * 9, "y" * 50, "", "z"])
+    blocks = list(GV.text_blocks(column.slice(1)))
+    assert [t for b in blocks for t in b] == column.to_pylist()[1:] and len(blocks) >= 3
+    assert list(GV.text_blocks(pa.array([], pa.string()))) == []
+
+
+def test_function_word_vote_counts_in_one_pass(spark):
+    df = texts(spark)
+    out = add_function_word_vote(df, "t")
+    assert "regexp" not in plan(out)
+    want = df.select("id", function_word_vote("t").alias("vote"))
+    assert sorted(map(tuple, out.select("id", "vote").collect())) == sorted(map(tuple, want.collect()))
