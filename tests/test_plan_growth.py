@@ -74,3 +74,14 @@ def test_function_word_vote_counts_in_one_pass(spark):
     assert "regexp" not in plan(out)
     want = df.select("id", function_word_vote("t").alias("vote"))
     assert sorted(map(tuple, out.select("id", "vote").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_micro_batch_of_few_files_is_dealt_out(spark, tmp_path):
+    src = spark.range(400).select(F.concat(F.lit("T-"), "id").alias("ticket_id"), F.lit("the app crashes").alias("text"),
+                                  F.lit("Ann").alias("customer_name"))
+    src.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream_enrich(spark, str(tmp_path / "in"), src.schema, str(tmp_path / "out"), str(tmp_path / "ck"), max_files_per_trigger=1)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 400
+    # one file per task that had rows; the file read was one task
+    assert len(out.inputFiles()) == min(400, spark.sparkContext.defaultParallelism)

@@ -23,8 +23,12 @@ def stream_enrich(spark: SparkSession, source_dir: str, schema, sink_dir: str, c
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
+    cores = spark.sparkContext.defaultParallelism
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        # a file is as few tasks as it has row groups: a batch of fewer files than cores is dealt out
+        if max_files_per_trigger and max_files_per_trigger < cores:
+            batch = batch.repartition(cores)
         out = enrich_tickets(batch, **enrich_kw)
         out = enrich_flat(out) if flat else out
         out.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
