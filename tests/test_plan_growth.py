@@ -14,6 +14,14 @@ TEXTS = ["refund my invoice now", "the app crashes", "El precio no es claro", ""
          "invoice Invoice,invoice; refunds", "the the the no"]
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def texts(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string").repartition(2)
+
+
 def test_sort_scores_scans_each_text_once(spark):
     for multi in (True, False):
         s = score_intents(texts(spark), "t", multi_label=multi)
