@@ -1,12 +1,20 @@
 """Steps whose cost must not be paid again per mention: what the optimizer moves, and what it may not."""
 
+import datetime as dt
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ticketflow.functions import text as TX
+from ticketflow.functions.urgency import urgency_rules
 from ticketflow.operators import gram_vectors as GV
+from ticketflow.operators import language as L
 from ticketflow.operators.intents import intent_hits, rank_intents, score_intents, sort_scores
 from ticketflow.operators.language import add_function_word_vote, fit_ngram_profile, function_word_vote, score_ngram_profile
 from ticketflow.plans.enrich import enrich_tickets
+from ticketflow.plans.queries import REGISTRY
+from ticketflow.sources import sinks
 from ticketflow.sources.sinks import classification_rows, escalation_rows
 from ticketflow.streaming.enrich import stream_enrich
 
@@ -93,3 +101,54 @@ def test_a_micro_batch_of_few_files_is_dealt_out(spark, tmp_path):
     assert out.count() == 400
     # one file per task that had rows; the file read was one task
     assert len(out.inputFiles()) == min(400, spark.sparkContext.defaultParallelism)
+
+
+def test_log_classifications_enriches_once(spark, tmp_path, monkeypatch):
+    events = [(i, dt.datetime(2024, 1, 1 + i % 3, 5), None if i == 4 else i % 7, "view", None if i == 2 else float(i), "{}")
+              for i in range(140)] + [(5, dt.datetime(2024, 1, 2), 3, "view", 1.0, "{}")]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(k, f"c{k}") for k in (0, 1, 2, 3, 3)], "c_custkey long, c_name string").write.parquet(
+        str(tmp_path / "customer.parquet"))
+    logged, real = [], sinks.log_classifications
+    monkeypatch.setattr(sinks, "log_classifications", lambda rows, *a, **kw: (logged.append(rows), real(rows, *a, **kw))[1])
+    out = REGISTRY["log_classifications"](spark, str(tmp_path))
+    assert len(logged) == 2 and not any("ArrowEvalPython" in plan(rows) for rows in logged)
+    # a customer that is there twice gives its events twice
+    assert out.count() == 141 + sum(e[2] == 3 for e in events)
+
+
+def test_urgency_rules_run_no_lambda(spark):
+    rules = [(1, "high", "crash", None), (2, "low", "prix", "fr"), (3, "low", "crash", None), (4, "high", "app", "fr")]
+    df = spark.createDataFrame([(1, "the app crashes", "en"), (2, None, "en"), (3, "le prix", "fr"), (4, "app crash", None)],
+                               "id long, t string, l string").repartition(2)
+    out = df.select("id", urgency_rules("t", "l", rules).alias("r"))
+    assert "lambda" not in plan(out)
+    assert {r.id: r.r for r in out.collect()} == {1: ["high:crash", "low:crash"], 2: [], 3: ["low:prix:fr"], 4: ["high:crash", "low:crash"]}
+    assert df.select(urgency_rules("t", "l", []).alias("r")).first().r == []
+
+
+def test_a_latin_text_is_not_scanned_for_scripts(spark):
+    assert L.BEYOND_LATIN in plan(texts(spark).select(L.script_language("t")))
+    chars = spark.range(1, 0x3000).where(~F.col("id").between(0xD800, 0xDFFF)).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    anywhere = F.col("c").rlike("[" + L.KANA + "".join(L.SCRIPTS.values()) + "]")
+    assert chars.where(anywhere).count() > 500
+    assert chars.where(anywhere & ~F.col("c").rlike(L.BEYOND_LATIN)).count() == 0
+
+
+def test_addresses_are_sought_where_an_at_sign_can_be(spark):
+    ats = {c for c in map(chr, range(0x110000)) if "@" in unicodedata.normalize("NFKC", c)}
+    assert ats == set(TX.AT_SIGNS[1:-1])
+    df = spark.createDataFrame([(f"x a{c}b.co y",) for c in sorted(ats)] + [("x a b.co y",), (None,)], "t string").repartition(2)
+    out = df.select("t", TX.clean_text("t").alias("c"))
+    assert "RLIKE(t" in plan(out) and TX.AT_SIGNS in plan(out)
+    assert sorted(r.c for r in out.collect()) == ["", "x [EMAIL] y", "x [EMAIL] y", "x [EMAIL] y", "x a b.co y"]
+
+
+def test_word_alternation_groups_words_by_their_first_character(spark):
+    words = ["app", "application", "a", "apps", "bé", "b", "bx", "a-b", ""]
+    pattern = TX.word_alternation(words)
+    assert pattern.count("a(?:") == 1 and pattern.count("b(?:") == 1
+    text = "a app apps application applications bé bx by b,app a-b é"
+    got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(pattern), 0), TX.tokens("t")).first()
+    assert got[0] == [t for t in got[1] if t in words]
